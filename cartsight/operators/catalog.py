@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartsight.functions import exact_sum, exact_units
+from cartsight.operators.joins import lookup_by_group
 from cartsight.operators.ranking import top_k, top_ranks
 
 CATEGORY = "product_category_name"
@@ -105,7 +106,8 @@ def above_category_average(items: DataFrame, products: DataFrame) -> DataFrame:
         .where(F.col(CATEGORY).isNotNull() & (F.col("priced") > 0))
         .select(CATEGORY, whole_mean.alias("mean_cents"))
     )
-    lookup = products.select("product_id", CATEGORY).join(means, CATEGORY)
+    known = products.select("product_id", CATEGORY)
+    lookup = lookup_by_group(known, means, CATEGORY, spread_by="product_id")
     dearer = exact_units("price", 2) > F.col("mean_cents")
     return (
         items.select("order_id", "product_id", "price")
@@ -127,7 +129,8 @@ def top_prices_per_category(items: DataFrame, products: DataFrame, n: int = 3) -
 
     Equal prices share a rank and leave a gap behind, and all of them are returned, so a category
     may give more than ``n`` rows. The ranks are found on (category, price, copies); the items then
-    look up their own product and price. No window ever sees an item row.
+    look up their own product and price. No window ever sees an item row, and items cheaper than
+    every ranked price are dropped at the scan.
     """
     known = products.where(F.col(CATEGORY).isNotNull()).select("product_id", CATEGORY)
     prices = (
@@ -138,12 +141,17 @@ def top_prices_per_category(items: DataFrame, products: DataFrame, n: int = 3) -
         .agg(F.sum("copies").alias("copies"))
     )
     ranks = top_ranks(prices, CATEGORY, "price", n).withColumnRenamed("price", "rank_price")
-    lookup = known.join(ranks, CATEGORY).withColumnRenamed("product_id", "rank_product")
+    lookup = lookup_by_group(known, ranks, CATEGORY, spread_by="product_id")
+    lookup = lookup.withColumnRenamed("product_id", "rank_product")
+    # The lowest price in any ranking, or NULL if missing prices take part in one.
+    missing = F.max(F.col("rank_price").isNull())
+    floor = ranks.agg(F.when(~missing, F.min("rank_price"))).scalar()
     same = (F.col("product_id") == F.col("rank_product")) & F.col("price").eqNullSafe(
         F.col("rank_price")
     )
     return (
         items.select("product_id", "price")
+        .where(floor.isNull() | (F.col("price") >= floor))
         .join(lookup, same)
         .select(
             F.col(CATEGORY).alias("category"),

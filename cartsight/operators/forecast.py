@@ -21,42 +21,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartsight.functions import exact_sum, month_index
+from cartsight.functions import exact_units, month_index
 from cartsight.sources import materialise
 
 # Smallest divisor of a relative error: the distance from 1.0 to the next double.
 _EPSILON = 2.220446049250313e-16
-_RIDGE = 1e-10
+# Directions of a normal matrix weaker than this, relative to the strongest, carry no information.
+_RANK_CUTOFF = 1e-10
 
 
 # --- building series ---------------------------------------------------------------------------
 
 
-def sold_items(
+def monthly_revenue(
     items: DataFrame,
     orders: DataFrame,
     customers: DataFrame | None = None,
     products: DataFrame | None = None,
+    keys: Sequence[str] = (),
+    measure: str = "price",
+    time: str = "order_purchase_timestamp",
     status: str | None = "delivered",
 ) -> DataFrame:
-    """Items with the purchase time and, on request, customer and product columns."""
+    """Add up ``measure`` of the items per series and month of ``time``.
+
+    ``keys`` may name columns of the items, orders, customers and products. Months without sales
+    have no row. Where the keys need no item column, items are added up per order first, which
+    halves the join and takes the weight out of an order with very many items.
+    """
     if status is not None:
         orders = orders.where(F.col("order_status") == status)
     if customers is not None:
         orders = orders.join(customers, "customer_id")
-    sold = items.join(orders, "order_id")
-    return sold.join(products, "product_id") if products is not None else sold
-
-
-def monthly_revenue(
-    sales: DataFrame,
-    keys: Sequence[str] = (),
-    measure: str = "price",
-    time: str = "order_purchase_timestamp",
-) -> DataFrame:
-    """Add up ``measure`` per series and month. Months without sales have no row."""
+    amount = exact_units(measure, 2).cast("decimal(18,0)").alias("cents")
+    if products is None and not set(keys) & set(items.columns):
+        sales = items.groupBy("order_id").agg(F.sum(amount).alias("cents"))
+    else:
+        sales = items.withColumn("cents", amount)
+    sales = sales.join(orders, "order_id")
+    if products is not None:
+        sales = sales.join(products, "product_id")
     return sales.groupBy(*keys, F.trunc(time, "month").alias("ds")).agg(
-        (exact_sum(measure).cast("double") / 100).alias("y")
+        (F.sum("cents").cast("double") / 100).alias("y")
     )
 
 
@@ -196,7 +202,10 @@ def _fit_yearly(series: DataFrame, keys: list[str], order: int) -> DataFrame:
 
 
 def _solve_batch(sums: pd.DataFrame, keys: list[str], size: int) -> pd.DataFrame:
-    """Ridge-stabilised normal equations of one Arrow batch, one row per series."""
+    """Solve the normal equations of one Arrow batch, one row per series.
+
+    A series too short for all coefficients gets the smallest ones that fit it best.
+    """
     rows = len(sums)
     gram = np.empty((rows, size, size))
     for i in range(size):
@@ -214,7 +223,7 @@ def _solve_batch(sums: pd.DataFrame, keys: list[str], size: int) -> pd.DataFrame
     moment = np.einsum("rij,rj->ri", basis, moment)
 
     n = sums["n"].to_numpy(dtype=float)
-    inverse = np.linalg.inv(gram + (_RIDGE * n)[:, None, None] * np.eye(size))
+    inverse = np.linalg.pinv(gram, rcond=_RANK_CUTOFF, hermitian=True)
     coef = np.einsum("rij,rj->ri", inverse, moment)
     unexplained = (
         sums["yy"].to_numpy()

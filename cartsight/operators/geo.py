@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartsight.functions import delay_category, delay_days, distance_band, haversine_km
 from cartsight.functions.columns import ROUTE_ARROW
 from cartsight.operators.delivery import ARRIVED, PROMISED, delivered
+from cartsight.operators.joins import lookup_by_group
 from cartsight.operators.ranking import top_k
 
 ZIP = "geolocation_zip_code_prefix"
@@ -37,13 +38,17 @@ def centroid_by_key(geolocation: DataFrame) -> DataFrame:
     )
 
 
-def _located(people: DataFrame, zip_column: str, centroids: DataFrame, role: str) -> DataFrame:
-    position = centroids.select(
-        F.col(ZIP).alias(zip_column),
+def _positions(centroids: DataFrame, role: str) -> DataFrame:
+    return centroids.select(
+        F.col(ZIP).alias(f"{role}_zip_code_prefix"),
         F.col("avg_lat").alias(f"{role}_lat"),
         F.col("avg_lng").alias(f"{role}_lng"),
     )
-    return people.join(position, zip_column)
+
+
+def _located(people: DataFrame, centroids: DataFrame, role: str) -> DataFrame:
+    zip_column = f"{role}_zip_code_prefix"
+    return lookup_by_group(people, _positions(centroids, role), zip_column, f"{role}_id")
 
 
 def order_geo(
@@ -57,10 +62,11 @@ def order_geo(
 
     Positions join the customers and sellers, not the items, so the large table is never shuffled
     by zip. Items meet the orders first: when they reach the sellers, Spark has measured that side
-    and takes a broadcast only if it is small. No join carries a hint.
+    and takes a broadcast only if it is small. No join carries a hint. Pass stored ``centroids``:
+    they are used twice, and their file size tells Spark whether to broadcast them.
     """
-    buyers = _located(customers, "customer_zip_code_prefix", centroids, "customer")
-    shops = _located(sellers, "seller_zip_code_prefix", centroids, "seller")
+    buyers = _located(customers, centroids, "customer")
+    shops = _located(sellers, centroids, "seller")
     return items.join(orders.join(buyers, "customer_id"), "order_id").join(shops, "seller_id")
 
 
@@ -168,7 +174,7 @@ def map_points(categorised: DataFrame, centroids: DataFrame) -> DataFrame:
     per_zip = categorised.groupBy("customer_zip_code_prefix", "DelayCategory").agg(
         F.count(F.lit(1)).alias("NumberOfOrders")
     )
-    return _located(per_zip, "customer_zip_code_prefix", centroids, "customer").select(
+    return per_zip.join(_positions(centroids, "customer"), "customer_zip_code_prefix").select(
         "customer_zip_code_prefix",
         "customer_lat",
         "customer_lng",

@@ -192,6 +192,80 @@ def _trend(source: str) -> dict[str, tuple[list[str], str]]:
     }
 
 
+def _waves(source: str) -> dict[str, tuple[list[str], str]]:
+    """Line and two yearly waves, fitted by making the six features orthogonal one by one.
+
+    ``w_k`` adds o<k>, feature k without the part that features 0 to k-1 explain. On orthogonal
+    features every coefficient is a ratio of two sums over the months with sales.
+    """
+    per = "OVER (PARTITION BY category, state)"
+    angle = "(month(ds) - 1) * pi() / 6"
+    tables = {
+        "t_timed": _trend(source)["t_timed"],
+        "t_lines": (
+            ["t_timed"],
+            """
+            SELECT category, state, count(*) AS n, min(ds) AS d0, max(ds) AS d1
+            FROM t_timed GROUP BY category, state
+            """,
+        ),
+        "w_axis": (
+            ["t_timed", "t_lines"],
+            f"""
+            SELECT *, 1.0 AS f0, CAST(t AS DOUBLE) AS f1, sin({angle}) AS f2, cos({angle}) AS f3,
+                   sin(2 * {angle}) AS f4, cos(2 * {angle}) AS f5
+            FROM (
+                SELECT category, state, ds, y, t, 1 AS known FROM t_timed
+                UNION ALL
+                SELECT category, state, CAST(d1 + INTERVAL 1 MONTH * ahead AS DATE), 0,
+                       date_diff('month', d0, d1) + ahead, 0
+                FROM t_lines, range(1, 7) AS r(ahead)
+            )
+            """,
+        ),
+    }
+    before = "w_axis"
+    for k in range(6):
+        shares = [
+            f"sum(known * f{k} * o{j}) {per} / sum(known * o{j} * o{j}) {per} AS p{k}{j}"
+            for j in range(k)
+        ]
+        inner = f"SELECT {', '.join(['*', *shares])} FROM {before}"
+        own = " - ".join([f"f{k}", *[f"p{k}{j} * o{j}" for j in range(k)]])
+        tables[f"w_{k}"] = ([before], f"SELECT *, {own} AS o{k} FROM ({inner})")
+        before = f"w_{k}"
+    gains = ", ".join(
+        f"sum(known * y * o{k}) {per} / sum(known * o{k} * o{k}) {per} AS g{k}, "
+        f"o{k} * o{k} / sum(known * o{k} * o{k}) {per} AS h{k}"
+        for k in range(6)
+    )
+    tables["w_gains"] = (["w_5"], f"SELECT *, {gains} FROM w_5")
+    tables["w_drawn"] = (
+        ["w_gains"],
+        f"""
+        SELECT *, sqrt(sum(known * pow(y - yhat, 2)) {per} / (sum(known) {per} - 6)) AS sigma
+        FROM (
+            SELECT *, {' + '.join(f'g{k} * o{k}' for k in range(6))} AS yhat,
+                   {' + '.join(f'h{k}' for k in range(6))} AS leverage
+            FROM w_gains
+        )
+        """,
+    )
+    own = {5: "g5"}
+    for j in range(4, -1, -1):
+        own[j] = f"(g{j} - " + " - ".join(f"p{k}{j} * {own[k]}" for k in range(j + 1, 6)) + ")"
+    names = ["intercept", "slope", "sin_1", "cos_1", "sin_2", "cos_2"]
+    coef = ", ".join(f"any_value({own[k]}) AS {name}" for k, name in enumerate(names))
+    tables["w_models"] = (
+        ["w_drawn"],
+        f"""
+        SELECT category, state, sum(known) AS n, {coef}, any_value(sigma) AS sigma
+        FROM w_drawn GROUP BY category, state
+        """,
+    )
+    return tables
+
+
 def _statement(body: str, tables: dict) -> str:
     """Put the tables that ``body`` needs, directly or not, in front of it."""
     needed: list[str] = []
@@ -440,7 +514,24 @@ _TOTAL_BODIES = {
     "f06t_accuracy_total": f"SELECT {_ERRORS} {_FIT}",
 }
 
+_WAVE_BODIES = {
+    "f03_seasonal_model": f"""
+        SELECT {_NAMED}, CAST(n AS BIGINT) AS n, round(intercept, 2) AS intercept,
+               round(slope, 2) AS slope, round(sin_1, 2) AS sin_1, round(cos_1, 2) AS cos_1,
+               round(sin_2, 2) AS sin_2, round(cos_2, 2) AS cos_2, round(sigma, 2) AS sigma
+        FROM w_models
+    """,
+    "f04y_seasonal_forecast": f"""
+        SELECT {_NAMED}, ds, {_BOUNDS}
+        FROM (SELECT category, state, ds, yhat, yhat - reach AS lo, yhat + reach AS hi
+              FROM (SELECT *, 1.2815515655446004 * sigma * sqrt(1 + leverage) AS reach
+                    FROM w_drawn))
+    """,
+}
+
 ORACLES: dict[str, str] = {name: _statement(body, _TABLES) for name, body in _BODIES.items()}
 for _source, _bodies in (("t_monthly", _SERIES_BODIES), ("t_total", _TOTAL_BODIES)):
     _tables = {**_TABLES, **_trend(_source)}
     ORACLES.update({name: _statement(body, _tables) for name, body in _bodies.items()})
+_tables = {**_TABLES, **_waves("t_monthly")}
+ORACLES.update({name: _statement(body, _tables) for name, body in _WAVE_BODIES.items()})

@@ -191,12 +191,17 @@ def _centroids(s: SampleStore) -> DataFrame:
     return geo.centroid_by_key(s.geolocation)
 
 
+def _stored_centroids(s: SampleStore) -> DataFrame:
+    """The reduced positions as the later analyses use them: a stored table."""
+    return store_and_read(_centroids(s), "geolocation_summary")
+
+
 def _placed(s: SampleStore) -> DataFrame:
-    return geo.order_geo(s.order_items, s.orders, s.customers, s.sellers, _centroids(s))
+    return geo.order_geo(s.order_items, s.orders, s.customers, s.sellers, _stored_centroids(s))
 
 
 def _shipments(s: SampleStore) -> DataFrame:
-    return geo.shipments(s.order_items, s.orders, s.customers, s.sellers, _centroids(s))
+    return geo.shipments(s.order_items, s.orders, s.customers, s.sellers, _stored_centroids(s))
 
 
 def _categorised(s: SampleStore) -> DataFrame:
@@ -220,7 +225,7 @@ def _(s):
 
 @query("g04_geo_summary_table")
 def _(s):
-    return store_and_read(_centroids(s), "geolocation_summary")
+    return _stored_centroids(s)
 
 
 @query("g05_order_coordinates")
@@ -287,7 +292,9 @@ def _(s):
 
 @query("d03_map_points")
 def _(s):
-    return geo.map_points(_categorised(s), _centroids(s))
+    centroids = _stored_centroids(s)
+    shipped = geo.shipments(s.order_items, s.orders, s.customers, s.sellers, centroids)
+    return geo.map_points(geo.with_delay_category(shipped), centroids)
 
 
 @query("d04_on_time_rate")
@@ -299,12 +306,13 @@ def _(s):
 
 
 def _series(s: SampleStore) -> DataFrame:
-    sales = forecast.sold_items(s.order_items, s.orders, s.customers, s.products)
-    return forecast.monthly_revenue(sales, SERIES)
+    return forecast.monthly_revenue(
+        s.order_items, s.orders, s.customers, s.products, keys=SERIES
+    )
 
 
 def _total(s: SampleStore) -> DataFrame:
-    return forecast.monthly_revenue(forecast.sold_items(s.order_items, s.orders))
+    return forecast.monthly_revenue(s.order_items, s.orders)
 
 
 def _stored_series(s: SampleStore) -> DataFrame:
@@ -360,8 +368,11 @@ def _(s):
 
 @query("f03_seasonal_model")
 def _(s):
+    """Line and two yearly waves per series, one column per coefficient."""
     model = forecast.fit_trend(_series(s), SERIES, yearly=True, order=WAVES)
-    return model.select(*SERIES, "n", "sigma", "coef")
+    names = ["intercept", "slope", "sin_1", "cos_1", "sin_2", "cos_2"]
+    coef = [F.round(F.col("coef")[i], 2).alias(name) for i, name in enumerate(names)]
+    return model.select(*SERIES, "n", *coef, F.round("sigma", 2).alias("sigma"))
 
 
 @query("f04_forecast")
@@ -376,7 +387,8 @@ def _(s):
 
 @query("f04y_seasonal_forecast")
 def _(s):
-    return forecast.forecast(_stored_series(s), SERIES, yearly=True, order=WAVES)
+    predicted = forecast.forecast(_stored_series(s), SERIES, yearly=True, order=WAVES)
+    return _rounded_forecast(predicted)
 
 
 @query("f05_last10")

@@ -34,7 +34,6 @@ COMMERCE = {
     ),
     "order_items": _schema(
         order_id="str",
-        order_item_id="int",
         product_id="str",
         seller_id="str",
         price="dbl",

@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartsight.sources.schemas import COMMERCE, SAMPLE
 
@@ -25,11 +26,17 @@ class FileStore:
         self.fmt = fmt
 
     def _scan(self, table: str) -> DataFrame:
-        reader = self.spark.read.schema(COMMERCE[table])
+        schema = COMMERCE[table]
         path = f"{self.folder}/{table}.{self.fmt}"
-        if self.fmt == "csv":
-            return reader.option("header", True).csv(path)
-        return reader.format(self.fmt).load(path)
+        if self.fmt != "csv":
+            return self.spark.read.schema(schema).format(self.fmt).load(path)
+        # A CSV reader matches by position: take the names from the header line, the types from
+        # the schema, and leave out the columns nothing here uses.
+        types = {f.name: f.dataType for f in schema}
+        header = self.spark.read.option("header", True).csv(path).columns
+        found = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+        rows = self.spark.read.schema(found).option("header", True).csv(path)
+        return rows.select(*schema.names)
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in COMMERCE}
@@ -123,7 +130,6 @@ class SampleStore(FileStore):
     def order_items(self) -> DataFrame:
         return self._scan("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("order_item_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("seller_id"),
             F.col("l_extendedprice").alias("price"),
