@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartsight.functions import exact_units, month_index
+from cartsight.operators.joins import join_facts
 from cartsight.sources import materialise
 
 # Smallest divisor of a relative error: the distance from 1.0 to the next double.
@@ -52,13 +53,13 @@ def monthly_revenue(
     if status is not None:
         orders = orders.where(F.col("order_status") == status)
     if customers is not None:
-        orders = orders.join(customers, "customer_id")
+        orders = join_facts(orders, customers, "customer_id")
     amount = exact_units(measure, 2).cast("decimal(18,0)").alias("cents")
     if products is None and not set(keys) & set(items.columns):
         sales = items.groupBy("order_id").agg(F.sum(amount).alias("cents"))
     else:
         sales = items.withColumn("cents", amount)
-    sales = sales.join(orders, "order_id")
+    sales = join_facts(sales, orders, "order_id")
     if products is not None:
         sales = sales.join(products, "product_id")
     return sales.groupBy(*keys, F.trunc(time, "month").alias("ds")).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartsight.functions import delay_category, delay_days, distance_band, haversine_km
 from cartsight.functions.columns import ROUTE_ARROW
 from cartsight.operators.delivery import ARRIVED, PROMISED, delivered
-from cartsight.operators.joins import lookup_by_group
+from cartsight.operators.joins import join_facts, lookup_by_group
 from cartsight.operators.ranking import top_k
 
 ZIP = "geolocation_zip_code_prefix"
@@ -62,12 +62,13 @@ def order_geo(
 
     Positions join the customers and sellers, not the items, so the large table is never shuffled
     by zip. Items meet the orders first: when they reach the sellers, Spark has measured that side
-    and takes a broadcast only if it is small. No join carries a hint. Pass stored ``centroids``:
+    and takes a broadcast only if it is small; none is asked for by a hint. Pass stored ``centroids``:
     they are used twice, and their file size tells Spark whether to broadcast them.
     """
     buyers = _located(customers, centroids, "customer")
     shops = _located(sellers, centroids, "seller")
-    return items.join(orders.join(buyers, "customer_id"), "order_id").join(shops, "seller_id")
+    sold = join_facts(items, join_facts(orders, buyers, "customer_id"), "order_id")
+    return sold.join(shops, "seller_id")
 
 
 def _distance():

@@ -1,4 +1,4 @@
-"""Joins whose key has few values."""
+"""The two kinds of join that need more than ``DataFrame.join``."""
 
 from __future__ import annotations
 
@@ -24,3 +24,13 @@ def lookup_by_group(
     each = F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))
     repeated = lookup.withColumn("slot", F.explode(each))
     return placed.join(repeated, [group, "slot"]).drop("slot")
+
+
+def join_facts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of two tables that both grow with the business, such as items and orders.
+
+    Always shuffled and merged. Without the hint Spark may hash and broadcast one of them as long
+    as its columns are small on disk, and then a single task per file of the other does the rest.
+    Adaptive execution splits the partition of a key that holds a large part of the rows.
+    """
+    return left.join(right.hint("merge"), key)
