@@ -62,10 +62,11 @@ def _mean_price(
     items: DataFrame, products: DataFrame, translation: DataFrame, names: Sequence[str]
 ) -> DataFrame:
     wanted = translation.where(F.col(ENGLISH).isin(*names)).select(CATEGORY, ENGLISH)
-    chosen = products.join(wanted, CATEGORY).select("product_id", ENGLISH)
+    known = products.select("product_id", CATEGORY)
+    chosen = lookup_by_group(known, wanted, CATEGORY, spread_by="product_id")
     return (
         _sales_by_product(items)
-        .join(chosen, "product_id")
+        .join(chosen.select("product_id", ENGLISH), "product_id")
         .groupBy(ENGLISH)
         .agg(
             F.try_divide(F.sum("cents").cast("double") / 100, F.sum("sold")).alias("mean_price")

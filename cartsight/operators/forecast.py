@@ -309,8 +309,14 @@ def forecast(
     level: float = 0.80,
     yearly: bool = False,
     order: int = 2,
+    fill: float | None = None,
 ) -> DataFrame:
-    """Fit, extend and predict in one call: history and the next ``periods`` months."""
+    """Fit, extend and predict in one call: history and the next ``periods`` months.
+
+    Months without a row take no part in the fit, unless ``fill`` gives them a value.
+    """
+    if fill is not None:
+        series = fill_months(series, keys, fill)
     model = fit_trend(series, keys, yearly=yearly, order=order)
     axis = extend_months(series, keys, periods)
     return predict(model, axis, keys, level, order if yearly else 0)

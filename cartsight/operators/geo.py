@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,22 +22,24 @@ def zip_repetition(geolocation: DataFrame, k: int = 5) -> DataFrame:
     return top_k(points, "RepeatCount", k, tiebreak=ZIP)
 
 
-def centroid_by_key(geolocation: DataFrame) -> DataFrame:
-    """One row per zip prefix: mean position to 6 places, and one of its (state, city) pairs.
+def centroid_by_key(
+    points: DataFrame,
+    key: str = ZIP,
+    lat: str = "geolocation_lat",
+    lng: str = "geolocation_lng",
+    place: Sequence[str] = ("geolocation_state", "geolocation_city"),
+) -> DataFrame:
+    """One row per key: mean position to 6 places, and one of its (state, city) pairs.
 
     A zip may list several cities. The smallest pair is taken, so that city and state belong
     together and the choice is the same in every run.
     """
-    place = F.min(F.struct("geolocation_state", "geolocation_city"))
-    return (
-        geolocation.groupBy(ZIP)
-        .agg(
-            F.round(F.avg("geolocation_lat"), 6).alias("avg_lat"),
-            F.round(F.avg("geolocation_lng"), 6).alias("avg_lng"),
-            place.alias("place"),
-        )
-        .select(ZIP, "avg_lat", "avg_lng", "place.geolocation_city", "place.geolocation_state")
-    )
+    means = [
+        F.round(F.avg(lat), 6).alias("avg_lat"),
+        F.round(F.avg(lng), 6).alias("avg_lng"),
+    ]
+    grouped = points.groupBy(key).agg(*means, F.min(F.struct(*place)).alias("place"))
+    return grouped.select(key, "avg_lat", "avg_lng", *[f"place.{c}" for c in place])
 
 
 def _positions(centroids: DataFrame, role: str) -> DataFrame:

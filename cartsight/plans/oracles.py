@@ -354,7 +354,7 @@ _BODIES = {
     "o14_payment_types": """
         SELECT event_type AS payment_type, count(*) AS total_transactions,
                round(avg(value), 2) AS avg_payment_value,
-               round(sum(value), 2) AS total_payment_value
+               CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total_payment_value
         FROM events GROUP BY ALL ORDER BY total_transactions DESC
     """,
     "d05_payment_share": """
@@ -364,7 +364,7 @@ _BODIES = {
     """,
     "o15_top_categories": """
         SELECT english AS product_category_name_english, count(order_id) AS "NumberOfItemsSold",
-               round(sum(price), 2) AS "TotalRevenue"
+               CAST(sum(CAST(price AS DECIMAL(18, 2))) AS DOUBLE) AS "TotalRevenue"
         FROM t_items NATURAL JOIN t_products NATURAL JOIN t_names
         GROUP BY ALL ORDER BY 3 DESC, 1 LIMIT 10
     """,
@@ -393,7 +393,9 @@ _BODIES = {
         SELECT count(*) - count(category) AS null_categories FROM t_products
     """,
     "d08_null_category_share": """
-        SELECT round(1 - count(category) / count(*), 4) AS null_category_share FROM t_products
+        SELECT CAST(round(CAST((count(*) - count(category)) / count(*) AS DECIMAL(18, 9)), 4)
+                    AS DOUBLE) AS null_category_share
+        FROM t_products
     """,
     "o19_top3_per_category": """
         SELECT category, product_id, price,

@@ -1,10 +1,11 @@
 from cartsight.sources.monthly_csv import read_monthly
-from cartsight.sources.store import FileStore, SampleStore
+from cartsight.sources.store import FileStore, SampleStore, TableStore
 from cartsight.sources.stored import materialise, shared_folder, store_and_read, write_folder
 
 __all__ = [
     "FileStore",
     "SampleStore",
+    "TableStore",
     "materialise",
     "read_monthly",
     "shared_folder",

@@ -1,8 +1,8 @@
 """The commerce tables as DataFrames.
 
-``FileStore`` scans a folder that holds one file or folder per table. ``SampleStore`` derives the
-same tables from the sample star schema with column expressions, so that every operator can run on
-it; FIXTURES.md lists the expressions. Both scan lazily: a table is opened when it is first used,
+``FileStore`` scans a folder that holds one file or folder per table, ``TableStore`` the tables of a
+catalogue database. ``SampleStore`` derives the same tables from the sample star schema with column
+expressions, so that every operator can run on it; FIXTURES.md lists the expressions. All scan lazily: a table is opened when it is first used,
 and Catalyst reads only the columns a query touches.
 """
 
@@ -79,6 +79,13 @@ class FileStore:
         return self._scan("geolocation")
 
 
+class TableStore(FileStore):
+    """Commerce tables in catalogue database ``folder``, bucketed or not."""
+
+    def _scan(self, table: str) -> DataFrame:
+        return self.spark.table(f"{self.folder}.{table}").select(*COMMERCE[table].names)
+
+
 class SampleStore(FileStore):
     """Commerce tables derived from the sample star schema in ``folder``."""
 

@@ -104,6 +104,8 @@ def test_fill_months(spark):
     series = spark.createDataFrame(rows, "k string, ds date, y double")
     found = {tuple(r) for r in forecast.fill_months(series, ["k"]).collect()}
     assert found == set(rows) | {("a", _month(1), 0.0), ("a", _month(2), 0.0)}
+    months = forecast.forecast(series, ["k"], periods=2, fill=0.0).groupBy("k").count()
+    assert {tuple(r) for r in months.collect()} == {("a", 6), ("b", 3)}
 
 
 def _seasonal(seed, months):

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from plans import physical
 from pyspark.sql import functions as F
 
 from cartsight.operators import delivery, geo
-from cartsight.sources import FileStore, materialise, shared_folder, store_and_read
+from cartsight.operators.joins import join_facts
+from cartsight.sources import FileStore, TableStore, materialise, shared_folder, store_and_read
 from cartsight.sources.schemas import COMMERCE
 
 
@@ -31,6 +33,18 @@ def test_file_store(spark, sample, tmp_path, fmt):
     assert routes(store) == routes(sample)
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, sample):
+    spark.sql("CREATE DATABASE shop")
+    for name in ("orders", "order_items"):
+        materialise(getattr(sample, name), f"shop.{name}", bucket_by="order_id", buckets=8)
+    store = TableStore(spark, "shop")
+    joined = join_facts(store.order_items, store.orders, "order_id")
+    plan = physical(joined)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == 60000
+    spark.sql("DROP DATABASE shop CASCADE")
+
+
 def test_views(spark, sample):
     sample.create_views()
     (n,) = spark.sql("SELECT count(*) FROM order_items JOIN orders USING (order_id)").first()
