@@ -14,19 +14,22 @@ import time
 from pyspark.sql import SparkSession
 
 from cartsight.plans import QUERIES
+from cartsight.session import sized_settings
 
 
-def session(cpus: str) -> SparkSession:
-    spark = (
+def session(cpus: str, folder: str) -> SparkSession:
+    stored = sum(entry.stat().st_size for entry in os.scandir(folder) if entry.is_file())
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("cartsight-bench")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
-        .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    for key, value in sized_settings(stored, int(cpus)).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -41,7 +44,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = session(cpus)
+    spark = session(cpus, folder)
     seconds = {}
     for name in QUERIES:
         run(spark, name, folder)

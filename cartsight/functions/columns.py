@@ -56,7 +56,9 @@ def delay_category(days: str | Column) -> Column:
 def exact_units(value: str | Column, digits: int) -> Column:
     """A double that holds a decimal number with ``digits`` places, as a whole number of units.
 
-    Sums of whole numbers do not depend on the order in which tasks finish or are run again.
+    Sums of whole numbers do not depend on the order in which tasks finish or are run again. A
+    plain sum of units suits the rows of one product or order; it raises an error, and never wraps
+    around, beyond 9 * 10**18.
     """
     value = F.col(value) if isinstance(value, str) else value
     return F.rint(value * 10**digits).cast("long")

@@ -13,19 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartsight.functions import exact_sum, exact_units
+from cartsight.functions import exact_units
 from cartsight.operators.joins import lookup_by_group
 from cartsight.operators.ranking import top_k, top_ranks
 
 CATEGORY = "product_category_name"
 ENGLISH = "product_category_name_english"
+# Holds any long, so that sums of sums cannot overflow.
+_WIDE = "decimal(20,0)"
 
 
 def _sales_by_product(items: DataFrame) -> DataFrame:
     return items.groupBy("product_id").agg(
         F.count("order_id").alias("sold"),
         F.count("price").alias("priced"),
-        exact_sum("price").alias("cents"),
+        F.sum(exact_units("price", 2)).alias("cents"),
     )
 
 
@@ -37,7 +39,7 @@ def _sales_by_category(items: DataFrame, products: DataFrame) -> DataFrame:
         .agg(
             F.sum("sold").alias("sold"),
             F.sum("priced").alias("priced"),
-            F.sum("cents").alias("cents"),
+            F.sum(F.col("cents").cast(_WIDE)).alias("cents"),
         )
     )
 
@@ -69,7 +71,9 @@ def _mean_price(
         .join(chosen.select("product_id", ENGLISH), "product_id")
         .groupBy(ENGLISH)
         .agg(
-            F.try_divide(F.sum("cents").cast("double") / 100, F.sum("sold")).alias("mean_price")
+            F.try_divide(
+                F.sum(F.col("cents").cast(_WIDE)).cast("double") / 100, F.sum("sold")
+            ).alias("mean_price")
         )
     )
 

@@ -12,7 +12,7 @@ bounds, in months since the first month of the series.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -54,16 +54,16 @@ def monthly_revenue(
         orders = orders.where(F.col("order_status") == status)
     if customers is not None:
         orders = join_facts(orders, customers, "customer_id")
-    amount = exact_units(measure, 2).cast("decimal(18,0)").alias("cents")
+    cents = exact_units(measure, 2)
     if products is None and not set(keys) & set(items.columns):
-        sales = items.groupBy("order_id").agg(F.sum(amount).alias("cents"))
+        sales = items.groupBy("order_id").agg(F.sum(cents).alias("cents"))
     else:
-        sales = items.withColumn("cents", amount)
+        sales = items.withColumn("cents", cents)
     sales = join_facts(sales, orders, "order_id")
     if products is not None:
         sales = sales.join(products, "product_id")
     return sales.groupBy(*keys, F.trunc(time, "month").alias("ds")).agg(
-        (F.sum("cents").cast("double") / 100).alias("y")
+        (F.sum(F.col("cents").cast("decimal(20,0)")).cast("double") / 100).alias("y")
     )
 
 
@@ -195,55 +195,58 @@ def _fit_yearly(series: DataFrame, keys: list[str], order: int) -> DataFrame:
         ]
     )
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for sums_of in batches:
-            yield _solve_batch(sums_of, keys, size)
-
-    return sums.where(F.col("n") > 0).mapInPandas(solve, model)
+    return sums.where(F.col("n") > 0).mapInPandas(_solver(keys, size), model)
 
 
-def _solve_batch(sums: pd.DataFrame, keys: list[str], size: int) -> pd.DataFrame:
-    """Solve the normal equations of one Arrow batch, one row per series.
+def _solver(
+    keys: list[str], size: int
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Solve the normal equations, one row per series, an Arrow batch at a time.
 
-    A series too short for all coefficients gets the smallest ones that fit it best.
+    A series too short for all coefficients gets the smallest ones that fit it best. The function
+    carries all it needs, so that executors need numpy and pandas but not this package.
     """
-    rows = len(sums)
-    gram = np.empty((rows, size, size))
-    for i in range(size):
-        for j in range(i, size):
-            gram[:, i, j] = gram[:, j, i] = sums[f"a_{i}_{j}"]
-    moment = np.stack([sums[f"b_{i}"].to_numpy() for i in range(size)], axis=1)
-
-    # month -> (month - first) / span, written as a change of basis
-    first = sums["first_month"].to_numpy(dtype=float)
-    span = np.maximum(1.0, sums["last_month"].to_numpy(dtype=float) - first)
-    basis = np.tile(np.eye(size), (rows, 1, 1))
-    basis[:, 1, 0] = -first / span
-    basis[:, 1, 1] = 1.0 / span
-    gram = basis @ gram @ basis.transpose(0, 2, 1)
-    moment = np.einsum("rij,rj->ri", basis, moment)
-
-    n = sums["n"].to_numpy(dtype=float)
-    inverse = np.linalg.pinv(gram, rcond=_RANK_CUTOFF, hermitian=True)
-    coef = np.einsum("rij,rj->ri", inverse, moment)
-    unexplained = (
-        sums["yy"].to_numpy()
-        - 2 * np.einsum("ri,ri->r", coef, moment)
-        + np.einsum("ri,rij,rj->r", coef, gram, coef)
-    )
-    free = n - size
-    sigma = np.sqrt(np.maximum(0.0, unexplained) / np.where(free > 0, free, np.nan))
-
-    per_month = np.ones((rows, size))
-    per_month[:, 1] = 1.0 / span
-    coef = coef * per_month
-    spread = inverse * per_month[:, :, None] * per_month[:, None, :]
-
-    out = sums[[*keys, "n", "first_month"]].copy()
-    out["sigma"] = pd.Series(sigma, index=sums.index).astype(object).where(free > 0, None)
-    out["coef"] = list(coef)
-    out["spread"] = list(spread.reshape(rows, size * size))
-    return out
+    cutoff = _RANK_CUTOFF
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for sums in batches:
+            rows = len(sums)
+            gram = np.empty((rows, size, size))
+            for i in range(size):
+                for j in range(i, size):
+                    gram[:, i, j] = gram[:, j, i] = sums[f"a_{i}_{j}"]
+            moment = np.stack([sums[f"b_{i}"].to_numpy() for i in range(size)], axis=1)
+
+            # month -> (month - first) / span, written as a change of basis
+            first = sums["first_month"].to_numpy(dtype=float)
+            span = np.maximum(1.0, sums["last_month"].to_numpy(dtype=float) - first)
+            basis = np.tile(np.eye(size), (rows, 1, 1))
+            basis[:, 1, 0] = -first / span
+            basis[:, 1, 1] = 1.0 / span
+            gram = basis @ gram @ basis.transpose(0, 2, 1)
+            moment = np.einsum("rij,rj->ri", basis, moment)
+
+            inverse = np.linalg.pinv(gram, rcond=cutoff, hermitian=True)
+            coef = np.einsum("rij,rj->ri", inverse, moment)
+            unexplained = (
+                sums["yy"].to_numpy()
+                - 2 * np.einsum("ri,ri->r", coef, moment)
+                + np.einsum("ri,rij,rj->r", coef, gram, coef)
+            )
+            free = sums["n"].to_numpy(dtype=float) - size
+            sigma = np.sqrt(np.maximum(0.0, unexplained) / np.where(free > 0, free, np.nan))
+
+            per_month = np.ones((rows, size))
+            per_month[:, 1] = 1.0 / span
+            spread = inverse * per_month[:, :, None] * per_month[:, None, :]
+
+            out = sums[[*keys, "n", "first_month"]].copy()
+            out["sigma"] = pd.Series(sigma, index=sums.index).astype(object).where(free > 0, None)
+            out["coef"] = list(coef * per_month)
+            out["spread"] = list(spread.reshape(rows, size * size))
+            yield out
+
+    return solve
 
 
 # --- predicting and scoring --------------------------------------------------------------------

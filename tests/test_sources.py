@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cartsight.operators import delivery, geo
 from cartsight.operators.joins import join_facts
+from cartsight.session import sized_settings
 from cartsight.sources import FileStore, TableStore, materialise, shared_folder, store_and_read
 from cartsight.sources.schemas import COMMERCE
 
@@ -89,3 +90,11 @@ def test_shared_folder(spark, settings):
     assert stored.count() == 3
     assert store_and_read(spark.range(4), "three").count() == 4
     assert stored.count() == 3
+
+
+def test_settings_follow_the_data():
+    small = sized_settings(40 * 1024**2, 8)
+    large = sized_settings(100 * 1024**4, 8000)
+    assert small["spark.sql.shuffle.partitions"] == "8"
+    assert large["spark.sql.shuffle.partitions"] == "40960"
+    assert large["spark.sql.files.maxPartitionBytes"] == "512m"
