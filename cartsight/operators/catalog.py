@@ -133,9 +133,10 @@ def top_prices_per_category(items: DataFrame, products: DataFrame, n: int = 3) -
     """Item rows whose price ranks among the ``n`` highest of their category.
 
     Equal prices share a rank and leave a gap behind, and all of them are returned, so a category
-    may give more than ``n`` rows. The ranks are found on (category, price, copies); the items then
-    look up their own product and price. No window ever sees an item row, and items cheaper than
-    every ranked price are dropped at the scan.
+    may give more than ``n`` rows. The ranks are found on (category, price, copies); no window ever
+    sees an item row. Items cheaper than every ranked price are then dropped at the scan, and the
+    few (product, price) pairs left over that hold a rank pick their item rows. That list is short
+    enough to be broadcast once measured, so a crowd at the top price stays spread out.
     """
     known = products.where(F.col(CATEGORY).isNotNull()).select("product_id", CATEGORY)
     prices = (
@@ -145,23 +146,21 @@ def top_prices_per_category(items: DataFrame, products: DataFrame, n: int = 3) -
         .groupBy(CATEGORY, "price")
         .agg(F.sum("copies").alias("copies"))
     )
-    ranks = top_ranks(prices, CATEGORY, "price", n).withColumnRenamed("price", "rank_price")
-    lookup = lookup_by_group(known, ranks, CATEGORY, spread_by="product_id")
-    lookup = lookup.withColumnRenamed("product_id", "rank_product")
-    # The lowest price in any ranking, or NULL if missing prices take part in one.
-    missing = F.max(F.col("rank_price").isNull())
-    floor = ranks.agg(F.when(~missing, F.min("rank_price"))).scalar()
-    same = (F.col("product_id") == F.col("rank_product")) & F.col("price").eqNullSafe(
-        F.col("rank_price")
+    ranks = top_ranks(prices, CATEGORY, "price", n).withColumnsRenamed(
+        {CATEGORY: "category", "price": "top_price"}
     )
-    return (
-        items.select("product_id", "price")
-        .where(floor.isNull() | (F.col("price") >= floor))
-        .join(lookup, same)
-        .select(
-            F.col(CATEGORY).alias("category"),
-            "product_id",
-            "price",
-            F.col("rank").alias("RankInCategory"),
-        )
+    # The lowest price in any ranking. Where missing prices hold a rank, no price is too low.
+    missing = F.max(F.col("top_price").isNull())
+    floor = ranks.agg(F.when(missing, float("-inf")).otherwise(F.min("top_price"))).scalar()
+    price = F.col("price")
+    dear = items.select("product_id", "price").where(price.isNull() | (price >= floor))
+    at_top = price.eqNullSafe(F.col("top_price"))
+    winners = (
+        dear.distinct()
+        .join(known, "product_id")
+        .join(ranks, (F.col(CATEGORY) == F.col("category")) & at_top)
+        .select(F.col("product_id").alias("top_product"), "category", "top_price", "rank")
+    )
+    return dear.join(winners, (F.col("product_id") == F.col("top_product")) & at_top).select(
+        "category", "product_id", "price", F.col("rank").alias("RankInCategory")
     )

@@ -66,8 +66,8 @@ def order_geo(
 
     Positions join the customers and sellers, not the items, so the large table is never shuffled
     by zip. Items meet the orders first: when they reach the sellers, Spark has measured that side
-    and takes a broadcast only if it is small; none is asked for by a hint. Pass stored ``centroids``:
-    they are used twice, and their file size tells Spark whether to broadcast them.
+    and takes a broadcast only if it is small; none is asked for by a hint. Pass ``centroids`` from
+    a stored table: they are used twice, and their file size tells Spark whether to broadcast them.
     """
     buyers = _located(customers, centroids, "customer")
     shops = _located(sellers, centroids, "seller")

@@ -185,7 +185,8 @@ def _trend(source: str) -> dict[str, tuple[list[str], str]]:
                          * sqrt(1 + 1.0 / n + pow(date_diff('month', d0, a.ds) - t_mean, 2) / sxx)
                          AS reach
                 FROM t_axis a JOIN t_lines l
-                  ON a.category IS NOT DISTINCT FROM l.category AND a.state IS NOT DISTINCT FROM l.state
+                  ON a.category IS NOT DISTINCT FROM l.category
+                     AND a.state IS NOT DISTINCT FROM l.state
             )
             """,
         ),
@@ -429,7 +430,8 @@ _BODIES = {
         SELECT order_id, km AS "DistanceKM", late1 AS "DeliveryDelayDays" FROM t_shipped
     """,
     "g08_delay_by_distance_band": """
-        SELECT CASE WHEN km < 100 THEN '1. Near (<100km)' WHEN km <= 500 THEN '2. Medium (100-500km)'
+        SELECT CASE WHEN km < 100 THEN '1. Near (<100km)'
+                    WHEN km <= 500 THEN '2. Medium (100-500km)'
                     ELSE '3. Far (>500km)' END AS "DistanceGroup",
                count(*) AS "NumberOfOrders", round(avg(late1), 1) AS "AvgDelayDays"
         FROM t_shipped GROUP BY ALL ORDER BY 1
@@ -459,8 +461,8 @@ _BODIES = {
         FROM t_shipped
     """,
     "g12_kpi_pct": """
-        SELECT round(100 * avg(is_late), 2) AS "DelayedRatePct", round(avg(km), 1) AS "AvgDistanceKM",
-               round(avg(freight), 2) AS "AvgFreightValue"
+        SELECT round(100 * avg(is_late), 2) AS "DelayedRatePct",
+               round(avg(km), 1) AS "AvgDistanceKM", round(avg(freight), 2) AS "AvgFreightValue"
         FROM t_shipped
     """,
     "g13_kpi_fraction": """
@@ -489,10 +491,10 @@ _BODIES = {
 _BODIES["g04_geo_summary_table"] = _BODIES["g03_geo_summary"]
 _BODIES["f01c_monthly_from_csv"] = _BODIES["f01t_monthly_total"]
 
-_MODEL = "n, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(sigma, 4) AS sigma"
+_MODEL = "n, round(slope, 2) AS slope, round(intercept, 2) AS intercept, round(sigma, 2) AS sigma"
 _BOUNDS = "round(yhat, 2) AS yhat, round(lo, 2) AS yhat_lower, round(hi, 2) AS yhat_upper"
-_ERRORS = """round(avg(abs(y - yhat)), 4) AS mae,
-             round(100 * avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)), 4) AS mape"""
+_ERRORS = """round(avg(abs(y - yhat)), 2) AS mae,
+             round(100 * avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)), 2) AS mape"""
 _FIT = """FROM t_timed a JOIN t_drawn p
             ON a.ds = p.ds AND a.category IS NOT DISTINCT FROM p.category
                AND a.state IS NOT DISTINCT FROM p.state"""

@@ -357,13 +357,13 @@ def _(s):
 def _(s):
     model = forecast.fit_trend(_series(s), SERIES)
     shown = model.select(*SERIES, "n", "slope", "intercept", "sigma")
-    return _rounded(shown, 4, "slope", "intercept", "sigma")
+    return _rounded(shown, 2, "slope", "intercept", "sigma")
 
 
 @query("f02t_trend_model_total")
 def _(s):
     shown = forecast.fit_trend(_total(s)).select("n", "slope", "intercept", "sigma")
-    return _rounded(shown, 4, "slope", "intercept", "sigma")
+    return _rounded(shown, 2, "slope", "intercept", "sigma")
 
 
 @query("f03_seasonal_model")
@@ -407,13 +407,13 @@ def _(s):
 def _(s):
     series = _stored_series(s)
     scores = forecast.score(series, forecast.forecast(series, SERIES), SERIES)
-    return _rounded(scores, 4, "mae", "mape")
+    return _rounded(scores, 2, "mae", "mape")
 
 
 @query("f06t_accuracy_total")
 def _(s):
     series = _stored_total(s)
-    return _rounded(forecast.score(series, forecast.forecast(series)), 4, "mae", "mape")
+    return _rounded(forecast.score(series, forecast.forecast(series)), 2, "mae", "mape")
 
 
 @query("f07_export")

@@ -2,8 +2,9 @@
 
 ``FileStore`` scans a folder that holds one file or folder per table, ``TableStore`` the tables of a
 catalogue database. ``SampleStore`` derives the same tables from the sample star schema with column
-expressions, so that every operator can run on it; FIXTURES.md lists the expressions. All scan lazily: a table is opened when it is first used,
-and Catalyst reads only the columns a query touches.
+expressions, so that every operator can run on it; FIXTURES.md lists the expressions. All scan
+lazily: a table is opened when it is first used, and Catalyst reads only the columns a query
+touches.
 """
 
 from __future__ import annotations

@@ -61,9 +61,8 @@ def test_day_filter_reaches_the_scan(spark, tmp_path):
 
 
 def test_missing_dates(spark):
-    orders = _orders(
-        spark, [(1, "delivered", None), (2, "delivered", 1), (3, "canceled", None), (4, "delivered", 0)]
-    )
+    rows = [(1, "delivered", None), (2, "delivered", 1), (3, "canceled", None)]
+    orders = _orders(spark, [*rows, (4, "delivered", 0)])
     by_status = [tuple(r) for r in delivery.missing_delivery_by_status(orders).collect()]
     assert by_status == [("delivered", 3, 1), ("canceled", 1, 1)]
     assert [r["order_id"] for r in delivery.delivered_without_date(orders).collect()] == ["1"]

@@ -61,7 +61,8 @@ def test_delay_days_is_exact(spark):
 
 
 def test_centroid_keeps_pairs_together(spark):
-    rows = [("1", 1.0, 2.0, "Zeta", "AA"), ("1", 2.0, 4.0, "Alpha", "BB"), ("2", 5.5, 6.5, "Q", None)]
+    rows = [("1", 1.0, 2.0, "Zeta", "AA"), ("1", 2.0, 4.0, "Alpha", "BB")]
+    rows += [("2", 5.5, 6.5, "Q", None)]
     found = geo.centroid_by_key(spark.createDataFrame(rows, COMMERCE["geolocation"]))
     assert {tuple(r) for r in found.collect()} == {
         ("1", 1.5, 3.0, "AA", "Zeta"),
@@ -72,9 +73,10 @@ def test_centroid_keeps_pairs_together(spark):
 def _shop(spark, lates):
     """One item per delay in minutes; customers in zip 1 or in zip 9, which has no position."""
     promised = dt.datetime(2021, 5, 1)
+    arrived = [promised + dt.timedelta(minutes=m) for m in lates]
     orders = [
-        (str(i), f"c{i}", "delivered", promised, None, None, promised + dt.timedelta(minutes=m), promised)
-        for i, m in enumerate(lates)
+        (str(i), f"c{i}", "delivered", promised, None, None, at, promised)
+        for i, at in enumerate(arrived)
     ]
     customers = [(f"c{i}", "9" if i == 0 else "1", "XX") for i in range(len(lates))]
     items = [(str(i), "p", "s1", 10.0, 2.5) for i in range(len(lates))]
@@ -140,7 +142,8 @@ def test_lookup_by_group(spark):
     rng = random.Random(3)
     rows = [(i, "hot" if i % 3 else rng.choice("abcd")) for i in range(900)] + [(901, None)]
     df = spark.createDataFrame(rows, "id long, g string")
-    lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("a", 3), ("x", 4), (None, 5)], "g string, v int")
+    known = [("hot", 1), ("a", 2), ("a", 3), ("x", 4), (None, 5)]
+    lookup = spark.createDataFrame(known, "g string, v int")
     found = sorted((r["id"], r["v"]) for r in lookup_by_group(df, lookup, "g", "id").collect())
     values = {"hot": [1], "a": [2, 3]}
     assert found == sorted((i, v) for i, g in rows for v in values.get(g, []))

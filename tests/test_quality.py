@@ -63,7 +63,8 @@ def test_duplicates(spark):
 
 
 def test_null_profile(spark):
-    df = spark.createDataFrame([("a", 1, None), ("a", None, None), ("b", 3, 4)], "g string, x int, y int")
+    rows = [("a", 1, None), ("a", None, None), ("b", 3, 4)]
+    df = spark.createDataFrame(rows, "g string, x int, y int")
     assert tuple(quality.null_profile(df, ["x", "y"]).first()) == (3, 1, 2)
     by = {r["g"]: tuple(r)[1:] for r in quality.null_profile(df, ["y"], by="g").collect()}
     assert by == {"a": (2, 2), "b": (1, 0)}

@@ -68,7 +68,8 @@ def test_materialise_over_the_table_it_reads(spark):
     stored = materialise(changed, "shipped", mode="overwrite")
     kinds = {r["DelayCategory"] for r in stored.collect()}
     assert kinds == {"Delayed", "Early (5+ days early)"}
-    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("shipped")] == ["shipped"]
+    names = [t.name for t in spark.catalog.listTables()]
+    assert [n for n in names if n.startswith("shipped")] == ["shipped"]
     spark.sql("DROP TABLE shipped")
 
 
