@@ -1,7 +1,9 @@
 from cartsight.functions.columns import (
     delay_category,
     delay_days,
+    delay_micros,
     distance_band,
+    exact_mean,
     exact_sum,
     exact_units,
     haversine_km,
@@ -12,7 +14,9 @@ from cartsight.functions.columns import (
 __all__ = [
     "delay_category",
     "delay_days",
+    "delay_micros",
     "distance_band",
+    "exact_mean",
     "exact_sum",
     "exact_units",
     "haversine_km",

@@ -16,14 +16,19 @@ ON_TIME = "On-Time (0-5 days early)"
 EARLY = "Early (5+ days early)"
 ROUTE_ARROW = " -> "
 
-_MICROS_PER_DAY = 86_400_000_000.0
+MICROS_PER_DAY = 86_400_000_000.0
 
 
-def delay_days(actual: str | Column, expected: str | Column) -> Column:
-    """``actual - expected`` in days with the fraction of the day; negative when early."""
+def delay_micros(actual: str | Column, expected: str | Column) -> Column:
+    """``actual - expected`` in whole microseconds; negative when early."""
     expected = F.col(expected) if isinstance(expected, str) else expected
     actual = F.col(actual) if isinstance(actual, str) else actual
-    return F.timestamp_diff("MICROSECOND", expected, actual) / F.lit(_MICROS_PER_DAY)
+    return F.timestamp_diff("MICROSECOND", expected, actual)
+
+
+def delay_days(actual: str | Column, expected: str | Column) -> Column:
+    """``actual - expected`` in days with the fraction of the day; negative when early."""
+    return delay_micros(actual, expected) / F.lit(MICROS_PER_DAY)
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -57,8 +62,8 @@ def exact_units(value: str | Column, digits: int) -> Column:
     """A double that holds a decimal number with ``digits`` places, as a whole number of units.
 
     Sums of whole numbers do not depend on the order in which tasks finish or are run again. A
-    plain sum of units suits the rows of one product or order; it raises an error, and never wraps
-    around, beyond 9 * 10**18.
+    plain sum of units suits the rows of one product or order; beyond 9 * 10**18 it raises an
+    error in ANSI mode, Spark's default.
     """
     value = F.col(value) if isinstance(value, str) else value
     return F.rint(value * 10**digits).cast("long")
@@ -69,6 +74,11 @@ def exact_sum(value: str | Column, digits: int = 2) -> Column:
     return F.sum(exact_units(value, digits).cast("decimal(18,0)"))
 
 
+def exact_mean(value: str, digits: int) -> Column:
+    """Aggregate: mean of a column with ``digits`` places, from its :func:`exact_sum`."""
+    return F.try_divide(exact_sum(value, digits).cast("double") / 10**digits, F.count(value))
+
+
 def percent_of(part: Column, whole: Column) -> Column:
     """``100 * part / whole`` as a double; NULL when ``whole`` is 0."""
     return F.try_divide(100.0 * part, whole)

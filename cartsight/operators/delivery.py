@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartsight.functions import delay_days
+from cartsight.functions import delay_days, delay_micros
+from cartsight.functions.columns import MICROS_PER_DAY
 from cartsight.operators.quality import null_profile, row_count
 from cartsight.operators.ranking import top_k, upper_median
 
@@ -37,7 +38,7 @@ def missing_delivery_by_status(orders: DataFrame) -> DataFrame:
     profile = null_profile(
         orders, {ARRIVED: "missing_delivery_date"}, by="order_status", total_name="total_orders"
     )
-    return profile.orderBy(F.desc("total_orders"))
+    return profile.orderBy(F.desc("total_orders"), "order_status")
 
 
 def delivered_without_date(orders: DataFrame) -> DataFrame:
@@ -81,8 +82,10 @@ def _ntz(moment: dt.datetime):
 def delay_stats(orders: DataFrame) -> DataFrame:
     """Mean, earliest and latest delivery against the promise, in days."""
     delay = delay_days(ARRIVED, PROMISED)
+    micros = delay_micros(ARRIVED, PROMISED)
+    mean = F.try_divide(F.sum(micros.cast("decimal(18,0)")).cast("double"), F.count(micros))
     return delivered(orders).agg(
-        F.round(F.avg(delay), 2).alias("AvgDelayDays"),
+        F.round(mean / MICROS_PER_DAY, 2).alias("AvgDelayDays"),
         F.round(F.min(delay), 1).alias("BestCase_EarlyDays"),
         F.round(F.max(delay), 1).alias("WorstCase_DelayDays"),
     )

@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartsight.functions import delay_category, delay_days, distance_band, haversine_km
+from cartsight.functions import (
+    delay_category,
+    delay_days,
+    distance_band,
+    exact_mean,
+    haversine_km,
+)
 from cartsight.functions.columns import ROUTE_ARROW
 from cartsight.operators.delivery import ARRIVED, PROMISED, delivered
 from cartsight.operators.joins import join_facts, lookup_by_group
@@ -157,7 +163,7 @@ def delay_by_distance_band(shipped: DataFrame) -> DataFrame:
         shipped.groupBy(distance_band("DistanceKM").alias("DistanceGroup"))
         .agg(
             F.count(F.lit(1)).alias("NumberOfOrders"),
-            F.round(F.avg("DeliveryDelayDays"), 1).alias("AvgDelayDays"),
+            F.round(exact_mean("DeliveryDelayDays", 1), 1).alias("AvgDelayDays"),
         )
         .orderBy("DistanceGroup")
     )

@@ -14,11 +14,11 @@ def lookup_by_group(
     """Inner join of ``rows`` with ``lookup``, one or a few rows per value of ``group``.
 
     Meant for groups such as a category or a zip prefix, where one value may hold a large part of
-    ``rows``. If Spark sees that ``lookup`` is small it broadcasts it. Otherwise the rows of a
-    group go to ``slots`` places by a hash of ``spread_by``, a column that differs within the
-    group, and ``lookup`` is repeated for each slot. That also puts a plain shuffle on both sides,
-    which lets adaptive execution cut up a partition that is still too large; directly on top of
-    an aggregate it cannot.
+    ``rows``. The rows of a group go to ``slots`` places by a hash of ``spread_by``, a column that
+    differs within the group, and ``lookup`` is repeated for each slot. That also puts a plain
+    shuffle on both sides, which lets adaptive execution cut up a partition that is still too
+    large; directly on top of an aggregate it cannot. If Spark knows or measures that ``lookup`` is
+    small it broadcasts it instead, at most ``slots`` times the size that counts as small.
     """
     placed = rows.withColumn("slot", F.pmod(F.xxhash64(spread_by), F.lit(slots)))
     each = F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartsight.functions import exact_sum, percent_of
+from cartsight.functions import exact_mean, percent_of
 
 
 def _delayed():
@@ -16,16 +16,11 @@ def _rows():
     return F.count(F.lit(1))
 
 
-def _mean(column: str, digits: int):
-    total = exact_sum(column, digits).cast("double") / 10**digits
-    return F.try_divide(total, F.count(column))
-
-
 def delayed_rate(shipped: DataFrame) -> DataFrame:
     """Percentage of delayed items (1 place) and mean freight."""
     return shipped.agg(
         F.round(percent_of(_delayed(), _rows()), 1).alias("DelayedPct"),
-        F.round(_mean("freight_value", 2), 2).alias("AvgFreight"),
+        F.round(exact_mean("freight_value", 2), 2).alias("AvgFreight"),
     )
 
 
@@ -40,8 +35,8 @@ def kpi_summary(shipped: DataFrame, as_percent: bool = False) -> DataFrame:
         rate = F.round(F.try_divide(_delayed(), _rows()), 4)
     return shipped.agg(
         rate.alias("DelayedRatePct"),
-        F.round(_mean("DistanceKM", 1), 1).alias("AvgDistanceKM"),
-        F.round(_mean("freight_value", 2), 2).alias("AvgFreightValue"),
+        F.round(exact_mean("DistanceKM", 1), 1).alias("AvgDistanceKM"),
+        F.round(exact_mean("freight_value", 2), 2).alias("AvgFreightValue"),
     )
 
 

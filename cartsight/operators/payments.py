@@ -5,26 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartsight.functions import exact_sum
+from cartsight.functions import exact_mean, exact_sum
 
 
 def payment_summary(payments: DataFrame) -> DataFrame:
     """Transactions, mean and total value per payment type, most used first."""
-    cents = exact_sum("payment_value")
+    total = exact_sum("payment_value", 2).cast("double") / 100
     return (
         payments.groupBy("payment_type")
         .agg(
             F.count(F.lit(1)).alias("total_transactions"),
-            F.count("payment_value").alias("valued"),
-            cents.cast("double").alias("cents"),
-        )
-        .select(
-            "payment_type",
-            "total_transactions",
-            F.round(F.try_divide(F.col("cents") / 100, F.col("valued")), 2).alias(
-                "avg_payment_value"
-            ),
-            F.round(F.col("cents") / 100, 2).alias("total_payment_value"),
+            F.round(exact_mean("payment_value", 2), 2).alias("avg_payment_value"),
+            F.round(total, 2).alias("total_payment_value"),
         )
         .orderBy(F.desc("total_transactions"), "payment_type")
     )

@@ -129,6 +129,18 @@ _TABLES = {
         GROUP BY ALL
         """,
     ),
+    "t_every_month": (
+        ["t_monthly"],
+        """
+        SELECT s.category, s.state, s.ds, coalesce(m.y, 0) AS y
+        FROM (SELECT category, state,
+                     CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS DATE) AS ds
+              FROM t_monthly GROUP BY category, state) s
+        LEFT JOIN t_monthly m
+          ON m.ds = s.ds AND m.category IS NOT DISTINCT FROM s.category
+             AND m.state IS NOT DISTINCT FROM s.state
+        """,
+    ),
     "t_total": (
         ["t_items", "t_orders"],
         """
@@ -518,6 +530,7 @@ _TOTAL_BODIES = {
     "f06t_accuracy_total": f"SELECT {_ERRORS} {_FIT}",
 }
 
+_FILLED_BODIES = {"f02z_trend_zero_filled": _SERIES_BODIES["f02_trend_model"]}
 _WAVE_BODIES = {
     "f03_seasonal_model": f"""
         SELECT {_NAMED}, CAST(n AS BIGINT) AS n, round(intercept, 2) AS intercept,
@@ -534,7 +547,11 @@ _WAVE_BODIES = {
 }
 
 ORACLES: dict[str, str] = {name: _statement(body, _TABLES) for name, body in _BODIES.items()}
-for _source, _bodies in (("t_monthly", _SERIES_BODIES), ("t_total", _TOTAL_BODIES)):
+for _source, _bodies in (
+    ("t_monthly", _SERIES_BODIES),
+    ("t_total", _TOTAL_BODIES),
+    ("t_every_month", _FILLED_BODIES),
+):
     _tables = {**_TABLES, **_trend(_source)}
     ORACLES.update({name: _statement(body, _tables) for name, body in _bodies.items()})
 _tables = {**_TABLES, **_waves("t_monthly")}

@@ -51,7 +51,7 @@ def _(s):
 
 @query("o02_orphan_items")
 def _(s):
-    return quality.orphan_count(s.order_items, s.orders, "order_id")
+    return quality.orphan_count(s.order_items, s.orders, "order_id", parent_unique=True)
 
 
 @query("o02b_orders_without_items")
@@ -61,7 +61,7 @@ def _(s):
 
 @query("o03a_orders_without_customer")
 def _(s):
-    return quality.orphan_count(s.orders, s.customers, "customer_id")
+    return quality.orphan_count(s.orders, s.customers, "customer_id", parent_unique=True)
 
 
 @query("o03b_customers_without_orders")
@@ -71,7 +71,7 @@ def _(s):
 
 @query("o04a_items_without_product")
 def _(s):
-    return quality.orphan_count(s.order_items, s.products, "product_id")
+    return quality.orphan_count(s.order_items, s.products, "product_id", parent_unique=True)
 
 
 @query("o04b_products_never_sold")
@@ -360,6 +360,14 @@ def _(s):
     return _rounded(shown, 2, "slope", "intercept", "sigma")
 
 
+@query("f02z_trend_zero_filled")
+def _(s):
+    """The line per series when months without sales count as zero."""
+    filled = forecast.fill_months(_series(s), SERIES)
+    shown = forecast.fit_trend(filled, SERIES).select(*SERIES, "n", "slope", "intercept", "sigma")
+    return _rounded(shown, 2, "slope", "intercept", "sigma")
+
+
 @query("f02t_trend_model_total")
 def _(s):
     shown = forecast.fit_trend(_total(s)).select("n", "slope", "intercept", "sigma")

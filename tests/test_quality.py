@@ -26,7 +26,8 @@ def _not_in(child, parent):
 def test_orphans_follow_not_in(spark, child, parent):
     left, right = _keys(spark, child), _keys(spark, parent, "p")
     (found,) = quality.orphan_count(left, right, "k", "p").first()
-    assert found == _not_in(child, parent)
+    (joined,) = quality.orphan_count(left, right, "k", "p", parent_unique=True).first()
+    assert found == joined == _not_in(child, parent)
     left.createOrReplaceTempView("c")
     right.createOrReplaceTempView("p")
     (sql,) = spark.sql("SELECT count(*) FROM c WHERE k NOT IN (SELECT p FROM p)").first()
@@ -36,10 +37,11 @@ def test_orphans_follow_not_in(spark, child, parent):
 @pytest.mark.parametrize("parent", [[1], [1, None], []])
 def test_orphans_by_match(spark, parent):
     child = [1, 2, None, 2]
-    (found,) = quality.orphan_count(
-        _keys(spark, child), _keys(spark, parent), "k", null_aware=False
-    ).first()
-    assert found == sum(c is None or c not in parent for c in child)
+    for unique in (False, True):
+        (found,) = quality.orphan_count(
+            _keys(spark, child), _keys(spark, parent), "k", null_aware=False, parent_unique=unique
+        ).first()
+        assert found == sum(c is None or c not in parent for c in child)
 
 
 def test_orphans_with_one_dominant_key(spark):
@@ -56,6 +58,13 @@ def test_orphans_need_no_join(sample):
     assert plan.count("partial_sum(in_child") == 1
 
 
+def test_orphans_of_unique_parents_are_not_broadcast_blindly(sample, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    found = quality.orphan_count(sample.order_items, sample.orders, "order_id", parent_unique=True)
+    plan = physical(found)
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Broadcast" not in plan
+
+
 def test_duplicates(spark):
     found = quality.duplicate_keys(_keys(spark, [1, 1, 2, None, None, 3, 3, 3]), "k").collect()
     assert {tuple(r) for r in found} == {(1, 2), (None, 2), (3, 3)}
