@@ -1,7 +1,7 @@
 from cartsight.functions.columns import (
     delay_category,
     delay_days,
-    delay_micros,
+    delay_seconds,
     distance_band,
     exact_mean,
     exact_sum,
@@ -9,12 +9,14 @@ from cartsight.functions.columns import (
     haversine_km,
     month_index,
     percent_of,
+    rounded_delay,
+    rounded_km,
 )
 
 __all__ = [
     "delay_category",
     "delay_days",
-    "delay_micros",
+    "delay_seconds",
     "distance_band",
     "exact_mean",
     "exact_sum",
@@ -22,4 +24,6 @@ __all__ = [
     "haversine_km",
     "month_index",
     "percent_of",
+    "rounded_delay",
+    "rounded_km",
 ]

@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartsight.functions import delay_days, delay_micros
-from cartsight.functions.columns import MICROS_PER_DAY
+from cartsight.functions import delay_days, delay_seconds, rounded_delay
+from cartsight.functions.columns import SECONDS_PER_DAY
 from cartsight.operators.quality import null_profile, row_count
 from cartsight.operators.ranking import top_k, upper_median
 
@@ -49,7 +49,7 @@ def delivered_without_date(orders: DataFrame) -> DataFrame:
 
 
 def worst_delays(orders: DataFrame, k: int = 10) -> DataFrame:
-    delay = F.round(delay_days(ARRIVED, PROMISED), 1).alias("DeliveryDelayDays")
+    delay = rounded_delay(ARRIVED, PROMISED).alias("DeliveryDelayDays")
     rows = delivered(orders).select("order_id", ARRIVED, PROMISED, delay)
     return top_k(rows, "DeliveryDelayDays", k, tiebreak="order_id")
 
@@ -82,10 +82,10 @@ def _ntz(moment: dt.datetime):
 def delay_stats(orders: DataFrame) -> DataFrame:
     """Mean, earliest and latest delivery against the promise, in days."""
     delay = delay_days(ARRIVED, PROMISED)
-    micros = delay_micros(ARRIVED, PROMISED)
-    mean = F.try_divide(F.sum(micros.cast("decimal(18,0)")).cast("double"), F.count(micros))
+    seconds = delay_seconds(ARRIVED, PROMISED)
+    mean = F.try_divide(F.sum(seconds).cast("double"), F.count(seconds))
     return delivered(orders).agg(
-        F.round(mean / MICROS_PER_DAY, 2).alias("AvgDelayDays"),
+        F.round(mean / SECONDS_PER_DAY, 2).alias("AvgDelayDays"),
         F.round(F.min(delay), 1).alias("BestCase_EarlyDays"),
         F.round(F.max(delay), 1).alias("WorstCase_DelayDays"),
     )
@@ -93,5 +93,5 @@ def delay_stats(orders: DataFrame) -> DataFrame:
 
 def median_delay(orders: DataFrame) -> DataFrame:
     """Upper median of the delay, after rounding to a tenth of a day."""
-    delay = F.round(delay_days(ARRIVED, PROMISED), 1).alias("delay")
+    delay = rounded_delay(ARRIVED, PROMISED).alias("delay")
     return upper_median(delivered(orders).select(delay), "delay", "MedianDelayDays")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from cartsight.functions import (
     delay_category,
-    delay_days,
     distance_band,
     exact_mean,
-    haversine_km,
+    rounded_delay,
+    rounded_km,
 )
 from cartsight.functions.columns import ROUTE_ARROW
 from cartsight.operators.delivery import ARRIVED, PROMISED, delivered
@@ -82,10 +82,8 @@ def order_geo(
 
 
 def _distance():
-    km = haversine_km(
-        F.col("customer_lat"), F.col("customer_lng"), F.col("seller_lat"), F.col("seller_lng")
-    )
-    return F.round(km, 1).alias("DistanceKM")
+    ends = ["customer_lat", "customer_lng", "seller_lat", "seller_lng"]
+    return rounded_km(*[F.col(c) for c in ends]).alias("DistanceKM")
 
 
 def order_coordinates(placed: DataFrame) -> DataFrame:
@@ -147,7 +145,7 @@ def shipments(
         "seller_state",
         route.alias("ShippingRoute"),
         _distance(),
-        F.round(delay_days(ARRIVED, PROMISED), 1).alias("DeliveryDelayDays"),
+        rounded_delay(ARRIVED, PROMISED).alias("DeliveryDelayDays"),
         F.when(F.col(ARRIVED) > F.col(PROMISED), 1).otherwise(0).alias("IsDelayed"),
     )
 

@@ -8,7 +8,14 @@ import pytest
 from plans import final, physical
 from pyspark.sql import functions as F
 
-from cartsight.functions import delay_category, delay_days, distance_band, haversine_km
+from cartsight.functions import (
+    delay_category,
+    delay_days,
+    distance_band,
+    haversine_km,
+    rounded_delay,
+    rounded_km,
+)
 from cartsight.operators import geo, kpi
 from cartsight.operators.joins import join_facts, lookup_by_group
 from cartsight.sources.schemas import COMMERCE
@@ -42,7 +49,7 @@ def test_haversine_edges(spark):
     half_round = math.pi * 6371
     assert antipodal == pytest.approx(half_round, abs=1)
     assert poles == pytest.approx(half_round, abs=1)
-    assert _km(spark, (None, 1.0, 2.0, 3.0)) == [None]
+    assert _km(spark, (None, 1.0, 2.0, 3.0), (1.0, float("nan"), 2.0, 3.0)) == [None, None]
 
 
 def test_bands(spark):
@@ -58,6 +65,29 @@ def test_delay_days_is_exact(spark):
         "SELECT timestamp_ntz'2020-01-01 01:12:00' a, timestamp_ntz'2020-01-01 00:00:00' b"
     )
     assert df.select(delay_days("a", "b"), delay_days("b", "a")).first() == (0.05, -0.05)
+    assert df.select(rounded_delay("a", "b"), rounded_delay("b", "a")).first() == (0.1, -0.1)
+
+
+def test_rounding_is_half_up_on_every_twentieth(spark):
+    """All ties over three years, a second either side of them, and no negative zero."""
+    seconds = F.explode(F.array(*[F.col("id") * 4320 + d for d in (-1, 0, 1)]))
+    df = spark.range(-20_000, 20_000).select(seconds.alias("s"))
+    start = F.lit("2020-01-01").cast("timestamp_ntz")
+    df = df.select("s", (start + F.make_dt_interval(secs=F.col("s"))).alias("t"), start.alias("u"))
+    exact = (F.round(F.abs("s").cast("decimal(18,0)") / 86400, 1) * F.signum("s")).cast("double")
+    rows = df.select(rounded_delay("t", "u").alias("mine"), (exact + 0.0).alias("exact"))
+    assert rows.where("mine != exact").count() == 0
+    assert rows.where("cast(mine AS string) = '-0.0'").count() == 0
+
+
+def test_rounded_km(spark):
+    rng = random.Random(8)
+    points = [[rng.uniform(-89, 89), rng.uniform(-179, 179)] for _ in range(500)]
+    rows = [(*p, *q) for p, q in zip(points, points[1:])] + [(None, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    ends = [F.col(c) for c in "abcd"]
+    for mine, full in df.select(rounded_km(*ends), F.round(haversine_km(*ends), 1)).collect():
+        assert mine == full
 
 
 def test_centroid_keeps_pairs_together(spark):
