@@ -20,10 +20,10 @@ def lookup_by_group(
     large; directly on top of an aggregate it cannot. If Spark knows or measures that ``lookup`` is
     small it broadcasts it instead, at most ``slots`` times the size that counts as small.
     """
-    placed = rows.withColumn("slot", F.pmod(F.xxhash64(spread_by), F.lit(slots)))
+    placed = rows.withColumn("_slot", F.pmod(F.xxhash64(spread_by), F.lit(slots)))
     each = F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))
-    repeated = lookup.withColumn("slot", F.explode(each))
-    return placed.join(repeated, [group, "slot"]).drop("slot")
+    repeated = lookup.withColumn("_slot", F.explode(each))
+    return placed.join(repeated, [group, "_slot"]).drop("_slot")
 
 
 def join_facts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -164,7 +164,7 @@ def test_items_are_not_shuffled_by_zip(sample, settings, spark):
         )
     )
     by_zip = [line for line in plan.splitlines() if "Exchange" in line and "zip" in line]
-    assert by_zip and all("slot" in line or "geolocation" in line for line in by_zip)
+    assert by_zip and all("_slot" in line or "geolocation" in line for line in by_zip)
     assert "Broadcast" not in plan
 
 
