@@ -149,11 +149,13 @@ def top_prices_per_category(items: DataFrame, products: DataFrame, n: int = 3) -
     ranks = top_ranks(prices, CATEGORY, "price", n).withColumnsRenamed(
         {CATEGORY: "category", "price": "top_price"}
     )
-    # The lowest price in any ranking. Where missing prices hold a rank, no price is too low.
-    missing = F.max(F.col("top_price").isNull())
-    floor = ranks.agg(F.when(missing, float("-inf")).otherwise(F.min("top_price"))).scalar()
-    price = F.col("price")
-    dear = items.select("product_id", "price").where(price.isNull() | (price >= floor))
+    # The lowest price in any ranking. Missing prices rank below all others, as minus infinity.
+    price, lowest = F.col("price"), F.lit(float("-inf"))
+    floor = ranks.agg(F.min(F.coalesce("top_price", lowest))).scalar()
+    # The first condition says no more than the second, in a form the scan can use.
+    dear = items.select("product_id", "price").where(
+        (price.isNull() | (price >= floor)) & (F.coalesce(price, lowest) >= floor)
+    )
     at_top = price.eqNullSafe(F.col("top_price"))
     winners = (
         dear.distinct()

@@ -79,15 +79,17 @@ def _orphans_by_group(
 def _orphans_by_join(
     children: DataFrame, parents: DataFrame, null_aware: bool, name: str
 ) -> DataFrame:
-    unmatched = children.join(parents, "k", "left_anti")
-    everything = F.count(F.lit(1))
+    # NULL keys stay out of the join, where all of them would meet in one partition.
+    keyed = children.where(F.col("k").isNotNull())
+    unmatched = keyed.join(parents, "k", "left_anti")
+    rows, filled = F.count(F.lit(1)), F.count("k")
     if not null_aware:
-        return unmatched.agg(everything.alias(name))
-    rows = parents.agg(F.struct(everything.alias("n"), F.count("k").alias("keyed"))).scalar()
+        return unmatched.agg((rows + children.agg(rows - filled).scalar()).alias(name))
+    known = parents.agg(F.struct(rows.alias("rows"), filled.alias("filled"))).scalar()
     return unmatched.agg(
-        F.when(rows["n"] == 0, everything)
-        .when(rows["keyed"] < rows["n"], F.lit(0))
-        .otherwise(F.count("k"))
+        F.when(known["rows"] == 0, children.agg(rows).scalar())
+        .when(known["filled"] < known["rows"], F.lit(0))
+        .otherwise(rows)
         .alias(name)
     )
 
