@@ -261,7 +261,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of at least ``least``."""
     rows = label(docs.select(F.struct("*").alias("row")), model, "text")
     return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -47,10 +47,10 @@ def train(
     positive: list[set[str]],
     unlabelled: list[set[str]],
     prior: float,
-    vocabulary: int = 1024,
-    rounds: int = 400,
+    vocabulary: int = 512,
+    rounds: int = 500,
     rate: float = 0.05,
-    ridge: float = 1e-4,
+    ridge: float = 3e-5,
 ) -> Model:
     """Fit on word sets. Without positives or unlabelled sets the model says 0 for everything."""
     if not positive or not unlabelled:

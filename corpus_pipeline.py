@@ -17,7 +17,7 @@ from cartsight.llm.common import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network knows, by half of the probability at least."""
+    """Documents whose language the network knows, by four tenths of the probability at least."""
     return langid.accepted(docs, langid.fit(docs))
 
 
