@@ -173,6 +173,16 @@ def disclosing_terms(
     )
     pairs = stored(pairs, "pairs")
     entities = seen.select("entity", "t").distinct().groupBy("entity").agg(F.count("t").alias("n_e"))
+    n = docs.select(F.xxhash64(text).alias("t")).agg(F.approx_count_distinct("t", 0.01)).first()[0]
+    all_texts = F.greatest(F.lit(float(n)), F.col("n_e"), F.col("n_t"))
+    bits = F.log2(all_texts / F.col("n_e"))
+    told = F.log2(F.col("together") * all_texts / (F.col("n_t") * F.col("n_e")))
+    tells = (bits > 0) & (told >= discloses * bits)
+    # a term is in no fewer texts than those where it is near an entity: most common words drop out
+    near_any = seen.select("term", "t").distinct().groupBy("term").agg(F.count("t").alias("n_t"))
+    pairs = stored(
+        pairs.join(entities, "entity").join(near_any, "term").where(tells).drop("n_t"), "judged"
+    )
     bucket = F.pmod(F.xxhash64("term"), F.lit(_TERM_BUCKETS)).cast("int").alias("bucket")
     wanted = pairs.select(bucket).distinct()
     words = docs.select(
@@ -180,20 +190,8 @@ def disclosing_terms(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"),
     )
     some = words.select("t", "term", bucket).join(F.broadcast(wanted), "bucket", "left_semi")
-    terms = (
-        some.select("term", "t").distinct().join(pairs.select("term").distinct(), "term")
-        .groupBy("term").agg(F.count("t").alias("n_t"))
-    )
-    total = docs.select(F.xxhash64(text).alias("t")).agg(F.approx_count_distinct("t", 0.01).alias("n"))
-    return (
-        pairs.join(terms, "term")
-        .join(entities, "entity")
-        .withColumn("n", F.greatest(total.scalar(), F.col("n_e"), F.col("n_t")).cast("double"))
-        .withColumn("bits", F.log2(F.col("n") / F.col("n_e")))
-        .withColumn("told", F.log2(F.col("together") * F.col("n") / (F.col("n_t") * F.col("n_e"))))
-        .where((F.col("bits") > 0) & (F.col("told") >= discloses * F.col("bits")))
-        .select("entity", "term")
-    )
+    terms = some.select("term", "t").distinct().groupBy("term").agg(F.count("t").alias("n_t"))
+    return pairs.join(terms, "term").where(tells).select("entity", "term")
 
 
 def _pattern(terms: Column) -> Column:
