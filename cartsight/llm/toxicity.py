@@ -47,10 +47,10 @@ def train(
     positive: list[set[str]],
     unlabelled: list[set[str]],
     prior: float,
-    vocabulary: int = 512,
+    vocabulary: int = 256,
     rounds: int = 500,
     rate: float = 0.05,
-    ridge: float = 3e-5,
+    ridge: float = 1e-4,
 ) -> Model:
     """Fit on word sets. Without positives or unlabelled sets the model says 0 for everything."""
     if not positive or not unlabelled:
@@ -103,8 +103,8 @@ def train(
 def fit(
     docs: DataFrame,
     labels: DataFrame,
-    most_positive: int = 3000,
-    most_unlabelled: int = 6000,
+    most_positive: int = 2000,
+    most_unlabelled: int = 4000,
     prior: float | None = None,
 ) -> Model:
     """Train on at most ``most_positive`` toxic and ``most_unlabelled`` other documents.
