@@ -151,6 +151,6 @@ def removed(docs: DataFrame) -> DataFrame:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
-    kind = Kind(LENGTH, ANCHOR, "u1", _bytes, first_documents)
+    kind = Kind(LENGTH, ANCHOR, "u1", 1, _bytes, first_documents)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return solve(docs, kind, report, schema)

@@ -38,6 +38,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """:func:`stored`, filed by ``key``, so that a join on it moves only the other side.
+
+    Spark keeps such a layout in its catalogue: the table is an entry there, its files lie in the
+    shared folder. Both can be dropped once the results are written.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    entry = f"llm_{path.rsplit('/', 1)[1].replace('-', '_')}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(entry)
+    return spark.table(entry)
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; NULL ids count as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -24,7 +24,7 @@ _U = np.uint64
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash value for each word. Zero stands for no word."""
+    """A hash value of 48 bits for each word. Zero stands for no word."""
     number: dict[bytes, int] = {}
     parts, counts = [], []
     for text in texts:
@@ -32,7 +32,7 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         counts.append(len(words))
         parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
     digest = xxhash.xxh64_intdigest
-    values = np.fromiter((digest(w, 1) | 1 for w in number), _U, len(number))
+    values = np.fromiter((digest(w, 1) >> 16 | 1 for w in number), _U, len(number))
     every = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return (values[every] if len(values) else np.zeros(0, _U)), np.array(counts, np.int64)
 
@@ -108,7 +108,7 @@ def removed(docs: DataFrame) -> DataFrame:
     A word goes if a window of 13 words that covers it also starts in a document with a smaller id.
     A NULL text has no words. Rows with a NULL id come after all ids and lose nothing to each other,
     as do rows with the same id. Texts with fewer than 13 words keep everything. ``kept`` is what
-    is left, words joined by one space. Words are compared by 63 bits of a hash. Other columns are
+    is left, words joined by one space. Words are compared by 47 bits of a hash. Other columns are
     ignored.
     """
 
@@ -129,6 +129,6 @@ def removed(docs: DataFrame) -> DataFrame:
             ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
         )
 
-    kind = Kind(LENGTH, ANCHOR, "<u8", _words, first_documents)
+    kind = Kind(LENGTH, ANCHOR, "<u8", 6, _words, first_documents)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
     return solve(docs, kind, report, schema).withColumn("kept", F.col("kept").cast("string"))

@@ -13,7 +13,8 @@ out exactly. Three rounds follow, each a shuffle on Spark:
 3. every batch puts the answers together.
 
 A message holds the values of one batch for one owner, so a passage that a third of all documents
-share is sent once for each batch at most.
+share is sent once for each batch at most. The batches are filed by number, so that answers come to
+them without moving a text.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartsight.llm.common import stored
+from cartsight.llm.common import bucketed, stored
 
 BATCH_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 _SCHEMA = "batch long, ids array<long>, sizes array<int>, data binary"
 _U = np.uint64
-_STRIDE = 1 << 16
+_STRIDE, _PIECE = 1 << 16, 1 << 13
 
 
 def _zip(data: bytes) -> bytes:
@@ -73,12 +74,12 @@ def packed(docs: DataFrame) -> DataFrame:
             yield row()
 
     slim = docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text")
-    return stored(slim.mapInArrow(run, _SCHEMA), "packed")
+    return bucketed(slim.mapInArrow(run, _SCHEMA), "packed", "batch")
 
 
 @dataclass
 class Kind:
-    """What tokens are, and how surroundings are compared.
+    """What tokens are, and how surroundings are compared. Messages hold ``sent`` bytes of a token.
 
     ``tokens(texts)`` gives the tokens of a list of texts one after the other, and their number by
     text. ``first(around, inside, docs)`` gets surroundings [n, 2W - k], which of their tokens
@@ -89,6 +90,7 @@ class Kind:
     window: int
     anchor: int
     dtype: str
+    sent: int
     tokens: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     first: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -172,10 +174,16 @@ def _hashes(tokens: np.ndarray, length: int) -> np.ndarray:
 
 def surroundings(kind: Kind, batch: Batch, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens around each anchor [n, around], and which lie in its document; others are 0."""
-    at = place[:, None] + np.arange(kind.around)[None] - (kind.window - kind.anchor)
-    inside = (at >= batch.begins[doc][:, None]) & (at < batch.ends[doc][:, None])
-    out = batch.tokens[np.clip(at, 0, len(batch.tokens) - 1)]
-    out[~inside] = 0
+    out = np.zeros((len(place), kind.around), batch.tokens.dtype)
+    inside = np.zeros((len(place), kind.around), bool)
+    across = np.arange(kind.around)[None] - (kind.window - kind.anchor)
+    for low in range(0, len(place), _PIECE):
+        part, d = place[low : low + _PIECE], doc[low : low + _PIECE]
+        at = part[:, None] + across
+        here = (at >= batch.begins[d][:, None]) & (at < batch.ends[d][:, None])
+        found = batch.tokens[np.clip(at, 0, len(batch.tokens) - 1)]
+        found[~here] = 0
+        out[low : low + _PIECE], inside[low : low + _PIECE] = found, here
     return out, inside
 
 
@@ -198,6 +206,11 @@ def _messages(number: int, owner: np.ndarray, make: Callable[[np.ndarray], bytes
     return [(int(owner[a]), number, make(np.arange(a, b))) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _each(rows: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(rows.num_rows):
+        yield rows.slice(i, 1).to_pylist()[0]
+
+
 def _table(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -220,7 +233,7 @@ def _distinct(kind: Kind, batch: Batch, owners: int) -> tuple:
 def _ask_anchors(kind: Kind, owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for r in rows.to_pylist():
+            for r in _each(rows):
                 batch = unpacked(kind, r["ids"], r["sizes"], r["data"])
                 _, doc, values, owner, which = _distinct(kind, batch, owners)
                 if not len(values):
@@ -262,35 +275,57 @@ def _gathered(answers: DataFrame) -> DataFrame:
     return answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("owner", "m"))).alias("answers"))
 
 
+@dataclass
+class Shared:
+    """Anchors of a batch that other documents have too, and the different surroundings they have.
+
+    Surroundings are in the order of their owners, which is that of the messages.
+    """
+
+    place: np.ndarray
+    doc: np.ndarray
+    same: np.ndarray  # which surroundings an anchor has
+    owner: np.ndarray
+    least: np.ndarray  # the smallest id in the batch that has them
+    around: np.ndarray
+    inside: np.ndarray
+
+
+def _shared(kind: Kind, batch: Batch, owners: int, answers: list | None) -> Shared:
+    place, doc, values, owner, which = _distinct(kind, batch, owners)
+    shared = np.zeros(len(values), bool)
+    for a in answers or []:
+        lo, hi = np.searchsorted(owner, [a["owner"], a["owner"] + 1])
+        shared[lo:hi] = np.unpackbits(np.frombuffer(a["m"], np.uint8), count=hi - lo).astype(bool)
+    some = shared[which] if len(which) else np.zeros(0, bool)
+    place, doc, which = place[some], doc[some], which[some]
+    around, inside = surroundings(kind, batch, place, doc)
+    at, same = _rows_equal(around, inside)
+    to = owner[which[at]]
+    order = np.argsort(to, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at, same = at[order], rank[same]
+    least = np.full(len(at), NO_ID)
+    np.minimum.at(least, same, batch.ids[doc])
+    return Shared(place, doc, same, to[order], least, around[at], inside[at])
+
+
 def _ask_around(kind: Kind, owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for r in rows.to_pylist():
-                batch = unpacked(kind, r["ids"], r["sizes"], r["data"])
-                place, doc, values, owner, which = _distinct(kind, batch, owners)
-                shared = np.zeros(len(values), bool)
-                for a in r["answers"] or []:
-                    lo, hi = np.searchsorted(owner, [a["owner"], a["owner"] + 1])
-                    shared[lo:hi] = np.unpackbits(np.frombuffer(a["m"], np.uint8), count=hi - lo).astype(bool)
-                some = shared[which]
-                place, doc, which = place[some], doc[some], which[some]
-                around, inside = surroundings(kind, batch, place, doc)
-                at, same = _rows_equal(around, inside)
-                to = owner[which[at]] if len(at) else np.zeros(0, np.int64)
-                order = np.argsort(to, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                same, at, to = rank[same] if len(at) else same, at[order], to[order]
-                least = np.full(len(at), NO_ID)
-                np.minimum.at(least, same, batch.ids[doc])
-                own, flags = around[at], np.packbits(inside[at], axis=1)
-
-                def message(i: np.ndarray, own=own, flags=flags, least=least) -> bytes:
-                    return _zip(least[i].astype("<i8").tobytes() + flags[i].tobytes() + own[i].tobytes())
-
-                kept = np.stack([place, same]).astype("<i4").tobytes()
-                out = [*_messages(r["batch"], to, message), (-1, r["batch"], _zip(kept))]
-                yield _table(out, ["owner", "batch", "m"], [_LONG, _LONG, _BIN])
+            for r in _each(rows):
+                found = _shared(kind, unpacked(kind, r["ids"], r["sizes"], r["data"]), owners, r["answers"])
+                own = np.ascontiguousarray(found.around).view(np.uint8)
+                own = own.reshape(len(own), -1, found.around.itemsize)[:, :, : kind.sent] if len(own) else own
+                flags = np.packbits(found.inside, axis=1)
+
+                def message(i: np.ndarray, found=found, own=own, flags=flags) -> bytes:
+                    return _zip(found.least[i].astype("<i8").tobytes() + flags[i].tobytes() + own[i].tobytes())
+
+                out = _messages(r["batch"], found.owner, message)
+                if out:
+                    yield _table(out, ["owner", "batch", "m"], [_LONG, _LONG, _BIN])
 
     return run
 
@@ -347,14 +382,18 @@ def _answer_around(kind: Kind):
 
     def answer(group: pa.Table) -> pa.Table:
         messages = [_unzip(m) for m in group["m"].to_pylist()]
-        size = 8 + flag_bytes + width * np.dtype(kind.dtype).itemsize
+        wide = np.dtype(kind.dtype).itemsize
+        size = 8 + flag_bytes + width * kind.sent
         counts = [len(m) // size for m in messages]
         docs, inside, around = [], [], []
         for m, n in zip(messages, counts, strict=True):
             docs.append(np.frombuffer(m, "<i8", n))
             flags = np.frombuffer(m, np.uint8, n * flag_bytes, 8 * n).reshape(n, -1)
             inside.append(np.unpackbits(flags, axis=1, count=width).astype(bool))
-            around.append(np.frombuffer(m, kind.dtype, n * width, (8 + flag_bytes) * n).reshape(n, width))
+            sent = np.frombuffer(m, np.uint8, n * width * kind.sent, (8 + flag_bytes) * n)
+            full = np.zeros((n, width, wide), np.uint8)
+            full[:, :, : kind.sent] = sent.reshape(n, width, kind.sent)
+            around.append(full.view(kind.dtype).reshape(n, width))
         docs, inside, around = map(np.concatenate, (docs, inside, around))
         at, same = _rows_equal(around, inside)
         least = np.full(len(at), NO_ID)
@@ -372,29 +411,23 @@ def _answer_around(kind: Kind):
     return answer
 
 
-def repeated_starts(kind: Kind, batch: Batch, answers: list, kept: bytes | None) -> np.ndarray:
+def repeated_starts(kind: Kind, batch: Batch, found: Shared, answers: list | None) -> np.ndarray:
     """Which tokens of the batch start a window that also occurs in a document with a smaller id."""
     hit = np.zeros(len(batch.tokens), bool)
-    if not kept:
-        return hit
-    place, same = np.frombuffer(_unzip(kept), "<i4").reshape(2, -1).astype(np.int64)
-    if not len(place):
-        return hit
-    doc = np.searchsorted(batch.ends, place, side="right")
-    n = int(same.max()) + 1
-    least = np.full(n, NO_ID)
-    np.minimum.at(least, same, batch.ids[doc])
-    earlier, at = np.zeros((n, kind.starts), bool), 0
-    for a in sorted(answers or [], key=lambda a: a["owner"]):
+    earlier, at = np.zeros((len(found.least), kind.starts), bool), 0
+    for a in answers or []:
         bits = np.unpackbits(np.frombuffer(_unzip(a["m"]), np.uint8))
         rows = len(bits) // kind.starts
         earlier[at : at + rows] = bits[: rows * kind.starts].reshape(rows, -1)
         at += rows
-    # a document after the first that has these surroundings has no window that is new
-    again = batch.ids[doc] > least[same]
-    start = place[:, None] - (kind.window - kind.anchor) + np.arange(kind.starts)[None]
-    fits = (start >= batch.begins[doc][:, None]) & (start + kind.window <= batch.ends[doc][:, None])
-    hit[start[fits & (earlier[same] | again[:, None])]] = True
+    across = np.arange(kind.starts)[None] - (kind.window - kind.anchor)
+    for low in range(0, len(found.place), _PIECE):
+        place, doc, same = (x[low : low + _PIECE] for x in (found.place, found.doc, found.same))
+        # a document after the first that has these surroundings has no window that is new
+        again = batch.ids[doc] > found.least[same]
+        start = place[:, None] + across
+        fits = (start >= batch.begins[doc][:, None]) & (start + kind.window <= batch.ends[doc][:, None])
+        hit[start[fits & (earlier[same] | again[:, None])]] = True
     return hit
 
 
@@ -413,17 +446,17 @@ def solve(docs: DataFrame, kind: Kind, report: Callable[[Batch, np.ndarray], pa.
     owners = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n)
     names = "owner long, batch long, m binary"
     asked = batches.mapInArrow(_ask_anchors(kind, owners), names)
-    answered = _gathered(asked.groupBy("owner").applyInArrow(_answer_anchors, names))
-    with_answers = batches.join(answered, "batch", "left").select("batch", "ids", "sizes", "data", "answers")
-    around = stored(with_answers.mapInArrow(_ask_around(kind, owners), names), "around")
-    compared = around.where("owner >= 0").groupBy("owner").applyInArrow(_answer_around(kind), names)
-    kept = around.where("owner < 0").select("batch", F.col("m").alias("kept"))
-    final = batches.join(kept, "batch", "left").join(_gathered(compared), "batch", "left")
+    shared = _gathered(stored(asked.groupBy("owner").applyInArrow(_answer_anchors, names), "shared"))
+    informed = batches.join(shared.withColumnRenamed("answers", "shared"), "batch", "left")
+    around = informed.withColumnRenamed("shared", "answers").mapInArrow(_ask_around(kind, owners), names)
+    compared = around.groupBy("owner").applyInArrow(_answer_around(kind), names)
+    final = informed.join(_gathered(compared), "batch", "left")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
-            for r in part.to_pylist():
+            for r in _each(part):
                 batch = unpacked(kind, r["ids"], r["sizes"], r["data"])
-                yield report(batch, repeated_starts(kind, batch, r["answers"], r["kept"]))
+                found = _shared(kind, batch, owners, r["shared"])
+                yield report(batch, repeated_starts(kind, batch, found, r["answers"]))
 
-    return final.select("batch", "ids", "sizes", "data", "kept", "answers").mapInArrow(run, schema)
+    return final.select("batch", "ids", "sizes", "data", "shared", "answers").mapInArrow(run, schema)
