@@ -173,8 +173,13 @@ def fit(docs: DataFrame, per_lang: int = 400, windows: int = 8, rounds: int = 30
     slim = docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "lang", "text").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = slim.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+    ids = slim.select("doc_id", "lang").distinct()
+    counts = ids.groupBy(F.col("lang").alias("l")).agg(F.count("doc_id").alias("n"))
+    # a draw of about twice the bound goes to the window, however common the language
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    few = ids.join(counts, F.col("lang") == F.col("l")).where(draw * F.col("n") <= 2 * per_lang * (1 << 30))
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
+    chosen = few.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
