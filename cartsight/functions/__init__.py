@@ -3,9 +3,9 @@ from cartsight.functions.columns import (
     delay_days,
     delay_seconds,
     distance_band,
+    amount,
     exact_mean,
     exact_sum,
-    exact_units,
     haversine_km,
     month_index,
     percent_of,
@@ -18,9 +18,9 @@ __all__ = [
     "delay_days",
     "delay_seconds",
     "distance_band",
+    "amount",
     "exact_mean",
     "exact_sum",
-    "exact_units",
     "haversine_km",
     "month_index",
     "percent_of",

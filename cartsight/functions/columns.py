@@ -76,25 +76,24 @@ def delay_category(days: str | Column) -> Column:
     return F.when(days > 0, DELAYED).when(days.between(-5, 0), ON_TIME).otherwise(EARLY)
 
 
-def exact_units(value: str | Column, digits: int) -> Column:
-    """A double that holds a decimal number with ``digits`` places, as a whole number of units.
+def amount(value: str | Column) -> Column:
+    """A number with ten places, so that sums do not depend on the order in which tasks finish.
 
-    Sums of whole numbers do not depend on the order in which tasks finish or are run again. A
-    plain sum of units suits the rows of one product or order; beyond 9 * 10**18 it raises an
-    error in ANSI mode, Spark's default.
+    What is no number, NaN and infinities among it, or has more than 18 digits before the point, is
+    NULL.
     """
     value = F.col(value) if isinstance(value, str) else value
-    return F.rint(value * 10**digits).cast("long")
+    return value.try_cast("decimal(28,10)")
 
 
-def exact_sum(value: str | Column, digits: int = 2) -> Column:
-    """Aggregate: sum of :func:`exact_units`, wide enough that no data volume overflows it."""
-    return F.sum(exact_units(value, digits).cast("decimal(18,0)"))
+def exact_sum(value: str | Column) -> Column:
+    """Aggregate: sum of :func:`amount`."""
+    return F.sum(amount(value))
 
 
-def exact_mean(value: str, digits: int) -> Column:
-    """Aggregate: mean of a column with ``digits`` places, from its :func:`exact_sum`."""
-    return F.try_divide(exact_sum(value, digits).cast("double") / 10**digits, F.count(value))
+def exact_mean(value: str | Column) -> Column:
+    """Aggregate: mean of :func:`amount` as a double; NULL values do not count."""
+    return F.try_divide(exact_sum(value).cast("double"), F.count(amount(value)))
 
 
 def percent_of(part: Column, whole: Column) -> Column:

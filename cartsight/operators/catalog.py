@@ -9,25 +9,26 @@ product table and join the items to it once; no item row is ever shuffled by cat
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartsight.functions import exact_units
+from cartsight.functions import amount
 from cartsight.operators.joins import lookup_by_group
 from cartsight.operators.ranking import top_k, top_ranks
 
 CATEGORY = "product_category_name"
 ENGLISH = "product_category_name_english"
-# Holds any long, so that sums of sums cannot overflow.
-_WIDE = "decimal(20,0)"
+# One over the last place of an amount.
+_UNITS = Decimal(10**10)
 
 
 def _sales_by_product(items: DataFrame) -> DataFrame:
     return items.groupBy("product_id").agg(
         F.count("order_id").alias("sold"),
-        F.count("price").alias("priced"),
-        F.sum(exact_units("price", 2)).alias("cents"),
+        F.count(amount("price")).alias("priced"),
+        F.sum(amount("price")).alias("amount"),
     )
 
 
@@ -39,7 +40,7 @@ def _sales_by_category(items: DataFrame, products: DataFrame) -> DataFrame:
         .agg(
             F.sum("sold").alias("sold"),
             F.sum("priced").alias("priced"),
-            F.sum(F.col("cents").cast(_WIDE)).alias("cents"),
+            F.sum("amount").alias("amount"),
         )
     )
 
@@ -54,7 +55,7 @@ def revenue_by_category(
         .groupBy(ENGLISH)
         .agg(
             F.sum("sold").alias("NumberOfItemsSold"),
-            F.round(F.sum("cents").cast("double") / 100, 2).alias("TotalRevenue"),
+            F.round(F.sum("amount").cast("double"), 2).alias("TotalRevenue"),
         )
     )
     return top_k(revenue, "TotalRevenue", k, tiebreak=ENGLISH)
@@ -71,9 +72,7 @@ def _mean_price(
         .join(chosen.select("product_id", ENGLISH), "product_id")
         .groupBy(ENGLISH)
         .agg(
-            F.try_divide(
-                F.sum(F.col("cents").cast(_WIDE)).cast("double") / 100, F.sum("sold")
-            ).alias("mean_price")
+            F.try_divide(F.sum("amount").cast("double"), F.sum("sold")).alias("mean_price")
         )
     )
 
@@ -102,18 +101,18 @@ def category_price_gap(
 def above_category_average(items: DataFrame, products: DataFrame) -> DataFrame:
     """Items that cost more than the mean price of their own category.
 
-    Prices are whole cents, so "above the mean" is the same as "above the mean rounded down", which
-    compares whole numbers. Items without a category have no mean to compare with and drop out.
+    Both are compared in units of the tenth decimal place, the mean with six more places. Items
+    without a category have no mean to compare with and drop out.
     """
-    whole_mean = F.expr("cents div priced - if(cents % priced < 0, 1, 0)")
+    mean_units = (F.col("amount") * _UNITS).cast("decimal(38,0)") / F.col("priced")
     means = (
         _sales_by_category(items, products)
         .where(F.col(CATEGORY).isNotNull() & (F.col("priced") > 0))
-        .select(CATEGORY, whole_mean.alias("mean_cents"))
+        .select(CATEGORY, mean_units.alias("mean_units"))
     )
     known = products.select("product_id", CATEGORY)
     lookup = lookup_by_group(known, means, CATEGORY, spread_by="product_id")
-    dearer = exact_units("price", 2) > F.col("mean_cents")
+    dearer = (amount("price") * _UNITS).cast("decimal(38,0)") > F.col("mean_units")
     return (
         items.select("order_id", "product_id", "price")
         .join(lookup, "product_id")
@@ -123,46 +122,61 @@ def above_category_average(items: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def above_average_share(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Share of all items that :func:`above_category_average` returns, to 4 places."""
-    total = items.agg(F.count(F.lit(1))).scalar()
-    above = above_category_average(items, products).agg(F.count(F.lit(1)).alias("above"))
-    return above.select(F.round(F.try_divide(F.col("above"), total), 4).alias("above_share"))
+    """Share of all items that :func:`above_category_average` returns, to 4 places.
+
+    Counted on (product, price, copies), for which the items are read once.
+    """
+    offers = items.groupBy("product_id", "price").agg(F.count(F.lit(1)).alias("copies"))
+    known = products.select("product_id", CATEGORY)
+    value = amount("price")
+    placed = (
+        offers.join(known, "product_id", "left")
+        .groupBy(CATEGORY, value.alias("value"))
+        .agg(F.sum("copies").alias("copies"))
+    )
+    means = (
+        placed.where(F.col(CATEGORY).isNotNull() & F.col("value").isNotNull())
+        .groupBy(F.col(CATEGORY).alias("category"))
+        .agg(
+            ((F.sum(F.col("value") * F.col("copies")).cast("decimal(38,10)") * _UNITS).cast("decimal(38,0)")
+             / F.sum("copies")).alias("mean_units")
+        )
+    )
+    dearer = (F.col("value") * _UNITS).cast("decimal(38,0)") > F.col("mean_units")
+    return (
+        placed.join(means, F.col(CATEGORY) == F.col("category"), "left")
+        .agg(F.sum(F.when(dearer, F.col("copies")).otherwise(0)).alias("above"), F.sum("copies").alias("total"))
+        .select(F.round(F.try_divide(F.col("above"), F.col("total")), 4).alias("above_share"))
+    )
 
 
-def top_prices_per_category(items: DataFrame, products: DataFrame, n: int = 3) -> DataFrame:
+def top_prices_per_category(
+    items: DataFrame, products: DataFrame, n: int = 3, chunk: int = 10_000
+) -> DataFrame:
     """Item rows whose price ranks among the ``n`` highest of their category.
 
     Equal prices share a rank and leave a gap behind, and all of them are returned, so a category
-    may give more than ``n`` rows. The ranks are found on (category, price, copies); no window ever
-    sees an item row. Items cheaper than every ranked price are then dropped at the scan, and the
-    few (product, price) pairs left over that hold a rank pick their item rows. That list is short
-    enough to be broadcast once measured, so a crowd at the top price stays spread out.
+    may give more than ``n`` rows. Everything the result shows follows from (product, price,
+    copies), so the items are read and grouped once; no window ever sees an item row. Many items at
+    one product and price are spelled out in chunks, which are dealt out before they are.
     """
     known = products.where(F.col(CATEGORY).isNotNull()).select("product_id", CATEGORY)
-    prices = (
+    offers = (
         items.groupBy("product_id", "price")
         .agg(F.count(F.lit(1)).alias("copies"))
         .join(known, "product_id")
-        .groupBy(CATEGORY, "price")
-        .agg(F.sum("copies").alias("copies"))
     )
+    prices = offers.groupBy(CATEGORY, "price").agg(F.sum("copies").alias("copies"))
     ranks = top_ranks(prices, CATEGORY, "price", n).withColumnsRenamed(
         {CATEGORY: "category", "price": "top_price"}
     )
-    # The lowest price in any ranking. Missing prices rank below all others, as minus infinity.
-    price, lowest = F.col("price"), F.lit(float("-inf"))
-    floor = ranks.agg(F.min(F.coalesce("top_price", lowest))).scalar()
-    # The first condition says no more than the second, in a form the scan can use.
-    dear = items.select("product_id", "price").where(
-        (price.isNull() | (price >= floor)) & (F.coalesce(price, lowest) >= floor)
-    )
-    at_top = price.eqNullSafe(F.col("top_price"))
-    winners = (
-        dear.distinct()
-        .join(known, "product_id")
-        .join(ranks, (F.col(CATEGORY) == F.col("category")) & at_top)
-        .select(F.col("product_id").alias("top_product"), "category", "top_price", "rank")
-    )
-    return dear.join(winners, (F.col("product_id") == F.col("top_product")) & at_top).select(
-        "category", "product_id", "price", F.col("rank").alias("RankInCategory")
+    same = (F.col(CATEGORY) == F.col("category")) & F.col("price").eqNullSafe(F.col("top_price"))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(chunk).cast("long")))
+    size = F.least(F.lit(chunk), F.col("copies") - F.col("first")).cast("int")
+    return (
+        offers.join(ranks, same)
+        .select("category", "product_id", "price", "rank", "copies", first.alias("first"))
+        .repartition("product_id", "price", "first")
+        .select("category", "product_id", "price", "rank", F.explode(F.array_repeat(F.lit(0), size)))
+        .select("category", "product_id", "price", F.col("rank").alias("RankInCategory"))
     )

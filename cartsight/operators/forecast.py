@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartsight.functions import exact_units, month_index
+from cartsight.functions import amount, month_index
 from cartsight.operators.joins import join_facts
 from cartsight.sources import materialise
 
@@ -44,7 +44,7 @@ def monthly_revenue(
     time: str = "order_purchase_timestamp",
     status: str | None = "delivered",
 ) -> DataFrame:
-    """Add up ``measure`` of the items per series and month of ``time``.
+    """Add up ``measure`` of the items per series and month of ``time``; orders without one drop out.
 
     ``keys`` may name columns of the items, orders, customers and products. Months without sales
     have no row. Where the keys need no item column, items are added up per order first, which
@@ -52,18 +52,18 @@ def monthly_revenue(
     """
     if status is not None:
         orders = orders.where(F.col("order_status") == status)
+    orders = orders.where(F.col(time).isNotNull())
     if customers is not None:
         orders = join_facts(orders, customers, "customer_id")
-    cents = exact_units(measure, 2)
     if products is None and not set(keys) & set(items.columns):
-        sales = items.groupBy("order_id").agg(F.sum(cents).alias("cents"))
+        sales = items.groupBy("order_id").agg(F.sum(amount(measure)).alias("amount"))
     else:
-        sales = items.withColumn("cents", cents)
+        sales = items.withColumn("amount", amount(measure))
     sales = join_facts(sales, orders, "order_id")
     if products is not None:
         sales = sales.join(products, "product_id")
     return sales.groupBy(*keys, F.trunc(time, "month").alias("ds")).agg(
-        (F.sum(F.col("cents").cast("decimal(20,0)")).cast("double") / 100).alias("y")
+        F.sum("amount").cast("double").alias("y")
     )
 
 
@@ -71,7 +71,7 @@ def to_series(monthly: DataFrame, month: str, value: str, keys: Sequence[str] =
     """Turn a 'YYYY-MM' text column and a value column into (keys..., ds, y)."""
     return monthly.select(
         *keys, F.to_date(F.col(month), "yyyy-MM").alias("ds"), F.col(value).alias("y")
-    )
+    ).where("ds IS NOT NULL")
 
 
 def fill_months(series: DataFrame, keys: Sequence[str] = (), fill: float = 0.0) -> DataFrame:
@@ -89,6 +89,7 @@ def fill_months(series: DataFrame, keys: Sequence[str] = (), fill: float = 0.0)
 
 def extend_months(series: DataFrame, keys: Sequence[str] = (), periods: int = 6) -> DataFrame:
     """The months of every series followed by the next ``periods`` months (keys..., ds)."""
+    series = series.where(F.col("ds").isNotNull())
     last = series.groupBy(*keys).agg(F.max("ds").alias("last"))
     coming = F.sequence(
         F.add_months("last", 1), F.add_months("last", periods), F.expr("interval 1 month")
@@ -109,6 +110,7 @@ def fit_trend(
     intercept. ``sigma`` is NULL where a series has no more points than coefficients, and a single
     point gives no line at all.
     """
+    series = series.where(F.col("ds").isNotNull())
     if yearly:
         return _fit_yearly(series, list(keys), order)
     return _fit_line(series, list(keys))

@@ -161,7 +161,7 @@ def delay_by_distance_band(shipped: DataFrame) -> DataFrame:
         shipped.groupBy(distance_band("DistanceKM").alias("DistanceGroup"))
         .agg(
             F.count(F.lit(1)).alias("NumberOfOrders"),
-            F.round(exact_mean("DeliveryDelayDays", 1), 1).alias("AvgDelayDays"),
+            F.round(exact_mean("DeliveryDelayDays"), 1).alias("AvgDelayDays"),
         )
         .orderBy("DistanceGroup")
     )

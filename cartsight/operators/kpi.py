@@ -20,7 +20,7 @@ def delayed_rate(shipped: DataFrame) -> DataFrame:
     """Percentage of delayed items (1 place) and mean freight."""
     return shipped.agg(
         F.round(percent_of(_delayed(), _rows()), 1).alias("DelayedPct"),
-        F.round(exact_mean("freight_value", 2), 2).alias("AvgFreight"),
+        F.round(exact_mean("freight_value"), 2).alias("AvgFreight"),
     )
 
 
@@ -35,8 +35,8 @@ def kpi_summary(shipped: DataFrame, as_percent: bool = False) -> DataFrame:
         rate = F.round(F.try_divide(_delayed(), _rows()), 4)
     return shipped.agg(
         rate.alias("DelayedRatePct"),
-        F.round(exact_mean("DistanceKM", 1), 1).alias("AvgDistanceKM"),
-        F.round(exact_mean("freight_value", 2), 2).alias("AvgFreightValue"),
+        F.round(exact_mean("DistanceKM"), 1).alias("AvgDistanceKM"),
+        F.round(exact_mean("freight_value"), 2).alias("AvgFreightValue"),
     )
 
 

@@ -10,12 +10,12 @@ from cartsight.functions import exact_mean, exact_sum
 
 def payment_summary(payments: DataFrame) -> DataFrame:
     """Transactions, mean and total value per payment type, most used first."""
-    total = exact_sum("payment_value", 2).cast("double") / 100
+    total = exact_sum("payment_value").cast("double")
     return (
         payments.groupBy("payment_type")
         .agg(
             F.count(F.lit(1)).alias("total_transactions"),
-            F.round(exact_mean("payment_value", 2), 2).alias("avg_payment_value"),
+            F.round(exact_mean("payment_value"), 2).alias("avg_payment_value"),
             F.round(total, 2).alias("total_payment_value"),
         )
         .orderBy(F.desc("total_transactions"), "payment_type")

@@ -122,7 +122,7 @@ _TABLES = {
         ["t_items", "t_orders", "t_customers", "t_products"],
         """
         SELECT category, state, CAST(date_trunc('month', bought) AS DATE) AS ds,
-               CAST(sum(CAST(price AS DECIMAL(18, 2))) AS DOUBLE) AS y
+               CAST(sum(CAST(price AS DECIMAL(28, 10))) AS DOUBLE) AS y
         FROM t_items JOIN t_orders USING (order_id) JOIN t_customers USING (customer_id)
              JOIN t_products USING (product_id)
         WHERE status = 'delivered'
@@ -145,7 +145,7 @@ _TABLES = {
         ["t_items", "t_orders"],
         """
         SELECT 1 AS category, 1 AS state, CAST(date_trunc('month', bought) AS DATE) AS ds,
-               CAST(sum(CAST(price AS DECIMAL(18, 2))) AS DOUBLE) AS y
+               CAST(sum(CAST(price AS DECIMAL(28, 10))) AS DOUBLE) AS y
         FROM t_items JOIN t_orders USING (order_id)
         WHERE status = 'delivered'
         GROUP BY ALL
@@ -298,9 +298,7 @@ def _statement(body: str, tables: dict) -> str:
 
 def _orphans(child: str, parent: str, key: str) -> str:
     return f"""
-        SELECT CAST(sum(CASE WHEN {key} IN (SELECT {key} FROM {parent}) THEN 0 ELSE 1 END)
-                    AS BIGINT) AS orphans
-        FROM {child}
+        SELECT count(*) AS orphans FROM {child} WHERE {key} NOT IN (SELECT {key} FROM {parent})
     """
 
 
@@ -367,7 +365,7 @@ _BODIES = {
     "o14_payment_types": """
         SELECT event_type AS payment_type, count(*) AS total_transactions,
                round(avg(value), 2) AS avg_payment_value,
-               CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total_payment_value
+               CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DOUBLE) AS total_payment_value
         FROM events GROUP BY ALL ORDER BY total_transactions DESC
     """,
     "d05_payment_share": """
@@ -377,7 +375,7 @@ _BODIES = {
     """,
     "o15_top_categories": """
         SELECT english AS product_category_name_english, count(order_id) AS "NumberOfItemsSold",
-               CAST(sum(CAST(price AS DECIMAL(18, 2))) AS DOUBLE) AS "TotalRevenue"
+               CAST(sum(CAST(price AS DECIMAL(28, 10))) AS DOUBLE) AS "TotalRevenue"
         FROM t_items NATURAL JOIN t_products NATURAL JOIN t_names
         GROUP BY ALL ORDER BY 3 DESC, 1 LIMIT 10
     """,

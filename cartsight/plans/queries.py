@@ -192,16 +192,16 @@ def _centroids(s: SampleStore) -> DataFrame:
 
 
 def _stored_centroids(s: SampleStore) -> DataFrame:
-    """The reduced positions as the later analyses use them: a stored table."""
+    """The reduced positions as a stored table."""
     return store_and_read(_centroids(s), "geolocation_summary")
 
 
 def _placed(s: SampleStore) -> DataFrame:
-    return geo.order_geo(s.order_items, s.orders, s.customers, s.sellers, _stored_centroids(s))
+    return geo.order_geo(s.order_items, s.orders, s.customers, s.sellers, _centroids(s))
 
 
 def _shipments(s: SampleStore) -> DataFrame:
-    return geo.shipments(s.order_items, s.orders, s.customers, s.sellers, _stored_centroids(s))
+    return geo.shipments(s.order_items, s.orders, s.customers, s.sellers, _centroids(s))
 
 
 def _categorised(s: SampleStore) -> DataFrame:
@@ -291,7 +291,7 @@ def _(s):
 
 @query("d03_map_points")
 def _(s):
-    centroids = _stored_centroids(s)
+    centroids = _centroids(s)
     shipped = geo.shipments(s.order_items, s.orders, s.customers, s.sellers, centroids)
     return geo.map_points(geo.with_delay_category(shipped), centroids)
 
@@ -314,15 +314,6 @@ def _total(s: SampleStore) -> DataFrame:
     return forecast.monthly_revenue(s.order_items, s.orders)
 
 
-def _stored_series(s: SampleStore) -> DataFrame:
-    """The facts are added up once; fit, axis and score then read the small result."""
-    return store_and_read(_series(s), "monthly_series")
-
-
-def _stored_total(s: SampleStore) -> DataFrame:
-    return store_and_read(_total(s), "monthly_total")
-
-
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -384,46 +375,46 @@ def _(s):
 
 @query("f04_forecast")
 def _(s):
-    return _rounded_forecast(forecast.forecast(_stored_series(s), SERIES))
+    return _rounded_forecast(forecast.forecast(_series(s), SERIES))
 
 
 @query("f04t_forecast_total")
 def _(s):
-    return _rounded_forecast(forecast.forecast(_stored_total(s)))
+    return _rounded_forecast(forecast.forecast(_total(s)))
 
 
 @query("f04y_seasonal_forecast")
 def _(s):
-    predicted = forecast.forecast(_stored_series(s), SERIES, yearly=True, order=WAVES)
+    predicted = forecast.forecast(_series(s), SERIES, yearly=True, order=WAVES)
     return _rounded_forecast(predicted)
 
 
 @query("f05_last10")
 def _(s):
-    predicted = forecast.forecast(_stored_series(s), SERIES)
+    predicted = forecast.forecast(_series(s), SERIES)
     return _rounded_forecast(ranking.tail_by_time(predicted, SERIES, "ds", 10))
 
 
 @query("f05t_last10_total")
 def _(s):
-    predicted = forecast.forecast(_stored_total(s))
+    predicted = forecast.forecast(_total(s))
     return _rounded_forecast(ranking.tail_by_time(predicted, [], "ds", 10))
 
 
 @query("f06_accuracy")
 def _(s):
-    series = _stored_series(s)
+    series = _series(s)
     scores = forecast.score(series, forecast.forecast(series, SERIES), SERIES)
     return _rounded(scores, 2, "mae", "mape")
 
 
 @query("f06t_accuracy_total")
 def _(s):
-    series = _stored_total(s)
+    series = _total(s)
     return _rounded(forecast.score(series, forecast.forecast(series)), 2, "mae", "mape")
 
 
 @query("f07_export")
 def _(s):
-    exported = forecast.export_frame(forecast.forecast(_stored_series(s), SERIES), SERIES)
+    exported = forecast.export_frame(forecast.forecast(_series(s), SERIES), SERIES)
     return _rounded_forecast(store_and_read(exported, "sales_forecast"))

@@ -8,5 +8,9 @@ from cartsight.sources.schemas import MONTHLY
 
 
 def read_monthly(spark: SparkSession, path: str) -> DataFrame:
-    """Read (OrderMonth 'YYYY-MM', MonthlyRevenue) with a header; CRLF line ends are fine."""
-    return spark.read.schema(MONTHLY).option("header", True).csv(path)
+    """Read (OrderMonth 'YYYY-MM', MonthlyRevenue) with a header; CRLF line ends are fine.
+
+    Other column names, or a malformed number, are an error.
+    """
+    reader = spark.read.schema(MONTHLY)
+    return reader.options(header=True, enforceSchema=False, mode="FAILFAST").csv(path)

@@ -18,6 +18,11 @@ from pyspark.sql import types as T
 from cartsight.sources.schemas import COMMERCE, SAMPLE
 
 
+def _strict(reader):
+    """CSV options under which a file with another header, or a malformed number, is an error."""
+    return reader.options(header=True, enforceSchema=False, mode="FAILFAST")
+
+
 class FileStore:
     """Commerce tables in ``folder``, as ``<table>.parquet`` or ``<table>.csv``."""
 
@@ -36,7 +41,7 @@ class FileStore:
         types = {f.name: f.dataType for f in schema}
         header = self.spark.read.option("header", True).csv(path).columns
         found = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-        rows = self.spark.read.schema(found).option("header", True).csv(path)
+        rows = _strict(self.spark.read.schema(found)).csv(path)
         return rows.select(*schema.names)
 
     def tables(self) -> dict[str, DataFrame]:

@@ -6,7 +6,6 @@ executors, and its file size is known, so Spark can decide on a broadcast from a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,8 @@ def materialise(
     """Store ``df`` as catalogue table ``name`` and return the stored table.
 
     ``mode="overwrite"`` builds the new table beside the old one and swaps the names afterwards.
-    ``df`` may therefore read the very table it replaces, and a failed job leaves the old one.
+    ``df`` may therefore read the very table it replaces, and a failed job leaves the old one. The
+    name is missing only between the two renames, which move no data.
 
     ``bucket_by`` files the rows by a key. Two tables with the same buckets, such as orders and
     items by order, join without a shuffle. Adaptive execution cannot split a dominant key there,
@@ -41,25 +41,17 @@ def materialise(
         return spark.table(name)
     fresh = f"{name}_{uuid.uuid4().hex[:12]}"
     save(fresh, "errorifexists")
-    spark.sql(f"DROP TABLE {name}")
+    old = f"{fresh}_old"
+    spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    spark.sql(f"DROP TABLE {old}")
     return spark.table(name)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Where the setting is absent (a bare local session) a new temporary folder takes its place; a
-    session on several machines must name one.
-    """
+    """The folder all executors reach: ``spark.checkpoint.dir``, or else the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="cartsight-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def write_folder(spark: SparkSession, name: str) -> str:

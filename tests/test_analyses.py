@@ -10,10 +10,7 @@ from conftest import SAMPLE
 from plans import physical
 from pyspark.sql import types as T
 
-import __spark_entry__ as driver
-
-QUERIES = driver.queries()
-ORACLES = driver.oracle_sql()
+from cartsight.plans import ORACLES, QUERIES
 
 _KINDS = {
     T.LongType: int,
