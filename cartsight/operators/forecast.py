@@ -110,19 +110,22 @@ def fit_trend(
     intercept. ``sigma`` is NULL where a series has no more points than coefficients, and a single
     point gives no line at all.
     """
-    series = series.where(F.col("ds").isNotNull())
+    points = series.where(F.col("ds").isNotNull() & F.col("y").isNotNull())
+    # Sums of squares of large values would drown what the model leaves unexplained. So the level
+    # of each series is taken off first; its window and the sums share one shuffle.
+    level = F.avg("y").over(Window.partitionBy(*keys))
+    points = points.withColumn("level", level).withColumn("y", F.col("y") - F.col("level"))
     if yearly:
-        return _fit_yearly(series, list(keys), order)
-    return _fit_line(series, list(keys))
+        return _fit_yearly(points, list(keys), order)
+    return _fit_line(points, list(keys))
 
 
 def _fit_line(series: DataFrame, keys: list[str]) -> DataFrame:
-    points = series.where(F.col("y").isNotNull()).select(
-        *keys, "y", month_index("ds").alias("month")
-    )
+    points = series.select(*keys, "y", "level", month_index("ds").alias("month"))
     y, month = F.col("y"), F.col("month")
     sums = points.groupBy(*keys).agg(
         F.count("y").alias("n"),
+        F.first("level").alias("level"),
         F.min("month").alias("first_month"),
         F.regr_avgx(y, month).alias("mean_month"),
         F.regr_avgy(y, month).alias("mean_y"),
@@ -137,7 +140,7 @@ def _fit_line(series: DataFrame, keys: list[str]) -> DataFrame:
     fitted = (
         sums.where(n > 0)
         .withColumn("slope", F.try_divide(sxy, F.when(sxx > 0, sxx)))
-        .withColumn("intercept", F.col("mean_y") - slope * centre)
+        .withColumn("intercept", F.col("level") + F.col("mean_y") - slope * centre)
         .withColumn("sigma", F.when(n > 2, F.sqrt(F.try_divide(unexplained, n - 2))))
     )
     across = -F.try_divide(centre, sxx)
@@ -173,13 +176,13 @@ def _fit_yearly(series: DataFrame, keys: list[str], order: int) -> DataFrame:
     names = [f"f{i}" for i in range(size)]
     features = [F.lit(1.0), F.col("month").cast("double"), *_waves("ds", order)]
     points = (
-        series.where(F.col("y").isNotNull())
-        .withColumn("month", month_index("ds"))
-        .select(*keys, "y", "month", *[f.alias(n) for f, n in zip(features, names)])
+        series.withColumn("month", month_index("ds"))
+        .select(*keys, "y", "level", "month", *[f.alias(n) for f, n in zip(features, names)])
     )
     upper = [(i, j) for i in range(size) for j in range(i, size)]
     sums = points.groupBy(*keys).agg(
         F.count("y").alias("n"),
+        F.first("level").alias("level"),
         F.min("month").alias("first_month"),
         F.max("month").alias("last_month"),
         *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"a_{i}_{j}") for i, j in upper],
@@ -244,7 +247,9 @@ def _solver(
 
             out = sums[[*keys, "n", "first_month"]].copy()
             out["sigma"] = pd.Series(sigma, index=sums.index).astype(object).where(free > 0, None)
-            out["coef"] = list(coef * per_month)
+            coef = coef * per_month
+            coef[:, 0] += sums["level"].to_numpy()
+            out["coef"] = list(coef)
             out["spread"] = list(spread.reshape(rows, size * size))
             yield out
 

@@ -81,6 +81,27 @@ def order_geo(
     return sold.join(shops, "seller_id")
 
 
+def dropped_items(
+    items: DataFrame,
+    orders: DataFrame,
+    customers: DataFrame,
+    sellers: DataFrame,
+    centroids: DataFrame,
+) -> DataFrame:
+    """One row: how many items there are, how many :func:`order_geo` places, and how many drop out.
+
+    Where a key of the other tables repeats, items multiply and ``dropped_items`` may be negative.
+    """
+    placed = order_geo(items, orders, customers, sellers, centroids)
+    rows = F.count(F.lit(1))
+    total = items.agg(rows).scalar()
+    return placed.agg(
+        total.alias("items"),
+        rows.alias("placed_items"),
+        (total - rows).alias("dropped_items"),
+    )
+
+
 def _distance():
     ends = ["customer_lat", "customer_lng", "seller_lat", "seller_lng"]
     return rounded_km(*[F.col(c) for c in ends]).alias("DistanceKM")

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartsight.operators import catalog, delivery, forecast, geo, kpi, payments, quality, ranking
-from cartsight.sources import SampleStore, read_monthly, store_and_read, write_folder
+from cartsight.sources import (
+    SampleStore,
+    materialise,
+    new_table_name,
+    read_monthly,
+    store_and_read,
+    write_folder,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +87,47 @@ def _(s):
     return quality.orphan_count(s.products, s.order_items, "product_id")
 
 
+def _gappy_orders(s: SampleStore) -> DataFrame:
+    """Orders of which a fifth is missing, so that items and customers lose theirs."""
+    return s.orders.where(F.col("order_id") % 5 != 0)
+
+
+def _gappy_items(s: SampleStore) -> DataFrame:
+    """Items of which some do not say to which order they belong."""
+    return s.order_items.withColumn(
+        "order_id", F.when(F.col("order_id") % 11 != 0, F.col("order_id"))
+    )
+
+
+def _orphans_in_gaps(s: SampleStore, parent_unique: bool) -> DataFrame:
+    """Orphans where keys are NULL or missing: one row for each rule of ``NOT IN``, one without."""
+    items, orders = _gappy_items(s), _gappy_orders(s)
+    unknown = orders.select(F.when(F.col("order_id") % 7 != 0, F.col("order_id")).alias("order_id"))
+    cases = [
+        ("missing parents", orders, True),
+        ("a NULL among the parents", unknown, True),
+        ("no parents", orders.where("order_id < 0"), True),
+        ("NULL counts as missing", orders, False),
+    ]
+    parts = [
+        quality.orphan_count(
+            items, parents, "order_id", null_aware=rule, parent_unique=parent_unique
+        ).select(F.lit(name).alias("situation"), "orphans")
+        for name, parents, rule in cases
+    ]
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+@query("o02g_orphans_in_gaps")
+def _(s):
+    return _orphans_in_gaps(s, parent_unique=False)
+
+
+@query("o02j_orphans_in_gaps_by_join")
+def _(s):
+    return _orphans_in_gaps(s, parent_unique=True)
+
+
 @query("o05_customer_totals")
 def _(s):
     return quality.compare_counts(
@@ -238,6 +287,11 @@ def _(s):
     return geo.order_distance(_placed(s))
 
 
+@query("g06d_dropped_items")
+def _(s):
+    return geo.dropped_items(s.order_items, s.orders, s.customers, s.sellers, _centroids(s))
+
+
 @query("g07_distance_delay_v1")
 def _(s):
     return store_and_read(_shipments(s).select(geo.VERSION_1), "distance_delay_v1")
@@ -269,6 +323,24 @@ def _(s):
     return store_and_read(_categorised(s), "distance_delay_v4")
 
 
+@query("g11r_category_in_place")
+def _(s):
+    """The shipments as a catalogue table, rebuilt over itself with the category as a new column."""
+    name = new_table_name("order_distance_delay")
+    stored = materialise(_shipments(s), name)
+    materialise(geo.with_delay_category(stored), name, mode="overwrite")
+    return s.spark.table(name).select(*geo.VERSION_3, "DelayCategory")
+
+
+@query("g13r_kpi_rebuilt")
+def _(s):
+    """The shipments stored once; the KPI table read from them is dropped and built again."""
+    shipped = materialise(_shipments(s).select(geo.VERSION_3), new_table_name("order_distance_delay"))
+    name = new_table_name("kpi_summary")
+    materialise(kpi.kpi_summary(shipped, as_percent=True), name)
+    return materialise(kpi.kpi_summary(shipped), name, mode="overwrite")
+
+
 @query("g12_kpi_pct")
 def _(s):
     return store_and_read(kpi.kpi_summary(_shipments(s), as_percent=True), "kpi_summary_pct")
@@ -418,3 +490,12 @@ def _(s):
 def _(s):
     exported = forecast.export_frame(forecast.forecast(_series(s), SERIES), SERIES)
     return _rounded_forecast(store_and_read(exported, "sales_forecast"))
+
+
+@query("f07r_export_replaced")
+def _(s):
+    """The export twice into one table: first that of the whole shop, then the series over it."""
+    name = new_table_name("sales_forecast")
+    forecast.export_forecast(forecast.forecast(_total(s)), name)
+    exported = forecast.export_forecast(forecast.forecast(_series(s), SERIES), name, SERIES)
+    return _rounded_forecast(exported)

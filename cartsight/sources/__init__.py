@@ -1,12 +1,19 @@
 from cartsight.sources.monthly_csv import read_monthly
 from cartsight.sources.store import FileStore, SampleStore, TableStore
-from cartsight.sources.stored import materialise, shared_folder, store_and_read, write_folder
+from cartsight.sources.stored import (
+    materialise,
+    new_table_name,
+    shared_folder,
+    store_and_read,
+    write_folder,
+)
 
 __all__ = [
     "FileStore",
     "SampleStore",
     "TableStore",
     "materialise",
+    "new_table_name",
     "read_monthly",
     "shared_folder",
     "store_and_read",

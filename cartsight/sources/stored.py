@@ -39,7 +39,7 @@ def materialise(
     if mode != "overwrite" or not spark.catalog.tableExists(name):
         save(name, mode)
         return spark.table(name)
-    fresh = f"{name}_{uuid.uuid4().hex[:12]}"
+    fresh = new_table_name(name)
     save(fresh, "errorifexists")
     old = f"{fresh}_old"
     spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
@@ -48,6 +48,11 @@ def materialise(
     return spark.table(name)
 
 
+def new_table_name(name: str) -> str:
+    """A catalogue name that starts with ``name``; two runs never meet."""
+    return f"{name}_{uuid.uuid4().hex[:12]}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach: ``spark.checkpoint.dir``, or else the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,6 +10,7 @@ from conftest import SAMPLE
 from plans import physical
 from pyspark.sql import types as T
 
+import __spark_entry__
 from cartsight.plans import ORACLES, QUERIES
 
 _KINDS = {
@@ -63,7 +64,7 @@ def test_same_rows_without_any_broadcast(spark, con, settings, name):
 
 
 def test_entry(spark):
-    rows = driver.entry(spark).collect()
+    rows = __spark_entry__.entry(spark).collect()
     assert [r["DistanceGroup"][0] for r in rows] == ["1", "2", "3"]
 
 

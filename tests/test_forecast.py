@@ -203,3 +203,17 @@ def test_waves_follow_the_calendar(spark):
     a = forecast.fit_trend(whole, yearly=True).first()["coef"]
     b = forecast.fit_trend(late, yearly=True).first()["coef"]
     assert b[2:4] == pytest.approx(a[2:4], abs=60)
+
+
+@pytest.mark.parametrize("yearly", [False, True])
+def test_noise_on_a_high_level(spark, yearly):
+    """What the model leaves unexplained does not drown in the size of the values."""
+    noise = np.random.default_rng(7).normal(size=48).round(3)
+    months = [dt.date(2019 + i // 12, i % 12 + 1, 1) for i in range(48)]
+    sigmas = []
+    for level in (0.0, 1e12):
+        rows = [(m, level + 3.0 * i + float(e)) for i, (m, e) in enumerate(zip(months, noise))]
+        series = spark.createDataFrame(rows, "ds date, y double")
+        sigmas.append(forecast.fit_trend(series, yearly=yearly).first()["sigma"])
+    assert sigmas[0] > 0.5
+    assert sigmas[1] == pytest.approx(sigmas[0], rel=1e-3)
