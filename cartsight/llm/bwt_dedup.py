@@ -154,3 +154,40 @@ def removed(docs: DataFrame) -> DataFrame:
     kind = Kind(LENGTH, ANCHOR, "u1", 1, _bytes, first_documents)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return solve(docs, kind, report, schema)
+
+
+#: The same rows in SQL, from all byte strings of all documents.
+_RUN = ", ".join(["digit"] + [f"lead(digit, {k}) OVER ahead" for k in range(1, LENGTH)])
+ORACLE = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id,
+           coalesce(doc_id, {NO_ID}) AS place,
+           regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS digits
+    FROM documents),
+bytes AS (
+    SELECT r, place, unnest(digits) AS digit, generate_subscripts(digits, 1) AS i FROM docs),
+runs AS (
+    SELECT r, place, digit, i,
+           CASE WHEN lead(i, {LENGTH - 1}) OVER ahead IS NOT NULL
+                THEN unhex(concat({_RUN})) END AS run
+    FROM bytes WINDOW ahead AS (PARTITION BY r ORDER BY i)),
+firsts AS (SELECT run, min(place) AS least FROM runs WHERE run IS NOT NULL GROUP BY run),
+starts AS (
+    SELECT r, i, digit, coalesce(least < place, false) AS hit
+    FROM runs LEFT JOIN firsts USING (run)),
+marked AS (
+    SELECT r, i, digit, bool_or(hit) OVER (PARTITION BY r ORDER BY i
+               ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone
+    FROM starts),
+edges AS (
+    SELECT r, i, digit, gone,
+           gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens
+    FROM marked),
+kept AS (
+    SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+           string_agg(digit, '' ORDER BY i) FILTER (NOT gone) AS rest
+    FROM edges GROUP BY r)
+SELECT doc_id, CAST(len(digits) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""

@@ -87,4 +87,8 @@ QUERIES = {
         op10_pii,
     )
 }
-ORACLES = {"op3_mixing": mixing.ORACLE}
+ORACLES = {
+    "op3_mixing": mixing.ORACLE,
+    "op6_suffix_dedup": bwt_dedup.ORACLE,
+    "op7_substring_dedup": rlz_dedup.ORACLE,
+}

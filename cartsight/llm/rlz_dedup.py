@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartsight.llm.common import WORD
 from cartsight.llm.sieve import NO_ID, Batch, Kind, covered, solve
 
 LENGTH, ANCHOR = 13, 5
@@ -132,3 +133,36 @@ def removed(docs: DataFrame) -> DataFrame:
     kind = Kind(LENGTH, ANCHOR, "<u8", 6, _words, first_documents)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
     return solve(docs, kind, report, schema).withColumn("kept", F.col("kept").cast("string"))
+
+
+#: The same rows in SQL, from all windows of all documents.
+_RUN = ", ".join(["word"] + [f"lead(word, {k}) OVER ahead" for k in range(1, LENGTH)])
+ORACLE = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id,
+           coalesce(doc_id, {NO_ID}) AS place,
+           regexp_extract_all(coalesce(text, ''), '{WORD}') AS words
+    FROM documents),
+words AS (
+    SELECT r, place, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM docs),
+runs AS (
+    SELECT r, place, word, i,
+           CASE WHEN lead(i, {LENGTH - 1}) OVER ahead IS NOT NULL
+                THEN concat_ws(' ', {_RUN}) END AS run
+    FROM words WINDOW ahead AS (PARTITION BY r ORDER BY i)),
+firsts AS (SELECT run, min(place) AS least FROM runs WHERE run IS NOT NULL GROUP BY run),
+starts AS (
+    SELECT r, i, word, coalesce(least < place, false) AS hit
+    FROM runs LEFT JOIN firsts USING (run)),
+marked AS (
+    SELECT r, i, word, bool_or(hit) OVER (PARTITION BY r ORDER BY i
+               ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone
+    FROM starts),
+kept AS (
+    SELECT r, count(*) FILTER (gone) AS n_removed,
+           string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS rest
+    FROM marked GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(rest, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""

@@ -376,6 +376,17 @@ def test_words_against_all_windows(spark, texts):
         assert (found[d].n_words, found[d].n_removed, found[d].kept_sha256) == wanted
 
 
+@pytest.mark.parametrize("name", ["op6_suffix_dedup", "op7_substring_dedup"])
+def test_repeats_equal_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{BIG}/documents.parquet')")
+    wanted = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in wanted.description]
+    found = queries.QUERIES[name](spark, BIG)
+    assert set(found.columns) == set(columns)
+    assert sorted(rows_of(found, *columns)) == sorted(wanted.fetchall())
+
+
 def test_transform_sorts_suffixes():
     rng = np.random.default_rng(2)
     rows = rng.integers(1, 4, (30, 20))
