@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cartsight.llm.sieve import NO_ID, Batch, Kind, covered, solve
+from cartsight.llm.sieve import CROWD, NO_ID, Batch, Kind, covered, solve
 
 LENGTH, ANCHOR = 50, 24
 #: Surroundings in a shard.
@@ -126,13 +126,14 @@ def _bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept for every row of ``docs``.
 
     A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller id.
     A NULL text is empty. Rows with a NULL id come after all ids and lose nothing to each other, as
     do rows with the same id. Texts shorter than 50 bytes keep everything. ``kept`` is what is left,
-    as bytes, since a cut may fall inside a character. Other columns are ignored.
+    as bytes, since a cut may fall inside a character. Other columns are ignored. An anchor with more than
+    ``crowd`` occurrences is split by window, which changes no result.
     """
 
     def report(batch: Batch, hit: np.ndarray) -> pa.RecordBatch:
@@ -153,7 +154,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     kind = Kind(LENGTH, ANCHOR, "u1", 1, _bytes, first_documents)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return solve(docs, kind, report, schema)
+    return solve(docs, kind, report, schema, crowd)
 
 
 #: The same rows in SQL, from all byte strings of all documents.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartsight.llm.common import WORD
-from cartsight.llm.sieve import NO_ID, Batch, Kind, covered, solve
+from cartsight.llm.sieve import CROWD, NO_ID, Batch, Kind, covered, solve
 
 LENGTH, ANCHOR = 13, 5
 _U = np.uint64
@@ -103,14 +103,15 @@ def first_documents(around: np.ndarray, inside: np.ndarray, docs: np.ndarray) ->
     return out
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept for every row of ``docs`` (doc_id, text).
 
     A word goes if a window of 13 words that covers it also starts in a document with a smaller id.
     A NULL text has no words. Rows with a NULL id come after all ids and lose nothing to each other,
     as do rows with the same id. Texts with fewer than 13 words keep everything. ``kept`` is what
     is left, words joined by one space. Words are compared by 47 bits of a hash. Other columns are
-    ignored.
+    ignored. An anchor with more than
+    ``crowd`` occurrences is split by window, which changes no result.
     """
 
     def report(batch: Batch, hit: np.ndarray) -> pa.RecordBatch:
@@ -132,7 +133,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     kind = Kind(LENGTH, ANCHOR, "<u8", 6, _words, first_documents)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
-    return solve(docs, kind, report, schema).withColumn("kept", F.col("kept").cast("string"))
+    return solve(docs, kind, report, schema, crowd).withColumn("kept", F.col("kept").cast("string"))
 
 
 #: The same rows in SQL, from all windows of all documents.

@@ -13,13 +13,15 @@ out exactly. Three rounds follow, each a shuffle on Spark:
 3. every batch puts the answers together.
 
 A message holds the values of one batch for one owner, so a passage that a third of all documents
-share is sent once for each batch at most. The batches are filed by number, so that answers come to
-them without moving a text.
+share is sent once for each batch at most. An anchor with many occurrences may have as many different
+surroundings. It is crowded: its windows are sent one by one, to owners by their own hash, and no task
+gets more than a bounded number of surroundings of one anchor. The batches are filed by number, so
+that answers come to them without moving a text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from cartsight.llm.common import bucketed, stored
 
 BATCH_BYTES = 4 << 20
+#: An anchor with more occurrences than this is crowded.
+CROWD = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 _SCHEMA = "batch long, ids array<long>, sizes array<int>, data binary"
 _U = np.uint64
@@ -162,9 +166,13 @@ def _hashes(tokens: np.ndarray, length: int) -> np.ndarray:
     else:
         words, step, parts = tokens, 1, length
     n = len(tokens) - length + 1
+    return _mixed((words[i * step : i * step + n] for i in range(parts)), n)
+
+
+def _mixed(columns: Iterable[np.ndarray], n: int) -> np.ndarray:
     h = np.full(n, 0x9E3779B97F4A7C15, _U)
-    for i in range(parts):
-        h ^= words[i * step : i * step + n]
+    for column in columns:
+        h ^= column
         h *= _U(0xBF58476D1CE4E5B9)
         h ^= h >> _U(29)
     h *= _U(0x94D049BB133111EB)
@@ -242,9 +250,11 @@ def _ask_anchors(kind: Kind, owners: int):
                 high = np.full(len(values), np.iinfo(np.int64).min)
                 np.minimum.at(low, which, batch.ids[doc])
                 np.maximum.at(high, which, batch.ids[doc])
-                # 47 bits of the value tell anchors apart well enough: a mistaken one only costs
-                # a comparison. The lowest bit says that several documents of the batch have it.
-                short = (values >> _U(16) & ~_U(1)) | (low != high).astype(_U)
+                # 42 bits of the value tell anchors apart well enough: a mistaken one only costs
+                # a comparison. Five bits say how many occurrences the batch has, as a power of two,
+                # and the lowest that several of its documents have it.
+                power = np.ceil(np.log2(np.bincount(which, minlength=len(values)))).astype(_U)
+                short = (values >> _U(22) << _U(6)) | (power << _U(1)) | (low != high).astype(_U)
 
                 def message(i: np.ndarray, short=short) -> bytes:
                     return (short[i] >> _U(32)).astype("<u2").tobytes() + short[i].astype("<u4").tobytes()
@@ -254,24 +264,31 @@ def _ask_anchors(kind: Kind, owners: int):
     return run
 
 
-def _answer_anchors(group: pa.Table) -> pa.Table:
-    batches, messages = group["batch"].to_pylist(), group["m"].to_pylist()
-    parts = []
-    for m in messages:
-        n = len(m) // 6
-        parts.append(np.frombuffer(m, "<u2", n).astype(_U) << _U(32) | np.frombuffer(m, "<u4", n, 2 * n).astype(_U))
-    every = np.concatenate(parts)
-    _, which, copies = np.unique(every >> _U(1), return_inverse=True, return_counts=True)
-    shared = copies > 1
-    np.logical_or.at(shared, which, (every & _U(1)).astype(bool))
-    shared, cuts = shared[which], np.cumsum([len(p) for p in parts])[:-1]
-    answers = [np.packbits(s).tobytes() for s in np.split(shared, cuts)]
-    rows = list(zip(group["owner"].to_pylist(), batches, answers, strict=True))
-    return pa.Table.from_batches([_table(rows, ["owner", "batch", "m"], [_LONG, _LONG, _BIN])])
+def _answer_anchors(crowd: int):
+    def answer(group: pa.Table) -> pa.Table:
+        batches, messages = group["batch"].to_pylist(), group["m"].to_pylist()
+        parts = []
+        for m in messages:
+            n = len(m) // 6
+            parts.append(np.frombuffer(m, "<u2", n).astype(_U) << _U(32) | np.frombuffer(m, "<u4", n, 2 * n).astype(_U))
+        every = np.concatenate(parts)
+        _, which, copies = np.unique(every >> _U(6), return_inverse=True, return_counts=True)
+        shared = copies > 1
+        np.logical_or.at(shared, which, (every & _U(1)).astype(bool))
+        crowded = np.bincount(which, np.exp2((every >> _U(1) & _U(31)).astype(float)), len(copies)) > crowd
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        answers = [
+            np.packbits(s).tobytes() + np.packbits(c).tobytes()
+            for s, c in zip(np.split(shared[which], cuts), np.split(crowded[which], cuts), strict=True)
+        ]
+        rows = list(zip(group["owner"].to_pylist(), batches, answers, strict=True))
+        return pa.Table.from_batches([_table(rows, ["owner", "batch", "m"], [_LONG, _LONG, _BIN])])
+
+    return answer
 
 
 def _gathered(answers: DataFrame) -> DataFrame:
-    """(batch, answers): the answers to one batch; as many bits as it has asked for."""
+    """(batch, answers): the answers to one batch; a few bits for each thing it has asked for."""
     return answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("owner", "m"))).alias("answers"))
 
 
@@ -279,12 +296,14 @@ def _gathered(answers: DataFrame) -> DataFrame:
 class Shared:
     """Anchors of a batch that other documents have too, and the different surroundings they have.
 
-    Surroundings are in the order of their owners, which is that of the messages.
+    What is sent are surroundings, or single windows of those of crowded anchors. It is in the order
+    of the owners, which is that of the messages.
     """
 
     place: np.ndarray
     doc: np.ndarray
     same: np.ndarray  # which surroundings an anchor has
+    sent: np.ndarray  # [surroundings, starts]: what was sent for each of their windows
     owner: np.ndarray
     least: np.ndarray  # the smallest id in the batch that has them
     around: np.ndarray
@@ -293,22 +312,60 @@ class Shared:
 
 def _shared(kind: Kind, batch: Batch, owners: int, answers: list | None) -> Shared:
     place, doc, values, owner, which = _distinct(kind, batch, owners)
-    shared = np.zeros(len(values), bool)
+    shared, crowded = np.zeros(len(values), bool), np.zeros(len(values), bool)
     for a in answers or []:
         lo, hi = np.searchsorted(owner, [a["owner"], a["owner"] + 1])
-        shared[lo:hi] = np.unpackbits(np.frombuffer(a["m"], np.uint8), count=hi - lo).astype(bool)
+        both = np.unpackbits(np.frombuffer(a["m"], np.uint8)).reshape(2, -1)[:, : hi - lo]
+        shared[lo:hi], crowded[lo:hi] = both.astype(bool)
     some = shared[which] if len(which) else np.zeros(0, bool)
     place, doc, which = place[some], doc[some], which[some]
     around, inside = surroundings(kind, batch, place, doc)
     at, same = _rows_equal(around, inside)
-    to = owner[which[at]]
-    order = np.argsort(to, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    at, same = at[order], rank[same]
     least = np.full(len(at), NO_ID)
     np.minimum.at(least, same, batch.ids[doc])
-    return Shared(place, doc, same, to[order], least, around[at], inside[at])
+    around, inside, to = around[at], inside[at], owner[which[at]]
+    sent = np.repeat(np.arange(len(at), dtype=np.int32)[:, None], kind.starts, axis=1)
+    many = crowded[which[at]] if len(at) else np.zeros(0, bool)
+    if many.any():
+        around, inside, to, least, sent = _by_window(kind, around, inside, to, least, sent, many, owners)
+    order = np.argsort(to, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return Shared(place, doc, same, rank[sent], to[order], least[order], around[order], inside[order])
+
+
+def _by_window(kind: Kind, around, inside, to, least, sent, many, owners: int) -> tuple:
+    """Replaces the surroundings ``many`` by their different windows, each with an owner by its hash.
+
+    A window is sent as a row of surroundings that has nothing outside of it.
+    """
+    crowd = np.flatnonzero(many)
+    rows, flags, owner, low = ([x[~many]] for x in (around, inside, to, least))
+    number = np.cumsum(~many) - 1
+    sent = np.where(many[:, None], 0, number[:, None]).astype(np.int32).repeat(kind.starts, axis=1)
+    n = len(rows[0])
+    for start in range(kind.starts):
+        span = slice(start, start + kind.window)
+        whole = crowd[inside[crowd, span].all(axis=1)]
+        if not len(whole):
+            continue
+        row = np.zeros((len(whole), kind.around), around.dtype)
+        row[:, span] = around[whole, span]
+        flag = np.zeros((len(whole), kind.around), bool)
+        flag[:, span] = True
+        at, same = _rows_equal(row, flag)
+        first = np.full(len(at), NO_ID)
+        np.minimum.at(first, same, least[whole])
+        words = np.ascontiguousarray(row[at, span])
+        if words.dtype == np.uint8:
+            words = np.ascontiguousarray(words[:, : kind.window // 8 * 8]).view("<u8")
+        rows.append(row[at])
+        flags.append(flag[at])
+        owner.append((_mixed(words.T, len(words)) % _U(owners)).astype(np.int64))
+        low.append(first)
+        sent[whole, start] = n + same
+        n += len(at)
+    return *(np.concatenate(x) for x in (rows, flags, owner, low)), sent
 
 
 def _ask_around(kind: Kind, owners: int):
@@ -423,11 +480,12 @@ def repeated_starts(kind: Kind, batch: Batch, found: Shared, answers: list | Non
     across = np.arange(kind.starts)[None] - (kind.window - kind.anchor)
     for low in range(0, len(found.place), _PIECE):
         place, doc, same = (x[low : low + _PIECE] for x in (found.place, found.doc, found.same))
-        # a document after the first that has these surroundings has no window that is new
-        again = batch.ids[doc] > found.least[same]
+        row = found.sent[same]
+        # a document after the first that has what was sent has no window of it that is new
+        again = batch.ids[doc][:, None] > found.least[row]
         start = place[:, None] + across
         fits = (start >= batch.begins[doc][:, None]) & (start + kind.window <= batch.ends[doc][:, None])
-        hit[start[fits & (earlier[same] | again[:, None])]] = True
+        hit[start[fits & (earlier[row, np.arange(kind.starts)] | again)]] = True
     return hit
 
 
@@ -438,15 +496,20 @@ def covered(hit: np.ndarray, window: int) -> np.ndarray:
     return total - before > 0
 
 
-def solve(docs: DataFrame, kind: Kind, report: Callable[[Batch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """Rows of ``report(batch, repeated starts)`` for every batch of ``docs`` (doc_id, text)."""
+def solve(
+    docs: DataFrame, kind: Kind, report: Callable[[Batch, np.ndarray], pa.RecordBatch], schema: str, crowd: int = CROWD
+) -> DataFrame:
+    """Rows of ``report(batch, repeated starts)`` for every batch of ``docs`` (doc_id, text).
+
+    The result does not depend on ``crowd``; it bounds what one task gets to compare for one anchor.
+    """
     spark = docs.sparkSession
     batches = packed(docs)
     n = batches.count()
     owners = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n)
     names = "owner long, batch long, m binary"
     asked = batches.mapInArrow(_ask_anchors(kind, owners), names)
-    shared = _gathered(stored(asked.groupBy("owner").applyInArrow(_answer_anchors, names), "shared"))
+    shared = _gathered(stored(asked.groupBy("owner").applyInArrow(_answer_anchors(crowd), names), "shared"))
     informed = batches.join(shared.withColumnRenamed("answers", "shared"), "batch", "left")
     around = informed.withColumnRenamed("shared", "answers").mapInArrow(_ask_around(kind, owners), names)
     compared = around.groupBy("owner").applyInArrow(_answer_around(kind), names)

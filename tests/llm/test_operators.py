@@ -23,6 +23,7 @@ from cartsight.llm import (
     quality_rules,
     queries,
     rlz_dedup,
+    sieve,
     simhash,
     toxicity,
 )
@@ -387,6 +388,48 @@ def test_repeats_equal_sql(spark, name):
     assert sorted(rows_of(found, *columns)) == sorted(wanted.fetchall())
 
 
+@pytest.mark.parametrize("crowd", [0, 30])
+@pytest.mark.parametrize(("operator", "window"), [(bwt_dedup, 50), (rlz_dedup, 13)])
+def test_crowded_anchors_lose_nothing(spark, operator, window, crowd):
+    """A short common phrase in ever new surroundings, beside passages that do repeat."""
+    short = "the common phrase that everyone likes to"
+    rng = np.random.default_rng(3)
+    docs = []
+    for i in range(240):
+        draw = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 400, n))
+        near = " ".join(f"n{k}" for k in rng.integers(0, 2, 4))
+        docs.append((i, f"{draw(6)} {near} {short} {near} write {draw(6)} {PASSAGE[: 40 * (i % 5)]}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    tokens = [(d, tuple(t.split()) if operator is rlz_dedup else t.encode()) for d, t in docs]
+    found = {r.doc_id: r for r in operator.removed(df, crowd=crowd).collect()}
+    wanted = {d: sum(gone) for (d, _), gone in zip(tokens, plain_repeats(tokens, window), strict=True)}
+    assert {d: r.n_removed for d, r in found.items()} == wanted
+    assert sum(wanted.values()) > 1000
+    for (d, s), gone in zip(tokens, plain_repeats(tokens, window), strict=True):
+        rest = [c for c, g in zip(s, gone, strict=True) if not g]
+        plain = " ".join(rest).encode() if operator is rlz_dedup else bytes(rest)
+        assert found[d].kept_sha256 == hashlib.sha256(plain).hexdigest()
+
+
+def test_crowded_anchors_are_spread(spark):
+    """No owner gets more than a small part of the surroundings of one anchor."""
+    short = "the common phrase that everyone likes to"
+    texts = [f"before {i * 7919} {short} after {i * 104729} and on it goes".encode() for i in range(2000)]
+    kind = sieve.Kind(50, 24, "u1", 1, bwt_dedup._bytes, bwt_dedup.first_documents)
+    tokens, counts = kind.tokens(texts)
+    ends = np.cumsum(counts)
+    batch = sieve.Batch(np.arange(len(texts)), texts, tokens, ends, ends - counts)
+    _, _, values, owner, _ = sieve._distinct(kind, batch, 64)
+    def largest(flag):
+        answers = []
+        for o in np.unique(owner):
+            n = int((owner == o).sum())
+            answers.append({"owner": int(o), "m": np.packbits(np.ones(n, bool)).tobytes() + np.packbits(np.full(n, flag)).tobytes()})
+        found = sieve._shared(kind, batch, 64, answers)
+        return np.bincount(found.owner, minlength=64).max() / len(found.owner)
+    assert largest(True) < 0.05 < largest(False)
+
+
 def test_transform_sorts_suffixes():
     rng = np.random.default_rng(2)
     rows = rng.integers(1, 4, (30, 20))
