@@ -27,6 +27,8 @@ from cartsight.sources import materialise
 
 # Smallest divisor of a relative error: the distance from 1.0 to the next double.
 _EPSILON = 2.220446049250313e-16
+# What a prediction needs of a model.
+_PARAMETERS = ["first_month", "sigma", "coef", "spread"]
 # Directions of a normal matrix weaker than this, relative to the strongest, carry no information.
 _RANK_CUTOFF = 1e-10
 
@@ -110,19 +112,33 @@ def fit_trend(
     intercept. ``sigma`` is NULL where a series has no more points than coefficients, and a single
     point gives no line at all.
     """
-    points = series.where(F.col("ds").isNotNull() & F.col("y").isNotNull())
-    # Sums of squares of large values would drown what the model leaves unexplained. So the level
-    # of each series is taken off first; its window and the sums share one shuffle.
-    level = F.avg("y").over(Window.partitionBy(*keys))
-    points = points.withColumn("level", level).withColumn("y", F.col("y") - F.col("level"))
+    points = _without_level(series.where(F.col("y").isNotNull()), list(keys))
     if yearly:
         return _fit_yearly(points, list(keys), order)
     return _fit_line(points, list(keys))
 
 
-def _fit_line(series: DataFrame, keys: list[str]) -> DataFrame:
-    points = series.select(*keys, "y", "level", month_index("ds").alias("month"))
+def _without_level(series: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., ds, seen, level, y): ``y`` as it was seen, and without the mean of its series.
+
+    Sums of squares of large values would drown what a model leaves unexplained. The window here
+    and the sums of the fit share one shuffle.
+    """
+    level = F.avg("y").over(Window.partitionBy(*keys))
+    return (
+        series.where(F.col("ds").isNotNull())
+        .select(*keys, "ds", F.col("y").alias("seen"), level.alias("level"))
+        .withColumn("y", F.col("seen") - F.col("level"))
+    )
+
+
+def _fit_line(series: DataFrame, keys: list[str], history: bool = False) -> DataFrame:
+    """The line of each series; with ``history`` also its months and what was seen (ds, y), a list
+    as long as the calendar. Months without a value are in the list but not in the fit."""
+    known = F.when(F.col("y").isNotNull(), month_index("ds"))
+    points = series.select(*keys, "ds", "seen", "y", "level", known.alias("month"))
     y, month = F.col("y"), F.col("month")
+    months = F.collect_list(F.struct("ds", F.col("seen").alias("y"))).alias("history")
     sums = points.groupBy(*keys).agg(
         F.count("y").alias("n"),
         F.first("level").alias("level"),
@@ -132,6 +148,7 @@ def _fit_line(series: DataFrame, keys: list[str]) -> DataFrame:
         F.regr_sxx(y, month).alias("sxx"),
         F.regr_sxy(y, month).alias("sxy"),
         F.regr_syy(y, month).alias("syy"),
+        *([months] if history else []),
     )
     n, sxx, sxy, slope = F.col("n"), F.col("sxx"), F.col("sxy"), F.col("slope")
     centre = F.col("mean_month") - F.col("first_month")
@@ -158,6 +175,7 @@ def _fit_line(series: DataFrame, keys: list[str]) -> DataFrame:
             across,
             F.try_divide(F.lit(1.0), sxx),
         ).alias("spread"),
+        *(["history"] if history else []),
     )
 
 
@@ -271,15 +289,19 @@ def predict(
     ``order`` is the number of yearly waves the model was fitted with, 0 for the line. The bounds
     hold ``level`` of the probability of a new observation; they are NULL where sigma is.
     """
-    z = NormalDist().inv_cdf(0.5 + level / 2)
-    parameters = ["first_month", "sigma", "coef", "spread"]
     rows = axis.select(*keys, "ds")
     if keys:
-        rows = _join_series(rows, model.select(*keys, *parameters), keys)
+        rows = _join_series(rows, model.select(*keys, *_PARAMETERS), keys)
     else:
         # One series has one model row, which every month reads as a scalar.
-        only = model.select(F.struct(*parameters)).scalar()
+        only = model.select(F.struct(*_PARAMETERS)).scalar()
         rows = rows.withColumn("model", only).select("ds", "model.*")
+    return _with_bounds(rows, [*keys, "ds"], level, order)
+
+
+def _with_bounds(rows: DataFrame, kept: Sequence[str], level: float, order: int) -> DataFrame:
+    """The columns ``kept`` with prediction and bounds; ``rows`` hold ``ds`` and a model each."""
+    z = NormalDist().inv_cdf(0.5 + level / 2)
     months = (month_index("ds") - F.col("first_month")).cast("double")
     features = [F.lit(1.0), months, *_waves("ds", order)]
     size = len(features)
@@ -291,14 +313,12 @@ def predict(
         for j in range(i, size)
     )
     rows = rows.select(
-        *keys,
-        "ds",
+        *kept,
         point.alias("yhat"),
         (F.lit(z) * F.col("sigma") * F.sqrt(1 + leverage)).alias("reach"),
     )
     return rows.select(
-        *keys,
-        "ds",
+        *kept,
         "yhat",
         (F.col("yhat") - F.col("reach")).alias("yhat_lower"),
         (F.col("yhat") + F.col("reach")).alias("yhat_upper"),
@@ -323,13 +343,30 @@ def forecast(
 ) -> DataFrame:
     """Fit, extend and predict in one call: history and the next ``periods`` months.
 
-    Months without a row take no part in the fit, unless ``fill`` gives them a value.
+    Months without a row take no part in the fit, unless ``fill`` gives them a value. The line takes
+    one shuffle: its model carries the months of the series, which are predicted where it is. A
+    series without any value has no model and no forecast.
     """
     if fill is not None:
         series = fill_months(series, keys, fill)
-    model = fit_trend(series, keys, yearly=yearly, order=order)
-    axis = extend_months(series, keys, periods)
-    return predict(model, axis, keys, level, order if yearly else 0)
+    if yearly:
+        model = fit_trend(series, keys, yearly=True, order=order)
+        return predict(model, extend_months(series, keys, periods), keys, level, order)
+    model = _fit_line(_without_level(series, list(keys)), list(keys), history=True)
+    last = F.array_max("history.ds")
+    coming = F.sequence(
+        F.add_months(last, 1), F.add_months(last, periods), F.expr("interval 1 month")
+    )
+    months = F.explode(F.concat("history.ds", coming)).alias("ds")
+    return _with_bounds(model.select(*keys, *_PARAMETERS, months), [*keys, "ds"], level, 0)
+
+
+def accuracy(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """:func:`score` of the line against the months it was fitted to, in the shuffle of the fit."""
+    model = _fit_line(_without_level(series, list(keys)), list(keys), history=True)
+    rows = model.select(*keys, *_PARAMETERS, F.explode("history").alias("month"))
+    rows = rows.select(*keys, *_PARAMETERS, "month.ds", "month.y")
+    return _errors(_with_bounds(rows, [*keys, "y"], 0.8, 0), keys)
 
 
 def score(actual: DataFrame, predicted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -337,6 +374,10 @@ def score(actual: DataFrame, predicted: DataFrame, keys: Sequence[str] = ()) ->
     pairs = _join_series(
         actual.select(*keys, "ds", "y"), predicted.select(*keys, "ds", "yhat"), [*keys, "ds"]
     )
+    return _errors(pairs, keys)
+
+
+def _errors(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     error = F.abs(F.col("y") - F.col("yhat"))
     relative = error / F.greatest(F.abs(F.col("y")), F.lit(_EPSILON))
     return pairs.groupBy(*keys).agg(

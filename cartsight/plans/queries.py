@@ -475,15 +475,12 @@ def _(s):
 
 @query("f06_accuracy")
 def _(s):
-    series = _series(s)
-    scores = forecast.score(series, forecast.forecast(series, SERIES), SERIES)
-    return _rounded(scores, 2, "mae", "mape")
+    return _rounded(forecast.accuracy(_series(s), SERIES), 2, "mae", "mape")
 
 
 @query("f06t_accuracy_total")
 def _(s):
-    series = _total(s)
-    return _rounded(forecast.score(series, forecast.forecast(series)), 2, "mae", "mape")
+    return _rounded(forecast.accuracy(_total(s)), 2, "mae", "mape")
 
 
 @query("f07_export")

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from plans import physical
 from pyspark.sql import functions as F
 
 from cartsight.operators import forecast, ranking
@@ -217,3 +218,20 @@ def test_noise_on_a_high_level(spark, yearly):
         sigmas.append(forecast.fit_trend(series, yearly=yearly).first()["sigma"])
     assert sigmas[0] > 0.5
     assert sigmas[1] == pytest.approx(sigmas[0], rel=1e-3)
+
+
+def test_forecast_and_accuracy_take_one_shuffle(spark):
+    rows = [(k, dt.date(2020, m, 1), float(m * k)) for k in range(5) for m in range(1, 9)]
+    rows += [(9, dt.date(2020, 1, 1), None), (None, dt.date(2020, 1, 1), 1.0), (1, None, 5.0)]
+    series = spark.createDataFrame(rows, "k int, ds date, y double")
+    for df in (forecast.forecast(series, ["k"]), forecast.accuracy(series, ["k"])):
+        plan = physical(df)
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_accuracy_is_the_score_of_the_forecast(spark):
+    rows = [(k, dt.date(2020, m, 1), float((m * 7 + k) % 5)) for k in (1, 2) for m in range(1, 9)]
+    rows += [(2, dt.date(2020, 9, 1), None), (3, dt.date(2020, 1, 1), 1.0)]
+    series = spark.createDataFrame(rows, "k int, ds date, y double")
+    joined = forecast.score(series, forecast.forecast(series, ["k"]), ["k"]).collect()
+    assert sorted(map(tuple, forecast.accuracy(series, ["k"]).collect())) == sorted(map(tuple, joined))
