@@ -203,7 +203,11 @@ def links(distinct: DataFrame, radius: int = 3, block: int = 1024) -> DataFrame:
 
 
 def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, component_id) for every fingerprint of ``prints`` (doc_id, fp)."""
+    """(fp, root, component_id) for every fingerprint of ``prints`` (doc_id, fp).
+
+    ``root`` is a fingerprint and names the component; ``component_id``, the smallest id in it, is
+    NULL where all ids are, and may be that of several components where ids repeat.
+    """
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = components(links(distinct, radius))
     linked = stored(
@@ -213,7 +217,7 @@ def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
         "linked",
     )
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return stored(linked.join(ids, "root").select("fp", "component_id"), "classes")
+    return stored(linked.join(ids, "root").select("fp", "root", "component_id"), "classes")
 
 
 def components_of(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -234,13 +238,14 @@ def first_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame
     """``docs`` with one row for each component: the one with the smallest id.
 
     Where the smallest id occurs on several rows of a component, the row with the smallest
-    fingerprint stays, and of those with the same fingerprint one. All columns are kept as they are.
+    fingerprint stays, and of those with the same fingerprint one. A component of NULL ids alone
+    keeps a row too. All columns are kept as they are.
     """
     rows = stored(fingerprints(docs, width), "simhash_rows")
     prints = rows.select("row.doc_id", "fp")
     found = prints.distinct().join(classes(prints, radius), "fp")
     stay = (
-        found.groupBy("component_id")
+        found.groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("k"))
         .select("k.doc_id", "k.fp")
     )

@@ -204,6 +204,13 @@ def test_simhash_on_odd_rows(odd, nothing):
     assert simhash.first_of_each(nothing).count() == 0
 
 
+def test_components_with_one_smallest_id_all_keep_a_row(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, d)]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(rows_of(kept, "text", "doc_id"), key=str) == [(a, None), (b, None), (c, 7), (d, 7)]
+
+
 # --- 3: mixing ---------------------------------------------------------------------------------
 
 
