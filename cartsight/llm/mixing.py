@@ -100,12 +100,14 @@ def mix(
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     most: float = MOST,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken, position of every row of ``docs``.
+    """doc_id, source, size, source_size, target, copies, taken, position, positions of every row of
+    ``docs``.
 
     Documents of a source follow each other in the order of md5(doc_id), again and again; a round
     that reaches the target ends with the document whose middle lies before it. So the words taken
-    miss the target by half a document at most. ``position`` is the time of the document's first
-    copy, NULL if it is not taken; copy k comes where the k-th round reaches it.
+    miss the target by half a document at most. ``positions`` has the time of each copy: that of
+    copy k is where the schedule has brought the k rounds before it and the words ahead of it in its
+    own. ``position`` is the first of them. Both are NULL if the document is not taken.
 
     NULL or empty texts have size 0 and take no words. NULL sources are one source, the last. A
     NULL id sorts first in its source; rows that repeat an id follow each other. Other columns are
@@ -156,19 +158,27 @@ def place(
     copies = F.when(
         F.col("size") > 0, F.ceil(F.try_divide(F.col("target") - F.col("middle"), F.col("source_size").cast("double")))
     ).otherwise(0)
-    part = F.least(F.try_divide(F.col("middle"), F.col("target")), F.lit(1.0))
-    at = None
-    for i, schedule in enumerate(schedules):
-        mine = F.col("rank") % len(schedules) == i
-        at = F.when(mine, position(part, schedule)) if at is None else at.when(mine, position(part, schedule))
+
+    def due(k: Column) -> Column:
+        """The time of copy ``k``."""
+        words = F.col("middle") + k * F.col("source_size")
+        part = F.least(F.try_divide(words, F.col("target")), F.lit(1.0))
+        at = None
+        for i, schedule in enumerate(schedules):
+            mine = F.col("rank") % len(schedules) == i
+            at = F.when(mine, position(part, schedule)) if at is None else at.when(mine, position(part, schedule))
+        return at
+
+    rounds = F.sequence(F.lit(0), F.greatest(F.col("copies").cast("int") - 1, F.lit(0)))
     return (
         within.join(starts, (F.col("rank") == F.col("r")) & (F.col("bucket") == F.col("b")))
         .withColumn("middle", middle)
         .withColumn("copies", F.greatest(copies, F.lit(0)).cast("long"))
+        .withColumn("positions", F.when(F.col("copies") > 0, F.transform(rounds, due)))
         .select(
             "doc_id", "source", "size", "source_size", "target", "copies",
             (F.col("size") * F.col("copies")).alias("taken"),
-            F.when(F.col("copies") > 0, at).alias("position"),
+            F.col("positions")[0].alias("position"), "positions",
         )
     )
 

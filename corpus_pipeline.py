@@ -51,8 +51,8 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mix takes, in the order of training.
 
-    doc_id, source, text, size, copy (from 0), copies and position. ``position`` is that of the
-    document's first copy; copy k is due k rounds of its source later.
+    doc_id, source, text, size, copy (from 0), copies and position. ``position`` is the training
+    time of that copy; copy k is due k rounds of its source after the first.
     """
     sized = stored(
         docs.select(
@@ -65,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     placed = stored(mixing.place(sized.drop("text")).where("copies > 0"), "placed")
     key = placed.select(
-        F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies", "position"
+        F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies", "positions"
     ).distinct()
     same = (
         F.col("doc_id").eqNullSafe(F.col("d"))
@@ -73,9 +73,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         & (F.col("size") == F.col("z"))
     )
     taken = sized.join(key, same).select(
-        "doc_id", "source", "text", "size", "copies", "position",
-        F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"),
-    )
+        "doc_id", "source", "text", "size", "copies", F.posexplode("positions").alias("copy", "position")
+    )
     return taken.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
 
 

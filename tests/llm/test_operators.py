@@ -249,6 +249,21 @@ def test_mixing_on_odd_rows(odd, nothing):
     assert sorted(map(str, found.collect())) == sorted(map(str, mixing.mix(odd).collect()))
 
 
+def test_words_due_follow_the_schedule_in_all_rounds(spark):
+    rows = [(i, "a" if i < 100 else "b", "w " * 10) for i in range(500)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    goal = dict(rows_of(mixed.select("source", "target").distinct(), "source", "target"))
+    assert goal["a"] == 3000 and goal["b"] == pytest.approx(2000)
+    copies = mixed.select("source", "size", F.explode("positions").alias("at")).collect()
+    grid = np.linspace(0, 1, 20001)
+    for source, schedule in zip("ab", mixing.SCHEDULES, strict=False):
+        due = np.interp(grid, *zip(*schedule, strict=True))
+        total = np.r_[0, np.cumsum((due[1:] + due[:-1]) / 2)]
+        for t in (0.25, 0.5, 0.75, 1):
+            words = sum(r["size"] for r in copies if r.source == source and r["at"] <= t)
+            assert abs(words - goal[source] * np.interp(t, grid, total / total[-1])) <= 10
+
+
 # --- 4, 9: classifiers -------------------------------------------------------------------------
 
 

@@ -50,6 +50,15 @@ def test_odd_tables(spark):
         now.collect()
 
 
+def test_copies_of_a_document_come_rounds_apart(spark):
+    rows = [(i, "a" if i < 100 else "b", "w " * 10) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = corpus_pipeline.mix_sources(spark, docs, SF).where("source = 'a'").collect()
+    assert [r.position for r in found] == sorted(r.position for r in found)
+    assert [r["copy"] for r in found] == [k for k in range(3) for _ in range(100)]
+    assert found[-1].position > 0.99
+
+
 @pytest.mark.parametrize("name", ["pipeline", *(f"op{i}_" for i in range(1, 11))])
 def test_registered(name):
     assert any(q.startswith(name) for q in __spark_entry__.queries())
