@@ -130,7 +130,11 @@ def place(
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     most: float = MOST,
 ) -> DataFrame:
-    """:func:`mix` for rows whose words are counted: (doc_id, source, size)."""
+    """:func:`mix` for rows whose words are counted: (doc_id, source, size).
+
+    Further columns of ``sized`` follow behind those of :func:`mix`.
+    """
+    others = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     goals = stored(targets(sized, weights, most), "targets")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = (
@@ -178,7 +182,7 @@ def place(
         .select(
             "doc_id", "source", "size", "source_size", "target", "copies",
             (F.col("size") * F.col("copies")).alias("taken"),
-            F.col("positions")[0].alias("position"), "positions",
+            F.col("positions")[0].alias("position"), "positions", *others,
         )
     )
 

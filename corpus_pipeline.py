@@ -60,19 +60,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             F.col("source").cast("string").alias("source"),
             mixing.n_words("text").alias("size"),
             F.col("text").alias("text"),
+            F.monotonically_increasing_id().alias("number"),  # ids may repeat or be NULL
         ),
         "texts",
     )
     placed = stored(mixing.place(sized.drop("text")).where("copies > 0"), "placed")
-    key = placed.select(
-        F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies", "positions"
-    ).distinct()
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("d"))
-        & F.col("source").eqNullSafe(F.col("s"))
-        & (F.col("size") == F.col("z"))
-    )
-    taken = sized.join(key, same).select(
+    taken = sized.join(placed.select("number", "copies", "positions"), "number").select(
         "doc_id", "source", "text", "size", "copies", F.posexplode("positions").alias("copy", "position")
     )
     return taken.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")

@@ -59,6 +59,17 @@ def test_copies_of_a_document_come_rounds_apart(spark):
     assert found[-1].position > 0.99
 
 
+def test_mix_of_repeated_and_null_ids_meets_the_targets(spark):
+    rows = [(None if i % 3 == 0 else i % 40, f"s{i % 4}", "w " * 5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized = docs.union(docs).select("source", mixing.n_words("text").alias("size"))
+    wanted = {r.source: r.target for r in mixing.targets(sized).collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs.union(docs), SF)
+    taken = {r.source: r.words for r in mixed.groupBy("source").agg(F.sum("size").alias("words")).collect()}
+    assert taken.keys() == wanted.keys()
+    assert all(abs(taken[s] - wanted[s]) <= 2.5 for s in wanted)
+
+
 @pytest.mark.parametrize("name", ["pipeline", *(f"op{i}_" for i in range(1, 11))])
 def test_registered(name):
     assert any(q.startswith(name) for q in __spark_entry__.queries())
