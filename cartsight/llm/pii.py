@@ -4,7 +4,10 @@ Four kinds of personal data are found by pattern. Further terms are judged by in
 an entity e that occurs in a part p(e) of all documents has -log2 p(e) bits, and a term t tells
 PMI(t; e) = log2(p(t, e) / (p(t) p(e))) of them, where p(t, e) counts the documents that have t near
 e and p(t) all documents that have t anywhere. A term that tells more than a given part of an
-entity's bits, seen often enough to judge, is generalised in the documents where it stands near it.
+entity's bits is generalised in the documents where it stands near it. p(e | t) is taken at its lower
+confidence bound, so a term that was seen seldom needs an entity with many bits. The same holds for
+what several entities share, such as the domain of their addresses: there rare ones are judged
+together.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KINDS = ("email", "ip", "card", "phone")
 #: Words beside an entity, within so many characters, are its context.
 REACH = 60
-#: A term is judged if it was near one entity in so many documents, and tells this part of its bits.
-LEAST_SEEN, DISCLOSES = 5, 0.9
+#: A term is generalised if it tells this part of an entity's bits, by the lower bound at so many
+#: standard deviations (one-sided, 95 in 100).
+DISCLOSES, SURE = 0.9, 1.645
 TERM = r"[\p{L}]{3,40}"
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 _TERM_BUCKETS = 1 << 20
@@ -137,15 +141,34 @@ def find(docs: DataFrame) -> DataFrame:
     )
 
 
-def disclosing_terms(
-    docs: DataFrame, least_seen: int = LEAST_SEEN, discloses: float = DISCLOSES
-) -> DataFrame:
-    """(entity, term) where the term, near the entity in ``least_seen`` different texts, tells at
-    least ``discloses`` of its information content.
+def _keys(kind: Column, value: Column) -> Column:
+    """What a term may disclose: the entity itself, and the part that several entities share.
+
+    That is the domain of an email, the first three numbers of an IP, the first six digits of a
+    card, and all but the last four digits of a phone number.
+    """
+    shared = (
+        F.when(kind == "email", F.lower(F.substring_index(value, "@", -1)))
+        .when(kind == "ip", F.substring_index(value, ".", 3))
+        .when(kind == "card", F.substring(_digits(value), 1, 6))
+        .otherwise(F.regexp_replace(_digits(value), "[0-9]{4}$", ""))
+    )
+    return F.array(F.concat(F.lit("="), value), F.concat(kind, F.lit(":"), shared))
+
+
+def _low(k: Column, n: Column, sure: float) -> Column:
+    """Wilson's lower bound of a probability that was seen ``k`` times in ``n``."""
+    p, z2 = k / n, sure * sure
+    return (p + z2 / (2 * n) - sure * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n)
+
+
+def disclosing_terms(docs: DataFrame, discloses: float = DISCLOSES, sure: float = SURE) -> DataFrame:
+    """(entity, term) where the term tells at least ``discloses`` of the information content of the
+    entity (one of its :func:`_keys`), with p(e | t) at its lower bound.
 
     Copies of a text are one piece of evidence: documents are counted by the hash of their text.
     The terms of the whole corpus are counted, but a test on 2**20 hash values, broadcast as at
-    most that many numbers, first drops those that cannot be among the terms to judge.
+    most that many numbers, first drops those that cannot disclose any entity they are near.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     all_spans = F.concat(*base_spans(text).values())
@@ -162,36 +185,43 @@ def disclosing_terms(
     context = F.lower(F.concat_ws(" ", left, right))
     seen = stored(
         near.select(
-            F.col("s.value").alias("entity"),
+            _keys(F.col("s.kind"), F.col("s.value")).alias("keys"),
             "t",
             F.explode(F.array_distinct(F.regexp_extract_all(context, F.lit(TERM), F.lit(0)))).alias("term"),
-        ).distinct(),
+        )
+        .select(F.explode("keys").alias("entity"), "t", "term")
+        .distinct(),
         "near",
     )
-    pairs = seen.groupBy("entity", "term").agg(F.count("t").alias("together")).where(
-        F.col("together") >= least_seen
-    )
-    pairs = stored(pairs, "pairs")
     entities = seen.select("entity", "t").distinct().groupBy("entity").agg(F.count("t").alias("n_e"))
+    together = seen.groupBy("entity", "term").agg(F.count("t").alias("together"))
+    pairs = stored(together.join(entities, "entity"), "pairs")
     n = docs.select(F.xxhash64(text).alias("t")).agg(F.approx_count_distinct("t", 0.01)).first()[0]
-    all_texts = F.greatest(F.lit(float(n)), F.col("n_e"), F.col("n_t"))
-    bits = F.log2(all_texts / F.col("n_e"))
-    told = F.log2(F.col("together") * all_texts / (F.col("n_t") * F.col("n_e")))
-    tells = (bits > 0) & (told >= discloses * bits)
-    # a term is in no fewer texts than those where it is near an entity: most common words drop out
+
+    def tells(k: Column, n_e: Column, n_t: Column) -> Column:
+        all_texts = F.greatest(F.lit(float(n)), n_e, n_t)
+        bits = F.log2(all_texts / n_e)
+        return (bits > 0) & (F.log2(_low(k, n_t, sure) * all_texts / n_e) >= discloses * bits)
+
+    # a term is in no fewer texts than those where it is near an entity, and tells no entity more
+    # than its best count would tell of the rarest one: most common words drop out
     near_any = seen.select("term", "t").distinct().groupBy("term").agg(F.count("t").alias("n_t"))
-    pairs = stored(
-        pairs.join(entities, "entity").join(near_any, "term").where(tells).drop("n_t"), "judged"
-    )
+    best = pairs.groupBy("term").agg(F.max("together").alias("k"), F.min("n_e").alias("n_e"))
+    able = best.join(near_any, "term").where(tells(F.col("k"), F.col("n_e"), F.col("n_t")))
     bucket = F.pmod(F.xxhash64("term"), F.lit(_TERM_BUCKETS)).cast("int").alias("bucket")
-    wanted = pairs.select(bucket).distinct()
+    wanted = stored(able.select(bucket).distinct(), "wanted")
     words = docs.select(
         F.xxhash64(text).alias("t"),
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"),
     )
     some = words.select("t", "term", bucket).join(F.broadcast(wanted), "bucket", "left_semi")
     terms = some.select("term", "t").distinct().groupBy("term").agg(F.count("t").alias("n_t"))
-    return pairs.join(terms, "term").where(tells).select("entity", "term")
+    judged = pairs.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi")
+    return (
+        judged.join(terms, "term")
+        .where(tells(F.col("together"), F.col("n_e"), F.col("n_t")))
+        .select("entity", "term")
+    )
 
 
 def _pattern(terms: Column) -> Column:
@@ -201,19 +231,17 @@ def _pattern(terms: Column) -> Column:
     )
 
 
-def terms_by_document(
-    docs: DataFrame, found: DataFrame, least_seen: int = LEAST_SEEN, discloses: float = DISCLOSES
-) -> DataFrame:
-    """(doc_id, terms): for documents with an entity, the terms that disclose one of its entities."""
-    terms = stored(disclosing_terms(docs, least_seen, discloses), "disclosing")
-    entities = found.select("doc_id", F.explode("base.value").alias("entity")).distinct()
-    return (
-        entities.join(terms, "entity").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    )
+def terms_by_text(docs: DataFrame, discloses: float = DISCLOSES, sure: float = SURE) -> DataFrame:
+    """(t, terms): for texts with an entity, by hash, the terms that disclose one of its entities."""
+    terms = stored(disclosing_terms(docs, discloses, sure), "disclosing")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    spans = docs.select(F.xxhash64(text).alias("t"), F.explode(F.concat(*base_spans(text).values())).alias("s"))
+    entities = spans.select("t", F.explode(_keys(F.col("s.kind"), F.col("s.value"))).alias("entity")).distinct()
+    return entities.join(terms, "entity").groupBy("t").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
 def sanitised(
-    docs: DataFrame, least_seen: int = LEAST_SEEN, discloses: float = DISCLOSES
+    docs: DataFrame, discloses: float = DISCLOSES, sure: float = SURE, null_ids: bool = False
 ) -> DataFrame:
     """``row`` (all columns of ``docs``), n_<kind>, base_sha256, spans and the clean ``text``.
 
@@ -221,22 +249,17 @@ def sanitised(
     ``term`` follow from :func:`disclosing_terms`. In the clean text every span, overlapping ones
     as one, is its kind in brackets: [EMAIL], [IP], [CARD], [PHONE], [TERM].
 
-    A NULL text is empty, has no spans and stays NULL. Rows that repeat an id or a text are
-    treated alike; rows with a NULL id get base spans only. Other columns, whatever their names,
-    are carried along in ``row``. Texts are read whole.
+    A NULL text is empty, has no spans and stays NULL. Rows that repeat a text are treated alike.
+    Rows with a NULL id get base spans only, unless ``null_ids`` treats them like any other. Other
+    columns, whatever their names, are carried along in ``row``. Texts are read whole.
     """
     rows = docs.select(F.struct("*").alias("row"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(find(slim).where(F.size("base") > 0), "entities")
-    terms = stored(terms_by_document(slim, found, least_seen, discloses), "terms")
+    terms = stored(terms_by_text(docs.select("text"), discloses, sure), "terms")
     text = F.coalesce(F.col("row.text"), F.lit(""))
     base = find_in_rows(rows.select("row", text.alias("text")))
-    joined = base.join(
-        terms.withColumnRenamed("doc_id", "_id"), F.col("row.doc_id").cast("long") == F.col("_id"), "left"
-    )
-    extra = F.when(F.col("terms").isNull(), _none()).otherwise(
-        _found(F.col("text"), _pattern(F.col("terms")), "term", 4)
-    )
+    joined = base.join(terms, F.xxhash64("text") == F.col("t"), "left")
+    some = F.col("terms").isNotNull() & (F.lit(null_ids) | F.col("row.doc_id").isNotNull())
+    extra = F.when(some, _found(F.col("text"), _pattern(F.col("terms")), "term", 4)).otherwise(_none())
     full = joined.withColumn("all", F.array_sort(F.concat("base", extra)))
     return full.select(
         "row",
@@ -283,6 +306,6 @@ def _masked(text: Column, spans: Column) -> Column:
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_sha256 and spans of :func:`sanitised`."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return sanitised(slim).select(
+    return sanitised(slim, null_ids=True).select(
         F.col("row.doc_id").alias("doc_id"), *(f"n_{k}" for k in KINDS), "base_sha256", "spans"
     )

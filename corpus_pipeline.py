@@ -36,7 +36,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     ``n_chars`` is counted anew where there is such a column.
     """
-    found = pii.sanitised(docs)
+    found = pii.sanitised(docs, null_ids=True)
     columns = [
         F.col("text").alias(c)
         if c == "text"

@@ -581,6 +581,21 @@ def test_telling_terms_are_generalised(spark):
     assert found[None].text == "the zorblax of [EMAIL]"
 
 
+def test_terms_of_rare_entities_are_generalised(spark):
+    rows = [(None if i == 0 else i, f"see quorvex and plain at joe@zorb.com number {i}") for i in range(3)]
+    rows += [(10 + i, f"team vexil has {name}@rare.org on board") for i, name in enumerate(("al", "bo", "cy", "di"))]
+    rows += [(100 + i, f"see and plain at number has on board once{'x' * (i % 7)} {i}") for i in range(2500)]
+    rows += [(5000, "the word quirk is once near jim@solo.net")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["row"]["doc_id"]: r.text for r in pii.sanitised(df, null_ids=True).collect()}
+    assert found[1] == "see [TERM] and plain at [EMAIL] number 1"
+    assert found[None] == "see [TERM] and plain at [EMAIL] number 0"
+    assert found[10] == "[TERM] [TERM] has [EMAIL] on board"
+    assert found[5000] == "the word quirk is once near [EMAIL]"
+    digest = {r.doc_id: r.spans for r in pii.digest(df).collect()}
+    assert digest[None] == "term:4:11,email:25:37"
+
+
 def test_personal_data_on_odd_rows(odd, nothing):
     found = pii.sanitised(odd)
     assert found.count() == len(ODD) and pii.sanitised(nothing).count() == 0
