@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartsight.llm import (
     bwt_dedup,
+    byte_bpe,
     decontam,
     langid,
     mixing,
@@ -72,6 +73,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        rank_file = file.read()
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN)
+    both = byte_bpe.decode(encoded, rank_file)
+    as_text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(as_text, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +102,7 @@ QUERIES = {
         op8_decontamination,
         op9_toxicity,
         op10_pii,
+        op11_byte_bpe,
     )
 }
 ORACLES = {
