@@ -10,8 +10,10 @@ from cartsight.llm import (
     byte_bpe,
     decontam,
     langid,
+    merkle,
     mixing,
     pii,
+    prefix_trie,
     quality_gam,
     quality_rules,
     rlz_dedup,
@@ -89,6 +91,22 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        "proof_sha256",
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("key")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,10 +121,14 @@ QUERIES = {
         op9_toxicity,
         op10_pii,
         op11_byte_bpe,
+        op12_merkle,
+        op13_prefix_trie,
     )
 }
 ORACLES = {
     "op3_mixing": mixing.ORACLE,
     "op6_suffix_dedup": bwt_dedup.ORACLE,
     "op7_substring_dedup": rlz_dedup.ORACLE,
+    "op12_merkle": merkle.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
