@@ -5,14 +5,15 @@
 1. Each task cuts its texts into words by the tokenizer's pattern, in blocks of ``BLOCK_CHARS`` code
    points. A text becomes the numbers of its words in the list of distinct words of its block; both
    are written to the shared folder, so texts are read and cut once and never shuffled.
-2. The words of all blocks are shuffled by word, so that each distinct word of the corpus meets the
-   merges once. ``replay`` holds an inverted index from token pair to the positions where it stands
-   in the words; it takes the pairs in the order of their ranks, merges all positions of a pair and
-   updates the index for the touched neighbours only.
+2. The words of all blocks are shuffled by a share of them, told by a hash, so that each distinct word
+   of the corpus meets the merges once. ``replay`` holds an inverted index from token pair to the
+   positions where it stands in the words; it takes the pairs in the order of their ranks, merges all
+   positions of a pair and updates the index for the touched neighbours only.
 3. The ids go back to their block, where the texts are put together from them.
 
 A word occurs once per block at most, however common it is, so no word fills a task. A block holds
-a bounded amount of text, or a single longer one. ``decode`` turns ids back into bytes.
+a bounded amount of text, or a single longer one. What is shuffled is a row for each block and share,
+with its words or ids side by side. ``decode`` turns ids back into bytes.
 
 NULL and empty texts have no ids. Repeated rows and NULL keys are rows like any other; an empty
 table gives an empty one. Other columns than the text and the keys are not read.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -36,9 +38,11 @@ from pyspark.sql import types as T
 from cartsight.llm.common import shared_path
 
 #: Code points of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 24
-#: Distinct words, or bytes of words, that one replay takes at once.
-REPLAY_WORDS, REPLAY_BYTES = 1 << 18, 1 << 25
+BLOCK_CHARS = 1 << 25
+#: Words, and code points of words, after which a replay takes no further share.
+REPLAY_WORDS, REPLAY_CHARS = 1 << 17, 1 << 24
+#: Shares of the words for each shuffle partition.
+SHARES = 4
 _WORD_END = -1
 
 
@@ -164,18 +168,25 @@ def replay(words: Sequence[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
     return ids, offsets
 
 
-def _planes(numbers: list[int]) -> bytes:
+def _planes(numbers) -> bytes:
     """Numbers as four planes of bytes, lowest first; the upper ones hardly take room compressed."""
-    return np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _numbers(planes: bytes) -> np.ndarray:
     raw = np.frombuffer(planes, np.uint8).reshape(4, -1).T
-    return np.ascontiguousarray(raw).view("<u4").reshape(-1)
+    return np.ascontiguousarray(raw).view("<u4").reshape(-1).astype(np.int64)
 
 
-def _cut(pattern: str, n_keys: int, block_chars: int):
-    """Rows of texts to (block, words) and (block, keys, numbers)."""
+def _pieces(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions of pieces that begin at ``starts`` and are ``counts`` long, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def _cut(pattern: str, n_keys: int, block_chars: int, shares: int):
+    """Rows of texts to rows (block, keys, numbers) and, for each share of its words, (block, share,
+    numbers, words) with the words in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -183,28 +194,28 @@ def _cut(pattern: str, n_keys: int, block_chars: int):
         words_of = regex.compile(pattern).findall
         block = TaskContext.get().partitionId() << 32
         number: dict[str, int] = {}
-        chars = 0
+        chars, kinds = 0, []
+        names = ["block", *[f"key{i}" for i in range(n_keys)], "numbers", "share", "words"]
 
         def rows(batch: pa.RecordBatch, planes: list[bytes], start: int) -> pa.RecordBatch:
             n = len(planes)
             keys = [batch.column(i).slice(start, n) for i in range(n_keys)]
-            nothing = pa.nulls(n, pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int64()), *keys, pa.array(planes, pa.binary()), nothing],
-                names=names,
-            )
+            rest = [pa.array(planes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *keys, *rest], names=names)
 
         def words() -> pa.RecordBatch:
-            keys = [pa.nulls(1, kind) for kind in kinds]
-            listed = pa.array([list(number)], pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), *keys, pa.nulls(1, pa.binary()), listed], names=names
-            )
+            listed: list[list[str]] = [[] for _ in range(shares)]
+            for word in sorted(number):
+                listed[zlib.crc32(word.encode()) % shares].append(word)
+            used = [i for i in range(shares) if listed[i]]
+            n = len(used)
+            keys = [pa.nulls(n, kind) for kind in kinds]
+            planes = [_planes([number[word] for word in listed[i]]) for i in used]
+            rest = [pa.array(planes, pa.binary()), pa.array(used, pa.int32()), pa.array([listed[i] for i in used], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *keys, *rest], names=names)
 
-        kinds, names = [], []
         for batch in batches:
             kinds = [batch.column(i).type for i in range(n_keys)]
-            names = ["block", *[f"key{i}" for i in range(n_keys)], "numbers", "words"]
             planes, start = [], 0
             for at, text in enumerate(batch.column(n_keys)):
                 found = words_of(text.as_py() or "")
@@ -216,40 +227,49 @@ def _cut(pattern: str, n_keys: int, block_chars: int):
                 chars += size
                 planes.append(_planes([number.setdefault(w, len(number)) for w in found]))
             yield rows(batch, planes, start)
-        if names:
+        if number:
             yield words()
 
     return run
 
 
-def _replayed(rank_file: bytes, most_words: int, most_bytes: int):
-    """Rows (word, block, number), words in order, to (block, number, ids)."""
+def _replayed(rank_file: bytes, most_words: int, most_chars: int):
+    """Rows (share, block, numbers, words), shares in order, to (block, numbers, counts, ids).
+
+    A share is replayed as a whole, unless it alone exceeds the bounds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(rank_file)
-        held: list[pa.RecordBatch] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            for batch in rows.to_batches():
-                coded = batch.column("word").dictionary_encode()
-                ids, offsets = replay(coded.dictionary.cast(pa.binary()).to_pylist(), vocab)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("block"), batch.column("number"), lists.take(coded.indices)],
-                    names=["block", "number", "ids"],
-                )
+        held: list[tuple[int, bytes, list[str]]] = []
+
+        def done() -> pa.RecordBatch:
+            code: dict[str, int] = {}
+            codes = [np.array([code.setdefault(w, len(code)) for w in words], np.int64) for _, _, words in held]
+            ids, offsets = replay([w.encode() for w in code], vocab)
+            counts = np.diff(offsets)
+            own = [ids[_pieces(offsets[c], counts[c])] for c in codes]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block for block, _, _ in held], pa.int64()),
+                    pa.array([numbers for _, numbers, _ in held], pa.binary()),
+                    pa.array([_planes(counts[c]) for c in codes], pa.binary()),
+                    pa.array([_planes(x) for x in own], pa.binary()),
+                ],
+                names=["block", "numbers", "counts", "ids"],
+            )
 
-        words = size = 0
+        last, size, n = None, 0, 0
         for batch in batches:
-            held.append(batch)
-            words += len(pc.unique(batch.column("word")))
-            size += pc.sum(pc.binary_length(batch.column("word"))).as_py() or 0
-            if words >= most_words or size >= most_bytes:
-                yield from done()
-                held, words, size = [], 0, 0
+            for share, block, numbers, words in zip(*[column.to_pylist() for column in batch.columns]):
+                full = n >= most_words or size >= most_chars
+                if held and (full and share != last or n >= 16 * most_words or size >= 16 * most_chars):
+                    yield done()
+                    held, size, n = [], 0, 0
+                held.append((block, numbers, words))
+                last, size, n = share, size + sum(map(len, words)), n + len(words)
         if held:
-            yield from done()
+            yield done()
 
     return run
 
@@ -258,18 +278,18 @@ def _put_together(n_keys: int):
     """The texts of a block, and the ids of its words, to (keys, ids)."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        order = np.argsort(answers["number"].to_numpy())
-        lists = answers["ids"].combine_chunks().take(pa.array(order))
-        ids = lists.flatten().to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        def joined(name: str) -> np.ndarray:
+            parts = [_numbers(planes) for planes in answers[name].to_pylist()]
+            return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+        order = np.argsort(joined("numbers"))
+        counts, ids = joined("counts"), joined("ids").astype(np.int32)
+        starts = (np.cumsum(counts) - counts)[order]
+        counts = counts[order]
         out = []
-        for planes in texts["numbers"]:
-            words = _numbers(planes.as_py())
-            each = offsets[words + 1] - offsets[words]
-            ends = np.cumsum(each)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.arange(total) + np.repeat(offsets[words] - ends + each, each)
-            out.append(ids[at].astype(np.int32))
+        for planes in texts["numbers"].to_pylist():
+            words = _numbers(planes)
+            out.append(ids[_pieces(starts[words], counts[words])])
         keys = [texts[f"key{i}"] for i in range(n_keys)]
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])])
         flat = np.concatenate(out) if out else np.empty(0, np.int32)
@@ -301,26 +321,27 @@ def encode(
             T.StructField("block", T.LongType()),
             *kinds,
             T.StructField("numbers", T.BinaryType()),
+            T.StructField("share", T.IntegerType()),
             T.StructField("words", T.ArrayType(T.StringType())),
         ]
     )
     chosen = docs.select(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)], F.col(text).cast("string").alias("t"))
-    cut = chosen.mapInArrow(_cut(pattern, n, block_chars), cut_schema)
     # Filed by block, so that the texts need not be shuffled when their ids come back.
     path = shared_path(spark, "blocks")
     entry = f"llm_{path.rsplit('/', 1)[1].replace('-', '_')}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = chosen.mapInArrow(_cut(pattern, n, block_chars, SHARES * buckets), cut_schema)
     cut.write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(entry)
     blocks = spark.table(entry)
 
-    words = blocks.where(F.col("words").isNotNull()).select("block", F.posexplode("words").alias("number", "word"))
     answers = (
-        words.select("word", "block", "number")
-        .repartition("word")
-        .sortWithinPartitions("word")
-        .mapInArrow(_replayed(rank_file, replay_words, REPLAY_BYTES), "block long, number int, ids array<int>")
+        blocks.where(F.col("share").isNotNull())
+        .select("share", "block", "numbers", "words")
+        .repartition("share")
+        .sortWithinPartitions("share")
+        .mapInArrow(_replayed(rank_file, replay_words, REPLAY_CHARS), "block long, numbers binary, counts binary, ids binary")
     )
-    texts = blocks.where(F.col("words").isNull()).drop("words")
+    texts = blocks.where(F.col("share").isNull()).drop("share", "words")
     schema = T.StructType([*kinds, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     encoded = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_put_together(n), schema)
     # A block whose texts have no words has no answers, but its texts stand on the left side.
