@@ -44,6 +44,8 @@ REPLAY_WORDS, REPLAY_CHARS = 1 << 17, 1 << 24
 #: Shares of the words for each shuffle partition.
 SHARES = 4
 _WORD_END = -1
+#: Texts that go from or to Spark at once.
+_TEXTS = 512
 
 
 class Vocabulary:
@@ -226,6 +228,9 @@ def _cut(pattern: str, n_keys: int, block_chars: int, shares: int):
                     block, chars, number, planes, start = block + 1, 0, {}, [], at
                 chars += size
                 planes.append(_planes([number.setdefault(w, len(number)) for w in found]))
+                if len(planes) == _TEXTS:
+                    yield rows(batch, planes, start)
+                    planes, start = [], at + 1
             yield rows(batch, planes, start)
         if number:
             yield words()
@@ -274,6 +279,10 @@ def _replayed(rank_file: bytes, most_words: int, most_chars: int):
     return run
 
 
+def _encoded(texts: pa.Table, names: list[str]) -> pa.Schema:
+    return pa.schema([*[texts.schema.field(name) for name in names], ("ids", pa.list_(pa.int32()))])
+
+
 def _put_together(n_keys: int):
     """The texts of a block, and the ids of its words, to (keys, ids)."""
 
@@ -286,15 +295,17 @@ def _put_together(n_keys: int):
         counts, ids = joined("counts"), joined("ids").astype(np.int32)
         starts = (np.cumsum(counts) - counts)[order]
         counts = counts[order]
-        out = []
-        for planes in texts["numbers"].to_pylist():
-            words = _numbers(planes)
-            out.append(ids[_pieces(starts[words], counts[words])])
-        keys = [texts[f"key{i}"] for i in range(n_keys)]
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])])
-        flat = np.concatenate(out) if out else np.empty(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.Table.from_arrays([*keys, pa.chunked_array([lists])], names=[*[f"key{i}" for i in range(n_keys)], "ids"])
+        names = [f"key{i}" for i in range(n_keys)]
+        parts = []
+        for batch in texts.to_batches(max_chunksize=_TEXTS):
+            own = []
+            for planes in batch.column("numbers"):
+                words = _numbers(planes.as_py())
+                own.append(ids[_pieces(starts[words], counts[words])])
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(own), pa.int32()))
+            parts.append(pa.RecordBatch.from_arrays([*[batch.column(name) for name in names], lists], names=[*names, "ids"]))
+        return pa.Table.from_batches(parts, schema=_encoded(texts, names))
 
     return run
 
@@ -355,8 +366,8 @@ def decode(df: DataFrame, rank_file: bytes, ids: str = "ids", into: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(rank_file).tokens
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(start, _TEXTS)
                 lists = part.column(at)
                 spelled = tokens.take(lists.flatten())
                 lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)

@@ -1,0 +1,321 @@
+"""Byte-level BPE, the Merkle manifest and the prefix trie against plain versions."""
+
+from __future__ import annotations
+
+import base64
+import collections
+import hashlib
+import random
+import zlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from compare import _rows, connect, duck_rows
+from pyspark.sql import functions as F
+
+from cartsight.llm import byte_bpe, merkle, prefix_trie, queries
+from test_operators import ODD, SCHEMA
+
+BIG = "/root/testdata/sf0.01"
+
+
+def sha(text):
+    return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- 11: byte-level BPE ------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def rank_file():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return file.read()
+
+
+@pytest.fixture(scope="module")
+def library(rank_file):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_replay_is_the_library_word_by_word(rank_file, library):
+    vocab = byte_bpe.vocabulary(rank_file)
+    rng = random.Random(5)
+    tokens = list(vocab.ranks)
+    words = [b"".join(rng.choices(tokens, k=rng.randint(1, 4))) for _ in range(5000)]
+    words += [bytes(rng.choices(b"aab e", k=rng.randint(1, 30))) for _ in range(3000)]
+    words += [bytes(rng.choices(b"=-*", k=rng.randint(1, 60))) for _ in range(3000)]
+    words += [bytes(rng.choices(range(256), k=8)) for _ in range(500)] + [b"", b"a" * 20_000, b"ab" * 9_999]
+    ids, offsets = byte_bpe.replay(words, vocab)
+    for i, word in enumerate(words):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == (library._encode_single_piece(word) if word else [])
+
+
+def test_a_lower_rank_that_arises_late_goes_first():
+    """(x, a) and (a, a) merge first; then xa next to aa gives a token of a lower rank still."""
+    tokens = [bytes([b]) for b in range(256)] + [b"xaaa", b"xa", b"aa"]
+    vocab = byte_bpe.Vocabulary(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)))
+    plain = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    words = ["xaaaaa", "xaaa", "aaaxaaaa", "xaaxaaaxaaaa", "aaaaaaa"]
+    ids, offsets = byte_bpe.replay([w.encode() for w in words], vocab)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [plain.encode_ordinary(w) for w in words]
+
+
+def test_encode_whole_table(spark, library):
+    found = sorted(map(tuple, queries.op11_byte_bpe(spark, BIG).collect()))
+    expected = []
+    for r in spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode_ordinary(r.text or "")
+        assert library.decode_bytes(ids) == (r.text or "").encode()
+        expected.append((r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(r.text or "")))
+    assert found == sorted(expected)
+
+
+def test_encode_in_small_blocks_on_odd_rows(spark, odd, nothing, rank_file, library):
+    """Blocks of a few words and replays of a few, so that every boundary occurs; NULLs, copies, 1 MB."""
+    docs = odd.repartition(3)
+    done = byte_bpe.encode(docs, rank_file, public_tokenizers.PATTERN, ("doc_id", "source"), block_chars=40, replay_words=3)
+    found = byte_bpe.decode(done, rank_file).collect()
+    expected = collections.Counter(
+        (r[0], r[3], tuple(library.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in ODD
+    )
+    assert collections.Counter((r.doc_id, r.source, tuple(r.ids), bytes(r.decoded)) for r in found) == expected
+    assert byte_bpe.encode(nothing, rank_file, public_tokenizers.PATTERN).collect() == []
+    special = spark.createDataFrame([(1, "a<|endoftext|>b   c\r\n\r\n  d '́e \U0001f600\U0001f600")], "doc_id long, text string")
+    ids = byte_bpe.encode(special, rank_file, public_tokenizers.PATTERN).first().ids
+    assert ids == library.encode_ordinary(special.first().text)
+
+
+def test_pattern_knows_the_same_characters(rank_file, library):
+    import regex
+
+    vocab = byte_bpe.vocabulary(rank_file)
+    for start in range(0, 0x110000, 0x1000):
+        text = "".join("a" + chr(c) + "1" for c in range(start, start + 0x1000) if not 0xD800 <= c < 0xE000)
+        words = [w.encode() for w in regex.findall(public_tokenizers.PATTERN, text)]
+        assert byte_bpe.replay(words, vocab)[0].tolist() == library.encode_ordinary(text)
+
+
+def test_decode_nulls_and_unknown_ids(spark, rank_file):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [72, 72])], "doc_id long, ids array<int>")
+    found = {r.doc_id: r.decoded for r in byte_bpe.decode(df, rank_file).collect()}
+    tokens = byte_bpe.vocabulary(rank_file).tokens
+    assert found[1] is None and found[2] == b"" and found[3] == tokens[72].as_py() * 2
+    with pytest.raises(Exception, match="(?i)index|out of bounds"):
+        byte_bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), rank_file).collect()
+
+
+# --- 12: Merkle manifest -----------------------------------------------------------------------
+
+
+def plain_tree(digests, run):
+    """Levels of a tree, from its leaves to its root."""
+    levels = [list(digests)]
+    while len(levels[-1]) > 1:
+        now = levels[-1]
+        levels.append([sha("".join(now[i : i + run])) for i in range(0, len(now), run)])
+    return levels
+
+
+def plain_walk(levels, place, digest, run):
+    """(digests of all siblings, root recomputed from ``digest``)."""
+    proof = ""
+    for level in levels[:-1]:
+        start = place - place % run
+        nodes = level[start : start + run]
+        at = place - start
+        proof += "".join(nodes[:at] + nodes[at + 1 :])
+        nodes[at] = digest
+        digest = sha("".join(nodes))
+        place //= run
+    return proof, digest
+
+
+def plain_leaf(row, lower=False):
+    """row: doc_id, source, lang, n_chars, text."""
+    row = list(row)
+    if lower and row[4] is not None:
+        row[4] = "".join(c.lower() if "A" <= c <= "Z" else c for c in row[4])
+    texts = [None if x is None else str(x) for x in row]
+    return sha("".join("-" if x is None else f"{len(x.encode())}:{x}" for x in texts))
+
+
+def plain_audit(rows, run):
+    low = lambda x: (x is not None, x)
+    sources = collections.defaultdict(list)
+    for row in rows:
+        touched = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0
+        sources[row[1]].append((row[0], plain_leaf(row), plain_leaf(row, touched)))
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for source in order:
+        sources[source].sort(key=lambda r: (low(r[0]), r[1]))
+        trees[source] = plain_tree([r[1] for r in sources[source]], run)
+    top = plain_tree([trees[s][-1][0] for s in order], run)
+    out = []
+    for number, source in enumerate(order):
+        for place, (doc_id, leaf, now) in enumerate(sources[source]):
+            below, folded = plain_walk(trees[source], place, now, run)
+            above, folded = plain_walk(top, number, folded, run)
+            out.append((doc_id, source, leaf, trees[source][-1][0], top[-1][0], sha(below + above), folded))
+    return collections.Counter(out)
+
+
+COLUMNS = ["doc_id", "source", "leaf", "subroot", "root", "proof_sha256", "folded_root"]
+
+
+def merkle_rows(n, seed=3):
+    rng = random.Random(seed)
+    names = [None, "", "a", "b", "ß", "z", "\U0001f600"] + [f"site{i}" for i in range(20)]
+    rows = [
+        (rng.choice([None, rng.randrange(-50, n)]), rng.choice(names + ["hot"] * 30), rng.choice([None, "en"]), rng.choice([None, i]), rng.choice([None, "", f"Text ÄÖ {i}"]))
+        for i in range(n)
+    ]
+    return rows + rows[:20] * 3
+
+
+@pytest.mark.parametrize(("run", "levels"), [(2, 1), (3, 2), (16, 3)])
+def test_audit_is_the_plain_tree(spark, run, levels):
+    """Blocks of two nodes give many tiers, below and above the sources; copies and NULL ids, too."""
+    rows = merkle_rows(300)
+    schema = "doc_id long, source string, lang string, n_chars long, text string"
+    docs = spark.createDataFrame(rows, schema).repartition(5)
+    found = merkle.audit(docs, run, levels).collect()
+    assert collections.Counter(tuple(r[c] for c in COLUMNS) for r in found) == plain_audit(rows, run)
+    for r in found:
+        touched = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+        assert (r.copied is not None) == touched
+        if touched:
+            assert (r.copied or [r.folded_root])[-1] == r.folded_root
+
+
+def test_audit_against_sql(spark):
+    df = queries.op12_merkle(spark, BIG)
+    con = connect(BIG)
+    con.execute(f"CREATE VIEW documents AS FROM '{BIG}/documents.parquet'")
+    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == duck_rows(con, merkle.ORACLE)
+
+
+def test_audit_on_odd_rows(spark, odd, nothing):
+    docs = odd.withColumns({"leaf": F.lit(1), "root": F.lit("x"), "place": F.lit(2), "tree": F.lit("t")})
+    rows = [(r[0], r[3], r[2], r[4], r[1]) for r in ODD]
+    found = merkle.audit(docs).collect()
+    assert collections.Counter(tuple(r[c] for c in COLUMNS) for r in found) == plain_audit(rows, 16)
+    assert merkle.audit(nothing).collect() == []
+    lone = merkle.audit(odd.where("doc_id = 7")).first()
+    assert lone.leaf == lone.subroot == lone.root and lone.proof_sha256 == sha("")
+
+
+def test_versions_share_what_they_do_not_copy():
+    digests = [sha(str(i)) for i in range(40)]
+    runs, top = merkle.block_runs(digests, 40, 4, 3)
+    path = merkle.path_of(runs, 17, 4)
+    assert merkle.copy_path(digests[17], path)[-1] == top
+    changed = merkle.copy_path(sha("other"), path)
+    assert len(changed) == len(path) == 3 and changed[-1] != top
+    assert merkle.path_of(runs, 16, 4)[1:] == path[1:]
+
+
+# --- 13: prefix trie ---------------------------------------------------------------------------
+
+
+def plain_trie(rows):
+    """rows: conv_id, turn, role, text."""
+    own = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own[conv].append(((turn is not None, turn or 0), tie, role, text))
+    own = {c: [t[2:] for t in sorted(turns)] for c, turns in own.items()}
+    members, final = collections.defaultdict(list), {}
+    for conv in sorted(own):
+        taken = zlib.crc32(str(conv).encode()) % 6
+        first = conv - (conv % 100 if conv >= 0 else -(-conv % 100))
+        turns = tuple(own.get(first, [])[:taken] + own[conv][taken:])
+        final[conv] = turns
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(conv)
+    out = []
+    for path, convs in members.items():
+        under = [p for p in members if p[: len(path)] == path]
+        children = [p for p in under if len(p) == len(path) + 1]
+        parents = {p[:-1] for p in members if p}
+        ends = [c for c in convs if final[c] == path]
+        out.append(
+            (
+                convs[0],
+                len(path),
+                members[path[:-1]][0] if path else None,
+                len(convs),
+                len(children),
+                sum(p not in parents for p in under),
+                sum((len(members[p]) - 1) * len(p[-1][1]) for p in under if p),
+                sha(",".join(map(str, ends))),
+            )
+        )
+    return sorted(out, key=str)
+
+
+NAMES = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+TALK = "conv_id long, turn long, role string, text string"
+
+
+def found_trie(df, **bounds):
+    return sorted((tuple(r[c] for c in NAMES) for r in prefix_trie.trie(df, **bounds).collect()), key=str)
+
+
+def talk(seed, n=120):
+    """Few texts, so that many conversations begin alike; copies, gaps, NULLs, negative and large ids."""
+    rng = random.Random(seed)
+    rows = []
+    ids = rng.sample(range(-150, 900), n - 2) + [10**15, 10**15 + 1]
+    for conv in ids:
+        for turn in range(rng.choice([1, 2, 2, 3, 4, 8])):
+            rows.append((conv, rng.choice([turn, turn, None, 1]), rng.choice(["user", "bot", None]), rng.choice(["", "a", "é😀", None, "b"])))
+    return rows + [(None, 0, "user", "lost")] * 40
+
+
+@pytest.mark.parametrize(("seed", "most"), [(1, 1024), (2, 7), (3, 1)])
+def test_trie_is_the_plain_one(spark, seed, most):
+    rows = talk(seed)
+    df = spark.createDataFrame(rows, TALK).repartition(4)
+    assert found_trie(df, most=most) == plain_trie(rows)
+
+
+def test_trie_of_copies_in_many_shards(spark):
+    """A third of all conversations are copies of one; shards are also cut by their turns."""
+    rows = [(c, t, "user", f"same {t}") for c in range(300) for t in range(3) if c % 3 == 0]
+    rows += [(c, t, "user", f"{c} {t}") for c in range(300) for t in range(c % 4) if c % 3]
+    df = spark.createDataFrame(rows, TALK).repartition(4)
+    assert found_trie(df, most=16, most_turns=20) == plain_trie(rows)
+
+
+def test_trie_against_sql(spark):
+    df = queries.op13_prefix_trie(spark, BIG)
+    con = connect(BIG)
+    con.execute(f"CREATE VIEW conversations AS FROM '{BIG}/conversations.parquet'")
+    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == duck_rows(con, prefix_trie.ORACLE)
+
+
+def test_trie_on_odd_tables(spark):
+    nothing = spark.createDataFrame([], TALK)
+    assert prefix_trie.trie(nothing).collect() == []
+    assert prefix_trie.trie(spark.createDataFrame([(None, 1, "user", "x")], TALK)).collect() == []
+    long = [(5, t, "user", "x" * (200_000 if t == 1 else 1)) for t in range(2000)] + [(0, 0, None, None)]
+    df = spark.createDataFrame(long, TALK).withColumns({"key": F.lit(1), "shard": F.lit("x"), "digest": F.lit(2), "size": F.lit(3)})
+    assert len(found_trie(df)) == len({(r[0], r[1]) for r in found_trie(df)})
+    small = [r for r in long if (r[1] or 0) < 40]
+    df = spark.createDataFrame(small, TALK)
+    assert found_trie(df) == plain_trie(small)
