@@ -7,7 +7,13 @@ from cartsight.functions.columns import (
     exact_mean,
     exact_sum,
     haversine_km,
+    joined_limbs,
+    limb_names,
+    limb_sums,
+    limbs,
+    merged_limbs,
     month_index,
+    order_key,
     percent_of,
     rounded_delay,
     rounded_km,
@@ -22,7 +28,13 @@ __all__ = [
     "exact_mean",
     "exact_sum",
     "haversine_km",
+    "joined_limbs",
+    "limb_names",
+    "limb_sums",
+    "limbs",
+    "merged_limbs",
     "month_index",
+    "order_key",
     "percent_of",
     "rounded_delay",
     "rounded_km",

@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartsight.functions import amount
+from cartsight.functions import amount, joined_limbs, limb_names, limb_sums, limbs, merged_limbs
 from cartsight.operators.joins import lookup_by_group
 from cartsight.operators.ranking import top_k, top_ranks
 
@@ -25,13 +25,19 @@ _UNITS = Decimal(10**10)
 
 
 def _sales_by_product(items: DataFrame) -> DataFrame:
+    """Per product: items sold, items with a price, and the limbs of what they cost."""
     return items.groupBy("product_id").agg(
         F.count("order_id").alias("sold"),
-        F.count(amount("price")).alias("priced"),
-        F.sum(amount("price")).alias("amount"),
+        F.count(limbs("price")[0]).alias("priced"),
+        *limb_sums("price", "amount"),
     )
 
 
+def _amount() -> Column:
+    """Aggregate: the sum of the limbs of :func:`_sales_by_product`."""
+    return joined_limbs(merged_limbs("amount"))
+
+
 def _sales_by_category(items: DataFrame, products: DataFrame) -> DataFrame:
     return (
         _sales_by_product(items)
@@ -40,7 +46,7 @@ def _sales_by_category(items: DataFrame, products: DataFrame) -> DataFrame:
         .agg(
             F.sum("sold").alias("sold"),
             F.sum("priced").alias("priced"),
-            F.sum("amount").alias("amount"),
+            *merged_limbs("amount"),
         )
     )
 
@@ -55,7 +61,7 @@ def revenue_by_category(
         .groupBy(ENGLISH)
         .agg(
             F.sum("sold").alias("NumberOfItemsSold"),
-            F.round(F.sum("amount").cast("double"), 2).alias("TotalRevenue"),
+            F.round(_amount().cast("double"), 2).alias("TotalRevenue"),
         )
     )
     return top_k(revenue, "TotalRevenue", k, tiebreak=ENGLISH)
@@ -72,7 +78,7 @@ def _mean_price(
         .join(chosen.select("product_id", ENGLISH), "product_id")
         .groupBy(ENGLISH)
         .agg(
-            F.try_divide(F.sum("amount").cast("double"), F.sum("sold")).alias("mean_price")
+            F.try_divide(_amount().cast("double"), F.sum("sold")).alias("mean_price")
         )
     )
 
@@ -98,13 +104,27 @@ def category_price_gap(
     return prices.agg(F.round(F.try_divide(price_of(dear), price_of(cheap)), 4).alias("price_gap"))
 
 
+def _mean_units(total: Column, count: Column) -> Column:
+    return ((total * _UNITS).cast("decimal(38,0)") / count).alias("mean_units")
+
+
+def _dearer(price: str) -> Column:
+    """Whether ``price`` is above ``mean_units``, exactly; decimals are made for close calls only."""
+    mean = F.col("mean_units").cast("double") / float(_UNITS)
+    above, close = F.col(price) - mean, F.abs(mean) * 1e-9 + 1e-9
+    exact = (amount(price) * _UNITS).cast("decimal(38,0)") > F.col("mean_units")
+    known = F.when(above > close, True).when(above < -close, False).otherwise(exact)
+    return F.when(limbs(price)[0].isNotNull(), known)
+
+
 def above_category_average(items: DataFrame, products: DataFrame) -> DataFrame:
     """Items that cost more than the mean price of their own category.
 
     Both are compared in units of the tenth decimal place, the mean with six more places. Items
     without a category have no mean to compare with and drop out.
     """
-    mean_units = (F.col("amount") * _UNITS).cast("decimal(38,0)") / F.col("priced")
+    total = joined_limbs([F.col(c) for c in limb_names("amount")])
+    mean_units = _mean_units(total, F.col("priced"))
     means = (
         _sales_by_category(items, products)
         .where(F.col(CATEGORY).isNotNull() & (F.col("priced") > 0))
@@ -112,11 +132,10 @@ def above_category_average(items: DataFrame, products: DataFrame) -> DataFrame:
     )
     known = products.select("product_id", CATEGORY)
     lookup = lookup_by_group(known, means, CATEGORY, spread_by="product_id")
-    dearer = (amount("price") * _UNITS).cast("decimal(38,0)") > F.col("mean_units")
     return (
         items.select("order_id", "product_id", "price")
         .join(lookup, "product_id")
-        .where(dearer)
+        .where(_dearer("price"))
         .select("order_id", CATEGORY, "price")
     )
 
@@ -128,24 +147,21 @@ def above_average_share(items: DataFrame, products: DataFrame) -> DataFrame:
     """
     offers = items.groupBy("product_id", "price").agg(F.count(F.lit(1)).alias("copies"))
     known = products.select("product_id", CATEGORY)
-    value = amount("price")
     placed = (
         offers.join(known, "product_id", "left")
-        .groupBy(CATEGORY, value.alias("value"))
+        .groupBy(CATEGORY, "price")
         .agg(F.sum("copies").alias("copies"))
     )
+    weighted = [F.sum(limb * F.col("copies")) for limb in limbs("price")]
     means = (
-        placed.where(F.col(CATEGORY).isNotNull() & F.col("value").isNotNull())
+        placed.where(F.col(CATEGORY).isNotNull() & limbs("price")[0].isNotNull())
         .groupBy(F.col(CATEGORY).alias("category"))
-        .agg(
-            ((F.sum(F.col("value") * F.col("copies")).cast("decimal(38,10)") * _UNITS).cast("decimal(38,0)")
-             / F.sum("copies")).alias("mean_units")
-        )
-    )
-    dearer = (F.col("value") * _UNITS).cast("decimal(38,0)") > F.col("mean_units")
+        .agg(_mean_units(joined_limbs(weighted), F.sum("copies")))
+    )
+    dearer = F.sum(F.when(_dearer("price"), F.col("copies")).otherwise(0))
     return (
         placed.join(means, F.col(CATEGORY) == F.col("category"), "left")
-        .agg(F.sum(F.when(dearer, F.col("copies")).otherwise(0)).alias("above"), F.sum("copies").alias("total"))
+        .agg(dearer.alias("above"), F.sum("copies").alias("total"))
         .select(F.round(F.try_divide(F.col("above"), F.col("total")), 4).alias("above_share"))
     )
 

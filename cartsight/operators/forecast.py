@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartsight.functions import amount, month_index
+from cartsight.functions import joined_limbs, limb_sums, merged_limbs, month_index
 from cartsight.operators.joins import join_facts
 from cartsight.sources import materialise
 
@@ -58,14 +58,15 @@ def monthly_revenue(
     if customers is not None:
         orders = join_facts(orders, customers, "customer_id")
     if products is None and not set(keys) & set(items.columns):
-        sales = items.groupBy("order_id").agg(F.sum(amount(measure)).alias("amount"))
+        sales = items.groupBy("order_id").agg(*limb_sums(measure, "amount"))
+        total = merged_limbs("amount")
     else:
-        sales = items.withColumn("amount", amount(measure))
+        sales, total = items, limb_sums(measure, "amount")
     sales = join_facts(sales, orders, "order_id")
     if products is not None:
         sales = sales.join(products, "product_id")
     return sales.groupBy(*keys, F.trunc(time, "month").alias("ds")).agg(
-        F.sum("amount").cast("double").alias("y")
+        joined_limbs(total).cast("double").alias("y")
     )
 
 

@@ -41,8 +41,8 @@ def centroid_by_key(
     together and the choice is the same in every run.
     """
     means = [
-        F.round(F.avg(lat), 6).alias("avg_lat"),
-        F.round(F.avg(lng), 6).alias("avg_lng"),
+        F.round(exact_mean(lat), 6).alias("avg_lat"),
+        F.round(exact_mean(lng), 6).alias("avg_lng"),
     ]
     grouped = points.groupBy(key).agg(*means, F.min(F.struct(*place)).alias("place"))
     return grouped.select(key, "avg_lat", "avg_lng", *[f"place.{c}" for c in place])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
 import subprocess
 import sys
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from cartsight.functions import amount, exact_mean, exact_sum, joined_limbs, limbs
 from cartsight.operators import catalog, forecast, payments
 from cartsight.sources import FileStore, read_monthly
 
@@ -104,3 +107,50 @@ for name in ("g05_order_coordinates", "g08_delay_by_distance_band", "g11_delay_c
     env = {k: v for k, v in os.environ.items() if k != "SPARK_CONF_DIR"} | {"SPARK_CONF_DIR": str(tmp_path)}
     done = subprocess.run([sys.executable, "-c", code, root, str(tmp_path / "warehouse")], capture_output=True, text=True, timeout=240, env=env)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_limbs_are_the_amount(spark):
+    rng = random.Random(1)
+    values = [round(rng.uniform(-1, 1) * 10 ** rng.randint(0, 11), rng.randint(0, 3)) for _ in range(5000)]
+    values += [0.1, 0.004, -0.004, 1.005, 99999.99, -123456789.12, 999999999999999.0, 1e17, 1e18, -1e18, NAN, float("inf")]
+    values += [None, -0.0, 0.00000000005, 123456.123456789, 0.99999999999, 2.0**52, 123456789012.345]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in df.select("v", amount("v").alias("a"), joined_limbs(limbs("v")).alias("l")).collect():
+        assert row.a == row.l, row.v
+
+
+@pytest.mark.parametrize("kind", ["decimal(28,10)", "decimal(20,4)", "int", "bigint", "float", "string"])
+def test_limbs_of_other_types(spark, kind):
+    df = spark.createDataFrame([("12.25",), ("-7",), ("0.0625",), (None,), ("99999.5",)], "v string").select(F.col("v").cast("double").cast(kind).alias("v"))
+    for row in df.select("v", amount("v").alias("a"), joined_limbs(limbs("v")).alias("l")).collect():
+        assert row.a == row.l, row.v
+
+
+def test_sums_and_means_are_the_same_in_any_order(spark):
+    rng = random.Random(4)
+    values = [round(rng.uniform(-1e6, 1e6), 3) for _ in range(3000)] + [1e12, -1e12, 0.0000000001]
+    exact = sum(Decimal(repr(v)) for v in values)
+    found = set()
+    for seed in range(20):
+        random.Random(seed).shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(1 + seed % 8)
+        found.add(tuple(df.agg(exact_sum("v"), exact_mean("v")).first()))
+    assert found == {(exact, float(exact) / len(values))}
+
+
+def test_positions_have_the_same_mean_in_any_order(spark):
+    from cartsight.operators import geo
+
+    rng = random.Random(5)
+    rows = [("z", round(rng.uniform(-34, 5), 12), round(rng.uniform(-73, -34), 12), "s", "c") for _ in range(2000)]
+    names = "geolocation_zip_code_prefix string, geolocation_lat double, geolocation_lng double, geolocation_state string, geolocation_city string"
+    found = set()
+    for seed in range(5):
+        random.Random(seed).shuffle(rows)
+        found.add(tuple(geo.centroid_by_key(spark.createDataFrame(rows, names).repartition(7)).first()))
+    assert len(found) == 1
+
+
+def test_very_many_large_amounts_do_not_overflow(spark):
+    df = spark.range(3_000_000).select(F.lit(9.99e17).alias("v"))
+    assert df.agg(exact_sum("v")).first()[0] == Decimal(999 * 10**15) * 3_000_000
