@@ -7,15 +7,19 @@ from cartsight.sources.stored import (
     store_and_read,
     write_folder,
 )
+from cartsight.sources.views import drop_views, view, view_key
 
 __all__ = [
     "FileStore",
     "SampleStore",
     "TableStore",
+    "drop_views",
     "materialise",
     "new_table_name",
     "read_monthly",
     "shared_folder",
     "store_and_read",
+    "view",
+    "view_key",
     "write_folder",
 ]
