@@ -1,10 +1,17 @@
 from __future__ import annotations
 
+import datetime as dt
+import math
 import random
+import struct
+from decimal import Decimal
 
 import pytest
 from plans import physical
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cartsight.functions import order_key
 from cartsight.operators import catalog, delivery, ranking
 
 
@@ -114,3 +121,67 @@ def test_tail_by_time(spark):
     assert found == {("a", 3), ("a", 4), ("b", 1), (None, 2), (None, 3)}
     single = {r["ds"] for r in ranking.tail_by_time(df.where("s = 'a'"), [], "ds", 3).collect()}
     assert single == {2, 3, 4}
+
+
+def _bits(x):
+    if x is None:
+        return None
+    if math.isnan(x):
+        return 2**63 - 1
+    bits = struct.unpack("<q", struct.pack("<d", x))[0]
+    return bits if bits >= 0 else -(bits & (2**63 - 1))
+
+
+def test_order_key_is_the_bits_of_a_double(spark):
+    rng = random.Random(2)
+    values = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(5000)]
+    for k in range(-1074, 1024):
+        values += [2.0**k, -(2.0**k), math.nextafter(2.0**k, 0), math.nextafter(2.0**k, math.inf)]
+    values += [0.0, -0.0, math.inf, -math.inf, math.nan, None, 1.7976931348623157e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in df.select("v", order_key("v", T.DoubleType()).alias("key")).collect():
+        assert row.key == _bits(row.v), row.v
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_order_statistics_with_ties_nulls_and_groups(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda: rng.choice([None, 0.0, -0.0, math.nan, math.inf, rng.gauss(0, 1), float(rng.randrange(4))])
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(3), pick()) for _ in range(rng.choice([1, 50, 700]))]
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    at = [0, 0.1, 0.5, 0.5000001, 1]
+    found = {(r.g, r.h, r["at"]): (r.rows, str(r.value)) for r in ranking.order_statistics(df, "v", at, ["g", "h"]).collect()}
+    expected = {}
+    for g, h in {r[:2] for r in rows}:
+        own = sorted((r[2] for r in rows if r[:2] == (g, h)), key=lambda v: (v is not None, _bits(v) or 0))
+        for f in at:
+            value = own[min(int(f * len(own)), len(own) - 1)]
+            expected[g, h, f] = (len(own), str(0.0 if value == 0 else value))
+    assert {k: (n, v.replace("-0.0", "0.0") if v == "-0.0" else v) for k, (n, v) in found.items()} == expected
+
+
+def test_order_statistics_of_a_million_values(spark):
+    df = spark.range(1_000_000).select((F.rand(3) * 1000 - 200).alias("v"))
+    values = sorted(r.v for r in df.collect())
+    found = ranking.order_statistics(df, "v", [0, 0.25, 0.5, 1]).collect()
+    assert {r["at"]: r.value for r in found} == {0: values[0], 0.25: values[250_000], 0.5: values[500_000], 1: values[-1]}
+
+
+def test_order_statistics_of_other_types(spark):
+    day, now = dt.date(2020, 1, 31), dt.datetime(2020, 1, 31, 12, 30, 15, 123456)
+    rows = [(i - 5, Decimal(i - 5) / 100, day + dt.timedelta(i), now + dt.timedelta(days=i, microseconds=i), i > 3) for i in range(9)]
+    df = spark.createDataFrame(rows, "i long, d decimal(10,2), day date, t timestamp_ntz, b boolean").repartition(3)
+    df = df.withColumn("ts", F.col("t").cast("timestamp"))
+    for column in ("i", "d", "day", "t", "ts", "b"):
+        values = sorted(r[column] for r in df.collect())
+        assert ranking.order_statistics(df, column).first().value == values[4]
+    with pytest.raises(ValueError, match="order key"):
+        ranking.order_statistics(df.select(F.lit("x").alias("s")), "s")
+    assert ranking.order_statistics(df.where("i > 99"), "i").collect() == []
+
+
+def test_order_statistics_shuffle_counters_only(spark):
+    plan = physical(ranking.order_statistics(spark.range(1000).select((F.col("id") / 7).alias("v")), "v"))
+    for line in plan.splitlines():
+        assert "Exchange hashpartitioning(v" not in line and "rangepartitioning" not in line
+    assert plan.count("partial_count") == 4 and "CartesianProduct" not in plan
