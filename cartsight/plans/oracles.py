@@ -279,6 +279,99 @@ def _waves(source: str) -> dict[str, tuple[list[str], str]]:
     return tables
 
 
+def _changes(source: str, changes: int, reach: float, strengths: range) -> dict[str, tuple[list[str], str]]:
+    """Trend with hinges under a ridge penalty, for every strength at once.
+
+    A penalty is one more observation for each hinge, of which all other features are 0. With these
+    rows it is plain least squares, solved as in :func:`_waves`. ``actual`` tells observations from
+    penalties, and ``known`` both from months to come.
+    """
+    per = "OVER (PARTITION BY category, state, strength)"
+    size = changes + 2
+    hinge = {j + 2: f"greatest(x - {reach * (j + 1) / changes!r}, 0)" for j in range(changes)}
+    grid = ", ".join(f"(1e{k})" for k in strengths)
+    penalties = " UNION ALL ".join(
+        "SELECT category, state, strength, NULL AS ds, 0.0 AS y, 0 AS actual, 1 AS known, "
+        + ", ".join(f"sqrt(n * strength) AS f{k}" if k == j else f"0.0 AS f{k}" for k in range(size))
+        + " FROM c_series, c_grid"
+        for j in range(2, size)
+    )
+    features = "1.0 AS f0, x AS f1, " + ", ".join(f"{hinge[k]} AS f{k}" for k in range(2, size))
+    tables = {
+        "t_timed": _trend(source)["t_timed"],
+        "c_grid": ([], f"SELECT CAST(strength AS DOUBLE) AS strength FROM (VALUES {grid}) v(strength)"),
+        "c_series": (
+            ["t_timed"],
+            """
+            SELECT category, state, count(*) AS n, min(ds) AS d0, max(ds) AS d1, avg(y) AS mean,
+                   greatest(date_diff('month', min(ds), max(ds)), 1) AS span
+            FROM t_timed GROUP BY category, state HAVING count(*) > 2
+            """,
+        ),
+        "c_axis": (
+            ["t_timed", "c_series", "c_grid"],
+            f"""
+            SELECT category, state, strength, ds, y, actual, actual AS known, {features}
+            FROM (
+                SELECT s.category, s.state, strength, CAST(s.d0 + INTERVAL 1 MONTH * ahead AS DATE) AS ds,
+                       coalesce(t.y - s.mean, 0) AS y, CAST(t.y IS NOT NULL AS INTEGER) AS actual,
+                       ahead / CAST(s.span AS DOUBLE) AS x
+                FROM (SELECT *, unnest(range(0, date_diff('month', d0, d1) + 7)) AS ahead FROM c_series) s
+                CROSS JOIN c_grid
+                LEFT JOIN t_timed t ON t.t = s.ahead AND t.category IS NOT DISTINCT FROM s.category
+                                       AND t.state IS NOT DISTINCT FROM s.state
+            )
+            UNION ALL {penalties}
+            """,
+        ),
+    }
+    before = "c_axis"
+    for k in range(size):
+        shares = [f"sum(known * f{k} * o{j}) {per} / sum(known * o{j} * o{j}) {per} AS p{k}{j}" for j in range(k)]
+        inner = f"SELECT {', '.join(['*', *shares])} FROM {before}"
+        own = " - ".join([f"f{k}", *[f"p{k}{j} * o{j}" for j in range(k)]])
+        tables[f"c_{k}"] = ([before], f"SELECT *, {own} AS o{k} FROM ({inner})")
+        before = f"c_{k}"
+    gains = ", ".join(
+        f"sum(known * y * o{k}) {per} / sum(known * o{k} * o{k}) {per} AS g{k}, "
+        f"o{k} * o{k} / sum(known * o{k} * o{k}) {per} AS h{k}"
+        for k in range(size)
+    )
+    tables["c_gains"] = ([before], f"SELECT *, {gains} FROM {before}")
+    tables["c_drawn"] = (
+        ["c_gains"],
+        f"""
+        SELECT category, state, strength, ds, y, actual, {" + ".join(f"g{k} * o{k}" for k in range(size))} AS yhat,
+               {" + ".join(f"h{k}" for k in range(size))} AS leverage
+        FROM c_gains
+        """,
+    )
+    tables["c_models"] = (
+        ["c_drawn"],
+        """
+        SELECT category, state, strength, n, freedom, sqrt(rss / freedom) AS sigma
+        FROM (SELECT category, state, strength, sum(actual) AS n, sum(actual * pow(y - yhat, 2)) AS rss,
+                     sum(actual) - sum(actual * leverage) AS freedom
+              FROM c_drawn GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY category, state ORDER BY n * rss / pow(freedom, 2), strength DESC) = 1
+        """,
+    )
+    tables["c_forecast"] = (
+        ["c_drawn", "c_models", "c_series"],
+        """
+        SELECT d.category, d.state, d.ds, s.mean + yhat AS yhat,
+               1.2815515655446004 * sigma * sqrt(1 + leverage) AS reach
+        FROM c_drawn d JOIN c_models m
+          ON d.category IS NOT DISTINCT FROM m.category AND d.state IS NOT DISTINCT FROM m.state
+             AND d.strength = m.strength
+        JOIN c_series s
+          ON d.category IS NOT DISTINCT FROM s.category AND d.state IS NOT DISTINCT FROM s.state
+        WHERE ds IS NOT NULL
+        """,
+    )
+    return tables
+
+
 def _statement(body: str, tables: dict) -> str:
     """Put the tables that ``body`` needs, directly or not, in front of it."""
     needed: list[str] = []
@@ -567,6 +660,81 @@ _WAVE_BODIES = {
     """,
 }
 
+_TRIED = """FROM (SELECT category, state, ds AS origin, t,
+                   regr_slope(y, t) OVER w AS slope, regr_intercept(y, t) OVER w AS intercept,
+                   count(*) OVER w AS points
+            FROM t_timed WINDOW w AS (PARTITION BY category, state ORDER BY ds)) o
+      JOIN (SELECT category, state, t + 0 AS later, y FROM t_timed) a
+        ON a.category IS NOT DISTINCT FROM o.category AND a.state IS NOT DISTINCT FROM o.state
+           AND later BETWEEN t + 1 AND t + 6
+      CROSS JOIN LATERAL (SELECT intercept + slope * later AS yhat)
+      WHERE points >= 12"""
+_AHEAD = f"CAST(later - t AS INTEGER) AS horizon, count(*) AS n, {_ERRORS} {_TRIED} GROUP BY ALL"
+_SERIES_BODIES["f08_rolling_origin"] = f"""
+    SELECT o.category AS product_category_name, o.state AS customer_state, {_AHEAD}
+"""
+_TOTAL_BODIES["f08t_rolling_origin_total"] = f"SELECT {_AHEAD}"
+_SERIES_BODIES["f04b_simulated_forecast"] = """
+    SELECT * FROM (WITH residuals AS (
+        SELECT l.*, row_number() OVER (PARTITION BY l.category, l.state ORDER BY ds) - 1 AS i, t,
+               (y - intercept - slope * t) * sqrt(n / nullif(n - 2, 0)) AS r,
+               concat_ws('|', '1', coalesce(l.category, ''), coalesce(l.state, '')) AS name
+        FROM t_timed p JOIN t_lines l
+          ON p.category IS NOT DISTINCT FROM l.category AND p.state IS NOT DISTINCT FROM l.state
+        WHERE slope IS NOT NULL
+    ),
+    draws AS (SELECT unnest(range(1, 101)) AS draw),
+    picked AS (
+        SELECT name, draw, avg(b.r) AS up, sum((a.t - t_mean) * b.r) / any_value(sxx) AS turn
+        FROM (SELECT name, draw, t, t_mean, sxx,
+                     ('0x' || substr(md5(concat_ws('|', name, draw, i)), 1, 8))::BIGINT % n AS taken
+              FROM residuals, draws) a
+        JOIN (SELECT name, i, r FROM residuals) b USING (name)
+        WHERE b.i = a.taken
+        GROUP BY name, draw
+    ),
+    coming AS (
+        SELECT category, state, name, n, step, CAST(d1 + INTERVAL 1 MONTH * step AS DATE) AS ds, t_mean,
+               date_diff('month', d0, d1) + step AS t, intercept + slope * (date_diff('month', d0, d1) + step) AS yhat
+        FROM (SELECT DISTINCT category, state, name, n, d0, d1, t_mean, intercept, slope FROM residuals), range(1, 7) AS s(step)
+    )
+    SELECT category AS product_category_name, state AS customer_state, ds, round(any_value(yhat), 2) AS yhat,
+           round(quantile_cont(seen, 0.1), 2) AS yhat_lower, round(quantile_cont(seen, 0.9), 2) AS yhat_upper
+    FROM (
+        SELECT c.*, yhat + up + turn * (t - t_mean) + r AS seen
+        FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', name, draw, n + step - 1)), 1, 8))::BIGINT % n AS i
+              FROM coming, draws) c
+        LEFT JOIN picked USING (name, draw)
+        LEFT JOIN (SELECT name, i, r FROM residuals) USING (name, i)
+    )
+    GROUP BY category, state, ds)
+"""
+_BODIES["o13e_median_exact_delay"] = """
+    SELECT n AS rows, round(us / 86400000000.0, 6) AS median_delay
+    FROM (SELECT epoch_us(arrived) - epoch_us(promised) AS us, count(*) OVER () AS n,
+                 row_number() OVER (ORDER BY epoch_us(arrived) - epoch_us(promised)) AS place
+          FROM t_arrivals)
+    WHERE place = n // 2 + 1
+"""
+_BODIES["o14q_payment_quartiles"] = """
+    SELECT payment_type, CAST(part AS DOUBLE) AS at, n AS rows, payment_value
+    FROM (SELECT event_type AS payment_type, value AS payment_value, count(*) OVER (PARTITION BY event_type) AS n,
+                 row_number() OVER (PARTITION BY event_type ORDER BY value NULLS FIRST) - 1 AS place
+          FROM events),
+         (VALUES (0), (0.25), (0.5), (0.75), (1)) AS v(part)
+    WHERE place = least(CAST(floor(part * n) AS BIGINT), n - 1)
+"""
+_CHANGE_BODIES = {
+    "f02c_changing_trend": f"""
+        SELECT {_NAMED}, CAST(n AS BIGINT) AS n, strength, round(freedom, 2) AS freedom, round(sigma, 2) AS sigma
+        FROM c_models
+    """,
+    "f04c_changing_forecast": f"""
+        SELECT {_NAMED}, ds, {_BOUNDS}
+        FROM (SELECT *, yhat - reach AS lo, yhat + reach AS hi FROM c_forecast)
+    """,
+}
+
 ORACLES: dict[str, str] = {name: _statement(body, _TABLES) for name, body in _BODIES.items()}
 for _source, _bodies in (
     ("t_monthly", _SERIES_BODIES),
@@ -577,6 +745,8 @@ for _source, _bodies in (
     ORACLES.update({name: _statement(body, _tables) for name, body in _bodies.items()})
 _tables = {**_TABLES, **_waves("t_monthly")}
 ORACLES.update({name: _statement(body, _tables) for name, body in _WAVE_BODIES.items()})
+_tables = {**_TABLES, **_changes("t_monthly", 4, 0.8, range(-6, 1))}
+ORACLES.update({name: _statement(body, _tables) for name, body in _CHANGE_BODIES.items()})
 # A rebuilt table holds the same as one that is built once.
 for _rebuilt, _plain in (
     ("g11r_category_in_place", "g11_delay_category"),

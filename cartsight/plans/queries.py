@@ -9,7 +9,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartsight.operators import catalog, delivery, forecast, geo, kpi, payments, quality, ranking
+from cartsight.functions import delay_seconds
+from cartsight.operators import (
+    catalog,
+    delivery,
+    forecast,
+    geo,
+    kpi,
+    outlook,
+    payments,
+    quality,
+    ranking,
+)
 from cartsight.sources import (
     SampleStore,
     materialise,
@@ -27,6 +38,8 @@ SERIES = ["product_category_name", "customer_state"]
 SEVERE_DAY = dt.date(1995, 6, 29)
 DEAR, CHEAP = "large", "economy"
 WAVES = 2
+CHANGES = 4
+DRAWS = 100
 
 
 def query(name: str) -> Callable[[Callable[[SampleStore], DataFrame]], Query]:
@@ -179,6 +192,25 @@ def _(s):
     return delivery.median_delay(s.orders)
 
 
+@query("o13e_median_exact_delay")
+def _(s):
+    """The median of the delays as they are, to the microsecond, without any list of them in one task."""
+    late = delivery.delivered(s.orders).select(
+        delay_seconds(delivery.ARRIVED, delivery.PROMISED).alias("late")
+    )
+    middle = ranking.order_statistics(late, "late")
+    days = F.round(F.col("value").cast("double") / 86400, 6)
+    return middle.select("rows", days.alias("median_delay"))
+
+
+@query("o14q_payment_quartiles")
+def _(s):
+    """Smallest, quartiles and largest payment of each type."""
+    return ranking.order_statistics(
+        s.payments, "payment_value", [0, 0.25, 0.5, 0.75, 1], ["payment_type"], "payment_value"
+    )
+
+
 # --- payments and catalogue --------------------------------------------------------------------
 
 
@@ -496,3 +528,33 @@ def _(s):
     forecast.export_forecast(forecast.forecast(_total(s)), name)
     exported = forecast.export_forecast(forecast.forecast(_series(s), SERIES), name, SERIES)
     return _rounded_forecast(exported)
+
+
+@query("f08_rolling_origin")
+def _(s):
+    """How wrong the line is one to six months after the month in which it was drawn."""
+    return _rounded(outlook.rolling_origin(_series(s), SERIES), 2, "mae", "mape")
+
+
+@query("f08t_rolling_origin_total")
+def _(s):
+    return _rounded(outlook.rolling_origin(_total(s)), 2, "mae", "mape")
+
+
+@query("f02c_changing_trend")
+def _(s):
+    """Trend with changes of slope: strength of the penalty, and how well the trend fits."""
+    model = outlook.fit_changes(_series(s), SERIES, changes=CHANGES)
+    shown = model.select(*SERIES, "n", "strength", "freedom", "sigma")
+    return _rounded(shown, 2, "freedom", "sigma")
+
+
+@query("f04c_changing_forecast")
+def _(s):
+    return _rounded_forecast(outlook.forecast_changes(_series(s), SERIES, changes=CHANGES))
+
+
+@query("f04b_simulated_forecast")
+def _(s):
+    """The next months of every series, with bounds from redrawn lines."""
+    return _rounded_forecast(outlook.simulated_forecast(_series(s), SERIES, draws=DRAWS))
