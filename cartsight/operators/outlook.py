@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartsight.functions import month_index
-from cartsight.operators.forecast import _EPSILON, _fit_line, _without_level
+from cartsight.operators.forecast import _EPSILON, _without_level
 
 # Strengths of the penalty on a change of slope, for each point of the series, from weak to strong.
 STRENGTHS = tuple(10.0**k for k in range(-6, 1))
@@ -261,23 +261,26 @@ def simulated_forecast(
     Residuals are widened by the two coefficients that the line takes up. Bounds are NULL for series of
     two months; a single month has no line.
     """
-    lines = _fit_line(_without_level(series, list(keys)), list(keys), history=True).where("slope IS NOT NULL")
-    known = F.array_sort(F.filter("history", lambda p: p.y.isNotNull()))
-    offset = lambda day: (month_index(day) - F.col("first_month")).cast("double")
-    n = F.size("points")
-    widened = F.sqrt(F.try_divide(n.cast("double"), n - 2))
-    fitted = lambda p: F.col("intercept") + F.col("slope") * offset(p.ds)
-    lines = (
-        lines.withColumn("points", known)
-        .withColumn("months", F.transform("points", lambda p: offset(p.ds)))
-        .withColumn("residuals", F.transform("points", lambda p: (p.y - fitted(p)) * widened))
-        .withColumn("last", F.array_max("history.ds"))
-        .withColumn("size", F.size("points"))
-        .withColumn("centre", F.aggregate("months", F.lit(0.0), lambda s, t: s + t) / F.col("size"))
-    )
-    around = F.transform("months", lambda t: t - F.col("centre"))
     total = lambda column: F.aggregate(column, F.lit(0.0), lambda s, v: s + v)
-    lines = lines.withColumn("around", around).withColumn("sxx", total(F.transform("around", lambda t: t * t)))
+    offset = lambda day: (month_index(day) - F.col("first_month")).cast("double")
+    dated = series.where(F.col("ds").isNotNull())
+    point = F.when(F.col("y").isNotNull(), F.struct("ds", "y"))
+    lines = dated.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("points"), F.max("ds").alias("last"))
+    # All sums run along the sorted months, so they are the same to the last digit.
+    lines = lines.withColumn("size", F.size("points")).where("size > 1")
+    lines = lines.withColumn("first_month", month_index(F.col("points")[0].ds))
+    lines = lines.withColumn("months", F.transform("points", lambda p: offset(p.ds)))
+    lines = lines.withColumn("centre", total("months") / F.col("size"))
+    lines = lines.withColumn("mean", total("points.y") / F.col("size"))
+    lines = lines.withColumn("around", F.transform("months", lambda t: t - F.col("centre")))
+    lines = lines.withColumn("sxx", total(F.transform("around", lambda t: t * t))).where("sxx > 0")
+    above = F.zip_with("around", "points", lambda t, p: t * (p.y - F.col("mean")))
+    lines = lines.withColumn("slope", total(above) / F.col("sxx"))
+    lines = lines.withColumn("intercept", F.col("mean") - F.col("slope") * F.col("centre"))
+    widened = F.sqrt(F.try_divide(F.col("size").cast("double"), F.col("size") - 2))
+    fitted = lambda t: F.col("intercept") + F.col("slope") * t
+    left = F.zip_with("points", "months", lambda p, t: (p.y - fitted(t)) * widened)
+    lines = lines.withColumn("residuals", left)
     name = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
 
     def drawn(place: Column) -> Column:
