@@ -8,7 +8,6 @@ where every byte carries the language of its document.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,6 @@ from pyspark.sql import types as T
 
 from cartsight.llm.common import fold
 
-_LETTER = re.compile(r"[^\W\d_]")
 WINDOW, HIDDEN = 64, 8
 #: Windows that are read at a time.
 BATCH = 4096
@@ -28,6 +26,11 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter: Unicode category L, so no numeral such as a half or a Roman one."""
+    return any(map(str.isalpha, text or ""))
+
+
 @dataclass
 class Model:
     """``x``, ``u``: input table [3h, 256] and recurrent weights [3h, h] of each direction."""
@@ -69,8 +72,12 @@ def _step(x: np.ndarray, u: np.ndarray, byte: np.ndarray, h: np.ndarray) -> tupl
     return n + z * (h - n), z, r, n, un
 
 
-def probabilities(model: Model, windows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(position, probabilities [langs, windows]) for ``windows`` [length, windows] of bytes."""
+def probabilities(model: Model, windows: np.ndarray, there: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, probabilities [langs, windows]) for ``windows`` [length, windows] of bytes.
+
+    ``there`` is 1 where a window has a byte and 0 behind its end. The backward network starts at the
+    last byte, as in training: padding leaves its state at zero.
+    """
     length, n = windows.shape
     hidden = model.u[0].shape[1]
     ahead = np.empty((length, hidden, n), np.float32)
@@ -79,7 +86,7 @@ def probabilities(model: Model, windows: np.ndarray) -> Iterator[tuple[int, np.n
         h = ahead[t] = _step(model.x[0], model.u[0], windows[t], h)[0]
     h = np.zeros((hidden, n), np.float32)
     for t in reversed(range(length)):
-        h = _step(model.x[1], model.u[1], windows[t], h)[0]
+        h = _step(model.x[1], model.u[1], windows[t], h)[0] * there[t]
         logits = model.out[:, :hidden] @ ahead[t] + model.out[:, hidden:] @ h + model.bias
         e = np.exp(logits - logits.max(axis=0))
         yield t, e / e.sum(axis=0)
@@ -165,28 +172,28 @@ def packed(windows: list[bytes], length: int = WINDOW) -> tuple[np.ndarray, np.n
 
 
 def fit(docs: DataFrame, per_lang: int = 400, windows: int = 8, rounds: int = 300) -> Model:
-    """Train on at most ``per_lang`` documents of each language and ``windows`` windows of each.
+    """Train on at most ``per_lang`` texts of each language and ``windows`` windows of each.
 
-    Documents come from outside the held-out fold and have a language. The windows are spread over
+    Texts come from outside the held-out fold and have a language. The windows are spread over
     the whole text.
     """
-    slim = docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "lang", "text").where(
+    slim = docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "lang", "text", "xxhash64(text) AS h").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)
     )
-    ids = slim.select("doc_id", "lang").distinct()
+    ids = slim.select("doc_id", "lang", "h").distinct()
     counts = ids.groupBy(F.col("lang").alias("l")).agg(F.count("doc_id").alias("n"))
     # a draw of about twice the bound goes to the window, however common the language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     few = ids.join(counts, F.col("lang") == F.col("l")).where(draw * F.col("n") <= 2 * per_lang * (1 << 30))
-    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
-    chosen = few.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id", "h")
+    chosen = few.select("doc_id", "lang", "h").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 data = (text or "").encode()
-                if not text or not _LETTER.search(text):
+                if not has_letter(text):
                     continue
                 last = max(0, len(data) - WINDOW)
                 for at in sorted({last * i // max(1, windows - 1) for i in range(windows)}):
@@ -194,11 +201,11 @@ def fit(docs: DataFrame, per_lang: int = 400, windows: int = 8, rounds: int = 30
             langs, parts = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "w"])
 
-    some = chosen.selectExpr("doc_id AS d", "lang AS l").hint("broadcast")
-    rows = (
-        slim.join(some, (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")))
-        .select("lang", "text").mapInArrow(cut, "lang string, w binary").collect()
-    )
+    some = chosen.selectExpr("doc_id AS d", "lang AS l", "h AS g").hint("broadcast")
+    same = (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")) & (F.col("h") == F.col("g"))
+    # equal rows are one: what comes to the driver is bounded by the choice, however often rows repeat
+    drawn = slim.join(some, same).groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text"))
+    rows = drawn.select("lang", "text").mapInArrow(cut, "lang string, w binary").collect()
     texts = sorted((r["lang"], bytes(r["w"])) for r in rows)
     langs = sorted({k for k, _ in texts})
     number = {k: i for i, k in enumerate(langs)}
@@ -222,8 +229,9 @@ def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
     for at in range(0, len(data), BATCH):
         part, size = data[at : at + BATCH], sizes[at : at + BATCH]
         sums = np.zeros((len(model.langs), len(part)), np.float32)
-        for t, p in probabilities(model, np.ascontiguousarray(part.T)):
-            sums += p * (t < size)
+        there = (np.arange(WINDOW)[:, None] < size).astype(np.float32)
+        for t, p in probabilities(model, np.ascontiguousarray(part.T), there):
+            sums += p * there[t]
         np.add.at(total, owner[at : at + BATCH], sums.T)
     return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
@@ -236,7 +244,7 @@ def label(rows: DataFrame, model: Model, text: str) -> DataFrame:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 texts = batch["row"].field(text).to_pylist()
-                known = [bool(model.langs and t and _LETTER.search(t)) for t in texts]
+                known = [bool(model.langs) and has_letter(t) for t in texts]
                 means = pooled(model, [t.encode() if k else b"" for t, k in zip(texts, known, strict=True)])
                 best = means.argmax(axis=1) if model.langs else [0] * len(texts)
                 langs = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
