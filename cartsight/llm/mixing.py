@@ -24,8 +24,6 @@ SCHEDULES = (
 )
 #: A source is used this many times over at most.
 MOST = 3
-#: About so many documents of one source are put in order by one task.
-BUCKET_ROWS = 2_000
 
 
 def n_words(text: str | Column) -> Column:
@@ -137,26 +135,26 @@ def place(
     others = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     goals = stored(targets(sized, weights, most), "targets")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = (
-        sized.withColumnRenamed("source", "s")
+    by = ["rank", "o", "doc_id", "size", "tie"]
+    # One sort by range cuts a large source, and an id that stands on many rows, into pieces.
+    rows = stored(
+        sized.withColumn("tie", F.monotonically_increasing_id())
+        .withColumnRenamed("source", "s")
         .join(goals, F.col("s").eqNullSafe(F.col("source")))
         .withColumn("o", order)
-        # a large source is cut into ranges of its order, so that no task holds all of it
-        .withColumn("buckets", F.greatest(F.ceil(F.col("docs") / BUCKET_ROWS), F.lit(1)).cast("long"))
-        .withColumn("bucket", F.floor(F.conv(F.substring("o", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * F.col("buckets")))
+        .repartitionByRange(*by)
+        .sortWithinPartitions(*by)
+        .withColumn("piece", F.spark_partition_id()),
+        "pieces",
     )
-    sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("rank", "piece").agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy("rank").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
         F.col("rank").alias("r"),
-        F.col("bucket").alias("b"),
+        F.col("piece").alias("p"),
         F.coalesce(F.sum("words").over(ahead), F.lit(0)).cast("long").alias("start"),
     )
-    inside = (
-        Window.partitionBy("rank", "bucket")
-        .orderBy("o", F.col("doc_id").asc_nulls_first(), "size")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = Window.partitionBy("rank", "piece").orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, -1)
     within = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     middle = F.col("start") + F.col("inside") + F.col("size") / 2.0
     copies = F.when(
@@ -175,7 +173,7 @@ def place(
 
     rounds = F.sequence(F.lit(0), F.greatest(F.col("copies").cast("int") - 1, F.lit(0)))
     return (
-        within.join(starts, (F.col("rank") == F.col("r")) & (F.col("bucket") == F.col("b")))
+        within.join(starts, (F.col("rank") == F.col("r")) & (F.col("piece") == F.col("p")))
         .withColumn("middle", middle)
         .withColumn("copies", F.greatest(copies, F.lit(0)).cast("long"))
         .withColumn("positions", F.when(F.col("copies") > 0, F.transform(rounds, due)))
@@ -192,7 +190,7 @@ def in_order(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-ORACLE = """
+_PLACED = """
 WITH sized AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
@@ -212,11 +210,44 @@ goals AS (
   SELECT *, least(lim, weight * (SELECT level FROM levels WHERE level <= lim / weight
                                  ORDER BY lim / weight, rank LIMIT 1)) AS target FROM levels),
 placed AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target,
+  SELECT s.doc_id, s.size, g.source_size, g.target, g.rank,
          coalesce(sum(s.size) OVER (PARTITION BY g.rank ORDER BY md5(s.doc_id::VARCHAR), s.doc_id, s.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2.0::DOUBLE AS middle
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
-       (size * CASE WHEN size > 0 THEN greatest(ceil((target - middle) / source_size), 0) ELSE 0 END)::BIGINT AS taken
+"""
+_COPIES = "CASE WHEN size > 0 THEN greatest(ceil((target - middle) / source_size), 0) ELSE 0 END"
+ORACLE = f"""{_PLACED}
+SELECT doc_id, size, source_size, round(target, 3) AS target, (size * {_COPIES})::BIGINT AS taken
 FROM placed
 """
+
+
+def _time_sql(part: str) -> str:
+    """SQL of :func:`position` for the schedule of the rank."""
+    ways = []
+    for i, schedule in enumerate(SCHEDULES):
+        steps = list(zip(schedule, schedule[1:], strict=False))
+        areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in steps]
+        due = f"({part}) * {sum(areas)!r}::DOUBLE"
+        cases, before = [], 0.0
+        for ((t0, w0), (t1, w1)), area in zip(steps, areas, strict=True):
+            rest, slope = f"({due} - {before!r}::DOUBLE)", (w1 - w0) / (t1 - t0)
+            root = f"sqrt(greatest({w0 * w0!r}::DOUBLE + {2 * slope!r}::DOUBLE * {rest}, 0))"
+            at = f"least({t0!r}::DOUBLE + 2 * {rest} / ({w0!r}::DOUBLE + {root}), {t1!r}::DOUBLE)"
+            cases.append(f"WHEN {due} <= {before + area!r}::DOUBLE THEN {at}")
+            before += area
+        ways.append(f"WHEN rank % {len(SCHEDULES)} = {i} THEN CASE {' '.join(cases)} ELSE {schedule[-1][0]!r} END")
+    return f"CASE {' '.join(ways)} END"
+
+
+def _copy_sql(k: str) -> str:
+    part = f"least((middle + {k} * source_size) / target, 1.0::DOUBLE)"
+    return f"round(CASE WHEN copies > 0 THEN {_time_sql(part)} END, 9)"
+
+
+#: :data:`ORACLE` with the times of the first and the last copy.
+POSITIONS_ORACLE = f"""{_PLACED}
+SELECT doc_id, size, source_size, round(target, 3) AS target, (size * copies)::BIGINT AS taken,
+       {_copy_sql("0")} AS position, {_copy_sql("(copies - 1)")} AS last_position
+FROM (SELECT *, {_COPIES} AS copies FROM placed)
+"""

@@ -39,7 +39,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.in_order(mixing.mix(table(spark, sf_dir, "documents")))
     return mixed.select(
-        "doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken"
+        "doc_id",
+        "size",
+        "source_size",
+        F.round("target", 3).alias("target"),
+        "taken",
+        F.round("position", 9).alias("position"),
+        F.round(F.element_at("positions", -1), 9).alias("last_position"),
     )
 
 
@@ -126,7 +132,7 @@ QUERIES = {
     )
 }
 ORACLES = {
-    "op3_mixing": mixing.ORACLE,
+    "op3_mixing": mixing.POSITIONS_ORACLE,
     "op6_suffix_dedup": bwt_dedup.ORACLE,
     "op7_substring_dedup": rlz_dedup.ORACLE,
     "op12_merkle": merkle.ORACLE,
