@@ -1,20 +1,21 @@
 """SimHash near-dedup with bit-sliced comparison.
 
-A fingerprint has 64 bits. Two that differ in at most ``radius`` bits agree in at least one of
-``radius + 1`` bands, so equal bands bring them together. There, bit plane p holds bit p of many
+A fingerprint has 64 bits. Two that differ in at most ``radius`` bits agree in at least one choice of
+half their blocks, so equal choices bring them together. There, bit plane p holds bit p of many
 fingerprints side by side. One pass over the planes counts the differing bits of 64 pairs a word
 with a carry-save counter, and words whose pairs all exceed the radius are abandoned early.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,32 +131,56 @@ def _exceeds(count: list[np.ndarray], radius: int) -> np.ndarray:
 def _forest(prints: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Pairs that connect what the close pairs connect, one less than the rows at most."""
     tree, edges = np.arange(len(prints)), []
+
+    def top(x: int) -> int:
+        while tree[x] != x:
+            tree[x] = x = tree[tree[x]]
+        return x
+
     for i, j in close_pairs(prints, group, radius):
         new = tree[i] != tree[j]
         for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
-            x, y = tree[a], tree[b]
+            x, y = top(a), top(b)
             if x != y:
-                tree[tree == max(x, y)] = min(x, y)
+                tree[max(x, y)] = min(x, y)
                 edges.append((prints[a], prints[b]))
+        if new.any():  # every row knows its root again
+            while (tree[tree] != tree).any():
+                tree = tree[tree]
     return edges
 
 
+def block_keys(radius: int) -> list[list[tuple[int, int]]]:
+    """Choices of bits (lowest, number) that any two fingerprints within ``radius`` share one of.
+
+    The 64 bits are cut into twice ``radius`` blocks, and a key takes half of them: at most ``radius``
+    blocks differ, so there is a choice among the others. For a radius of 3 these are 20 keys of 32 bits.
+    """
+    n = max(1, 2 * radius)
+    edges = [64 * i // n for i in range(n + 1)]
+    blocks = [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [list(chosen) for chosen in itertools.combinations(blocks, max(1, n - radius))]
+
+
 def links(distinct: DataFrame, radius: int = 3, block: int = 1024) -> DataFrame:
     """Edges (a, b) between the fingerprints ``fp`` of ``distinct`` that connect close ones.
 
-    A band value that many fingerprints share is cut into blocks of about ``block``, and every two
-    blocks meet in a place of their own, so no task holds more than two blocks of a group.
+    Fingerprints meet that share one of :func:`block_keys`; with 32 bits a key, few do by chance. A key
+    that many fingerprints share is cut into blocks of about ``block``, and every two blocks meet in a
+    place of their own, so no task holds more than two blocks of a group.
     """
-    bands = radius + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
+
+    def key(bits: list[tuple[int, int]]) -> Column:
+        if bits == [(0, 64)]:
+            return F.col("fp")
+        parts = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << size) - 1)) for lo, size in bits]
+        joined = parts[0]
+        for part, (_, size) in zip(parts[1:], bits[1:], strict=True):
+            joined = F.shiftleft(joined, size).bitwiseOR(part)
+        return joined
+
     keys = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("band"),
-                F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("key"),
-            )
-            for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-        )
+        *(F.struct(F.lit(i).alias("band"), key(bits).alias("key")) for i, bits in enumerate(block_keys(radius)))
     )
     rows = stored(distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.*"), "bands")
     crowd = (
