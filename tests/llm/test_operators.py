@@ -600,3 +600,113 @@ def test_personal_data_on_odd_rows(odd, nothing):
     found = pii.sanitised(odd)
     assert found.count() == len(ODD) and pii.sanitised(nothing).count() == 0
     assert found.select("row.*").columns == odd.columns
+
+
+# --- short texts, hot ids, times of copies -----------------------------------------------------
+
+
+def test_positions_equal_sql_and_depend_on_the_schedule(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{BIG}/documents.parquet')")
+    columns = ["doc_id", "size", "source_size", "target", "taken", "position", "last_position"]
+    wanted = con.execute(f"SELECT {', '.join(columns)} FROM ({mixing.POSITIONS_ORACLE})").fetchall()
+    found = rows_of(queries.op3_mixing(spark, BIG), *columns)
+    assert sorted(found) == sorted(wanted)
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    flat = mixing.mix(docs, schedules=(((0.0, 1.0), (1.0, 1.0)),)).select("doc_id", F.round("position", 9)).collect()
+    assert len(set(map(tuple, flat)) & {(r[0], r[5]) for r in found}) < 0.6 * len(found)
+
+
+def test_one_id_on_very_many_rows_is_spread(spark, settings):
+    settings(spark__sql__adaptive__coalescePartitions__enabled="false")
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("one two").alias("text"))
+    mixed = mixing.mix(rows)
+    assert mixed.agg(F.sum("taken")).first()[0] == 200_000
+    assert mixed.groupBy(F.spark_partition_id()).count().count() > 1
+    assert mixed.select("position").distinct().count() == 100_000
+
+
+@pytest.fixture(scope="module")
+def language_model(spark):
+    return langid.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+@pytest.mark.parametrize(("size", "least"), [(10, 0.9), (20, 0.9), (30, 0.95), (50, 0.98), (63, 0.98)])
+def test_language_of_short_texts(spark, language_model, size, least):
+    """Held-out texts cut to a few bytes, which leaves most of a window empty."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = docs.where((fold("doc_id", 4) == 2) & (F.length("text") > 100) & F.col("lang").isNotNull()).select("text", "lang").collect()
+    cut = [(r.text.encode()[:size].decode(errors="ignore"), r.lang) for r in held]
+    cut = [(t, k) for t, k in cut if langid.has_letter(t)]
+    means = langid.pooled(language_model, [t.encode() for t, _ in cut])
+    right = sum(language_model.langs[b] == k for b, (_, k) in zip(means.argmax(axis=1), cut, strict=True))
+    assert right / len(cut) > least
+
+
+def test_padding_does_not_reach_the_network(language_model):
+    """A text alone, and beside longer ones, has the probabilities of its own bytes."""
+    texts = ["Über die Straße".encode(), b"x" * 200, "la école était".encode()]
+    together = langid.pooled(language_model, texts)
+    for text, found in zip(texts, together, strict=True):
+        whole = np.zeros(len(language_model.langs))
+        for at in range(0, len(text), langid.WINDOW):
+            part = np.frombuffer(text[at : at + langid.WINDOW], np.uint8)[:, None]
+            for _, p in langid.probabilities(language_model, part, np.ones(part.shape, np.float32)):
+                whole += p[:, 0]
+        assert found == pytest.approx(whole / len(text), abs=1e-5)
+
+
+def test_gru_step_by_hand():
+    model = langid.new_model(["a", "b"], hidden=3)
+    x, u = model.x[0].astype(float), model.u[0].astype(float)
+    h = np.array([0.3, -0.2, 0.5])
+    z, r = (1 / (1 + np.exp(-(x[k : k + 3, 65] + u[k : k + 3] @ h))) for k in (0, 3))
+    n = np.tanh(x[6:9, 65] + r * (u[6:9] @ h))
+    found = langid._step(model.x[0], model.u[0], np.array([65]), h[:, None].astype(np.float32))[0]
+    assert found[:, 0] == pytest.approx((1 - z) * n + z * h, abs=1e-5)
+
+
+def test_letters_are_of_category_l(spark, language_model):
+    rows = [(i, t) for i, t in enumerate(["½", "²", "①", "Ⅷ", "12 _ #", "", None, "中"])]
+    found = dict(rows_of(langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), language_model), "doc_id", "lang_pred"))
+    assert [found[i] for i in range(7)] == ["und"] * 7 and found[7] != "und"
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    hot = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.lit("all the same words").alias("text"))
+    other = spark.range(40).select((F.col("id") * 4 + 100).alias("doc_id"), F.lit("de").alias("lang"), F.lit("über und außer dem").alias("text"))
+    model = langid.fit(hot.unionByName(other), per_lang=5, rounds=3)
+    assert model.langs == ["de", "en"]
+
+
+def test_any_two_close_fingerprints_share_a_key(spark):
+    rng = np.random.default_rng(6)
+    for radius in (0, 1, 2, 3):
+        for _ in range(200):
+            a = int(rng.integers(0, 2**63)) * 2 + int(rng.integers(0, 2))
+            b = a
+            for bit in rng.permutation(64)[:radius]:
+                b ^= 1 << int(bit)
+            shared = [
+                all((a ^ b) >> lo & ((1 << size) - 1) == 0 for lo, size in bits) for bits in simhash.block_keys(radius)
+            ]
+            assert any(shared)
+    assert len(simhash.block_keys(3)) == 20 and min(sum(n for _, n in bits) for bits in simhash.block_keys(3)) >= 31
+
+
+def test_few_random_fingerprints_meet(spark):
+    """Of 100,000 random fingerprints, a thousandth of the pairs meet that four bands would compare."""
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 2**63, 100_000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 100_000, dtype=np.uint64)
+
+    def pairs(keys):
+        total = 0
+        for bits in keys:
+            key = np.zeros(len(prints), np.uint64)
+            for lo, size in bits:
+                key = key << np.uint64(size) | prints >> np.uint64(lo) & np.uint64((1 << size) - 1)
+            n = np.unique(key, return_counts=True)[1].astype(float)
+            total += (n * (n - 1) / 2).sum()
+        return total
+
+    assert 1000 * pairs(simhash.block_keys(3)) < pairs([[(lo, 16)] for lo in range(0, 64, 16)])
