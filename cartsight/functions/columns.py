@@ -95,46 +95,40 @@ _LIMBS = 4
 _MILLION, _FIVE_PLACES = 10**6, 10**5
 
 
-def _halves(number: Column, base: int) -> list[Column]:
-    return [F.call_function("div", number, F.lit(base)), number % base]
-
-
-def limbs(value: str | Column) -> list[Column]:
-    """:func:`amount` as four whole numbers with its sign, all NULL where it is NULL.
-
-    Sums of whole numbers are the same in any order, and no row needs a wide decimal. A double
-    counts as the decimal of up to 15 digits that it was written as; what follows them is noise.
-    Numbers of other types go through :func:`amount`.
+def _limb_text(column: str) -> list[str]:
+    """SQL of :func:`limbs`. All parts keep the sign, as whole numbers are cut towards zero."""
+    number = f"try_cast({column} as double)"
+    # A double below 10^5 holds ten places of the decimal it was written as. NaN is above any number.
+    small = f"abs({number}) < 1e5D"
+    half = f"if({number} < 0, -0.5D, 0.5D)"
+    places = f"cast(({number} - cast({number} as bigint)) * 1e10D + {half} as bigint)"
+    decimal = f"try_cast({column} as decimal(28,10))"
+    exact_whole = f"cast({decimal} as bigint)"
+    exact_places = f"cast(({decimal} - {exact_whole}) * 10000000000BD as bigint)"
+    return [
+        f"if({small}, 0L, {exact_whole} div {_MILLION})",
+        f"if({small}, cast({number} as bigint), {exact_whole} % {_MILLION})",
+        f"if({small}, {places}, {exact_places}) div {_FIVE_PLACES}",
+        f"if({small}, {places}, {exact_places}) % {_FIVE_PLACES}",
+    ]
+
+
+def limbs(column: str) -> list[Column]:
+    """:func:`amount` of a column as four whole numbers with its sign, all NULL where it is NULL.
+
+    Sums of whole numbers are the same in any order. Numbers below 10^5, which most amounts are, need
+    no decimal at all; larger ones go through one.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    number = value.cast("double")
-    size = F.abs(number)
-    known = size < 1e18  # false for NaN, which is greater than any number
-    whole = size.cast("long")
-    # Up to five digits before the point leave ten places, and each further one takes a place away.
-    unit = F.lit(1e10)
-    for digits in range(14, 4, -1):
-        unit = F.when(size < 10.0**digits, 10.0 ** (digits - 5)).otherwise(unit)
-    places = (F.floor((size - whole.cast("double")) * (1e10 / unit) + 0.5) * unit).cast("long")
-    sign = F.when(number < 0, -1).otherwise(1).cast("long")
-    as_double = [F.when(known, sign * x) for x in _halves(whole, _MILLION) + _halves(places, _FIVE_PLACES)]
-
-    decimal = F.abs(amount(value))
-    whole = F.floor(decimal).cast("long")
-    places = ((decimal - F.floor(decimal)) * Decimal(10**10)).cast("long")
-    sign = F.signum(amount(value)).cast("long")
-    as_decimal = [sign * x for x in _halves(whole, _MILLION) + _halves(places, _FIVE_PLACES)]
-    # The type is known to the planner, which drops the other branch.
-    return [F.when(F.typeof(value) == "double", a).otherwise(b) for a, b in zip(as_double, as_decimal)]
+    return [F.expr(text) for text in _limb_text(column)]
 
 
 def limb_names(name: str) -> list[str]:
     return [f"{name}_{i}" for i in range(_LIMBS)]
 
 
-def limb_sums(value: str | Column, name: str) -> list[Column]:
-    """Aggregates: the sums of the limbs of ``value``, as :func:`limb_names` of ``name``."""
-    return [F.sum(limb).alias(column) for limb, column in zip(limbs(value), limb_names(name))]
+def limb_sums(column: str, name: str) -> list[Column]:
+    """Aggregates: the sums of the limbs of ``column``, as :func:`limb_names` of ``name``."""
+    return [F.sum(limb).alias(total) for limb, total in zip(limbs(column), limb_names(name))]
 
 
 def merged_limbs(name: str) -> list[Column]:
@@ -150,14 +144,14 @@ def joined_limbs(sums: Sequence[Column]) -> Column:
     return whole + places.cast("decimal(36,10)")
 
 
-def exact_sum(value: str | Column) -> Column:
+def exact_sum(column: str) -> Column:
     """Aggregate: sum of :func:`amount`."""
-    return joined_limbs([F.sum(limb) for limb in limbs(value)])
+    return joined_limbs([F.sum(limb) for limb in limbs(column)])
 
 
-def exact_mean(value: str | Column) -> Column:
+def exact_mean(column: str) -> Column:
     """Aggregate: mean of :func:`amount` as a double; NULL values do not count."""
-    return F.try_divide(exact_sum(value).cast("double"), F.count(limbs(value)[0]))
+    return F.try_divide(exact_sum(column).cast("double"), F.count(limbs(column)[0]))
 
 
 def percent_of(part: Column, whole: Column) -> Column:

@@ -27,7 +27,7 @@ from cartsight.sources import (
     new_table_name,
     read_monthly,
     store_and_read,
-    view,
+    store_view,
     write_folder,
 )
 
@@ -286,9 +286,13 @@ def _shipments(s: SampleStore) -> DataFrame:
     return geo.shipments(s.order_items, s.orders, s.customers, s.sellers, _centroids(s))
 
 
+def _categorised(s: SampleStore) -> DataFrame:
+    return geo.with_delay_category(_shipments(s))
+
+
 def _facts(s: SampleStore) -> DataFrame:
     """The shipments with their category: joined once and stored, then read by every analysis."""
-    return view(geo.with_delay_category(_shipments(s)), "order_distance_delay")
+    return store_view(s, _categorised, "order_distance_delay")
 
 
 @query("g01_geo_rows")
@@ -397,7 +401,7 @@ def _(s):
 
 @query("d03_map_points")
 def _(s):
-    return geo.map_points(_facts(s), view(_centroids(s), "geolocation_summary"))
+    return geo.map_points(_facts(s), store_view(s, _centroids, "geolocation_summary"))
 
 
 @query("d04_on_time_rate")

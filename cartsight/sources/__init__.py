@@ -7,7 +7,7 @@ from cartsight.sources.stored import (
     store_and_read,
     write_folder,
 )
-from cartsight.sources.views import drop_views, view, view_key
+from cartsight.sources.views import drop_views, store_view, view, view_key
 
 __all__ = [
     "FileStore",
@@ -19,6 +19,7 @@ __all__ = [
     "read_monthly",
     "shared_folder",
     "store_and_read",
+    "store_view",
     "view",
     "view_key",
     "write_folder",

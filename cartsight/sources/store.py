@@ -30,10 +30,17 @@ class FileStore:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.fmt = fmt
+        #: The paths of the tables that were opened.
+        self.paths: set[str] = set()
+
+    def _path(self, table: str) -> str:
+        path = f"{self.folder}/{table}.{self.fmt}"
+        self.paths.add(path)
+        return path
 
     def _scan(self, table: str) -> DataFrame:
         schema = COMMERCE[table]
-        path = f"{self.folder}/{table}.{self.fmt}"
+        path = self._path(table)
         if self.fmt != "csv":
             return self.spark.read.schema(schema).format(self.fmt).load(path)
         # A CSV reader matches by position: take the names from the header line, the types from
@@ -96,7 +103,7 @@ class SampleStore(FileStore):
     """Commerce tables derived from the sample star schema in ``folder``."""
 
     def _scan(self, table: str) -> DataFrame:
-        return self.spark.read.schema(SAMPLE[table]).parquet(f"{self.folder}/{table}.parquet")
+        return self.spark.read.schema(SAMPLE[table]).parquet(self._path(table))
 
     @cached_property
     def orders(self) -> DataFrame:

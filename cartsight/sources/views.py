@@ -13,12 +13,14 @@ import hashlib
 import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cartsight.sources.store import FileStore
 from cartsight.sources.stored import shared_folder
 
 # Parts of plans that do not say what they compute: code, rows held in memory, clocks and dice.
@@ -58,23 +60,29 @@ def plan_text(df: DataFrame) -> tuple[str, str | None]:
 
 
 def input_state(df: DataFrame) -> str:
-    """A digest of the name, size and time of all files that ``df`` reads, taken by Spark.
-
-    Each file is one row, of which only its hash is added up, so any number of them will do.
-    """
-    spark = df.sparkSession
+    """A digest of the name, size and time of all files that ``df`` reads."""
     files = sorted({_as_pattern(uri) for uri in df.inputFiles()})
     if not files:
         return "none"
-    listed = spark.read.format("binaryFile").load(files)
+    state = files_state(df.sparkSession, files)
+    if int(state.split()[0]) != len(files):
+        raise FileNotFoundError(f"{len(files)} input files, of which {state.split()[0]} are there")
+    return state
+
+
+def files_state(spark: SparkSession, paths: Sequence[str]) -> str:
+    """Number of files in ``paths``, and a digest of the name, size and time of each, listed by Spark.
+
+    Each file is one row, of which only its hash is added up, so any number of them will do. No
+    content is read.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
     seen = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
     state = listed.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(seen.cast("decimal(38,0)")).alias("total"),
         F.bit_xor(F.xxhash64(seen)).alias("mixed"),
     ).first()
-    if state.n != len(files):
-        raise FileNotFoundError(f"{len(files)} input files, of which {state.n} are there")
     return f"{state.n} {state.total} {state.mixed}"
 
 
@@ -85,15 +93,25 @@ def _as_pattern(uri: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def view_key(df: DataFrame, version: str = "") -> str:
-    """The digest by which the view of ``df`` is known."""
-    spark = df.sparkSession
+def _settings(spark: SparkSession) -> list[str]:
+    return [str(spark.conf.get(name, None)) for name in _SETTINGS]
+
+
+def _definition(df: DataFrame, version: str) -> str:
+    """A digest of all that defines the view of ``df`` but its inputs."""
     plan, hidden = plan_text(df)
     if hidden and not version:
         raise ValueError(f"the plan does not say what {hidden!r} gives; name a version of it")
-    settings = [str(spark.conf.get(name, None)) for name in _SETTINGS]
-    known = [spark.version, version, df.schema.json(), plan, input_state(df), *settings]
-    return hashlib.sha256("\0".join(known).encode()).hexdigest()[:32]
+    return _digest(df.sparkSession.version, version, df.schema.json(), plan, *_settings(df.sparkSession))
+
+
+def _digest(*parts: str) -> str:
+    return hashlib.sha256("\0".join(parts).encode()).hexdigest()[:32]
+
+
+def view_key(df: DataFrame, version: str = "") -> str:
+    """The digest by which the view of ``df`` is known."""
+    return _digest(_definition(df, version), input_state(df))
 
 
 def _finished(spark: SparkSession, folder: str) -> str | None:
@@ -104,26 +122,78 @@ def _finished(spark: SparkSession, folder: str) -> str | None:
     return found[0] if found else None
 
 
+def _built(
+    spark: SparkSession,
+    name: str,
+    definition: str,
+    state: Callable[[], str],
+    build: Callable[[], DataFrame],
+) -> str:
+    """The folder of the view, built if there is none; once more if its inputs changed meanwhile."""
+    for _ in range(3):
+        before = state()
+        folder = f"{shared_folder(spark)}/cartsight/views/{name}-{_digest(definition, before)}"
+        found = _finished(spark, folder)
+        if found is not None:
+            return found
+        found = f"{folder}/{uuid.uuid4().hex}"
+        build().write.parquet(found)
+        if state() == before:
+            return found
+        _delete(spark, found)
+    raise RuntimeError(f"the inputs of {name} keep changing")
+
+
 def view(df: DataFrame, name: str, version: str = "") -> DataFrame:
     """``df`` as read from its stored view, which is built if there is none yet.
 
     Two sessions that build the same view at once do not disturb each other: each writes a folder of its
     own, and later readers all take the same one. A build that fails leaves nothing that is ever read.
-    ``version`` stands for what the plan does not show, such as Python code or local rows. Catalogue
-    and file formats are those of the inputs; the order of the rows is not kept.
+    ``version`` stands for what the plan does not show, such as Python code or local rows. The order
+    of the rows is not kept.
     """
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/cartsight/views/{name}-{view_key(df, version)}"
-    built = _finished(spark, folder)
-    if built is None:
-        built = f"{folder}/{uuid.uuid4().hex}"
-        df.write.parquet(built)
-    return spark.read.schema(df.schema).parquet(built)
+    definition = _definition(df, version)
+    folder = _built(spark, name, definition, lambda: input_state(df), lambda: df)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
-def drop_views(spark: SparkSession, name: str) -> None:
-    """Delete all views of that name, of whatever plan and inputs."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cartsight/views/{name}-*")
+# Of the functions that built a view in this process: what defines it, its schema and its paths.
+_KNOWN: dict[tuple, tuple[str, T.StructType, list[str]]] = {}
+
+
+def store_view(store: FileStore, build: Callable[[FileStore], DataFrame], name: str, version: str = "") -> DataFrame:
+    """:func:`view` of ``build(store)``, for a store of files and a function that is defined once.
+
+    ``build`` runs only where there is no view yet, or was none in this process, so a query that
+    reads a stored view neither plans nor analyses what it took to make it. The files of the tables
+    that ``build`` reads are listed every time.
+    """
+    spark = store.spark
+
+    def fresh() -> DataFrame:
+        tables = type(store)(spark, store.folder, store.fmt)  # with files as they are now
+        df = build(tables)
+        paths.update(tables.paths)
+        return df
+
+    key = (spark.sparkContext.applicationId, build, type(store), store.folder, store.fmt, version, *_settings(spark))
+    paths: set[str] = set()
+    if key not in _KNOWN:
+        df = fresh()
+        _KNOWN[key] = _definition(df, version), df.schema, sorted(paths)
+    definition, schema, used = _KNOWN[key]
+    folder = _built(spark, name, definition, lambda: files_state(spark, used), fresh)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def _delete(spark: SparkSession, pattern: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     for found in files.globStatus(path) or []:
         files.delete(found.getPath(), True)
+
+
+def drop_views(spark: SparkSession, name: str) -> None:
+    """Delete all views of that name, of whatever plan and inputs."""
+    _delete(spark, f"{shared_folder(spark)}/cartsight/views/{name}-*")

@@ -10,7 +10,9 @@ from plans import physical
 from pyspark.sql import functions as F
 
 from cartsight.plans import QUERIES
-from cartsight.sources import drop_views, shared_folder, view, view_key
+from cartsight.operators import kpi
+from cartsight.sources import FileStore, drop_views, shared_folder, store_view, view, view_key
+from cartsight.sources import views as module
 
 COPY = "/root/testdata/sf0.001"
 
@@ -138,3 +140,59 @@ def test_drop_views(spark, tmp_path):
     drop_views(spark, "gone")
     assert builds(spark, "gone") == [] and len(builds(spark, "staying")) == 1
     assert view(table(spark, path), "gone").count() == 10
+
+
+def _paid(store):
+    return store.payments.groupBy("payment_type").agg(F.sum("payment_value").alias("paid"))
+
+
+def write_payments(spark, folder, values, mode="overwrite"):
+    rows = spark.createDataFrame([(str(i), "card", float(v)) for i, v in enumerate(values)], "order_id string, payment_type string, payment_value double")
+    rows.coalesce(1).write.mode(mode).parquet(f"{folder}/payments.parquet")
+
+
+def test_a_known_view_is_neither_planned_nor_built(spark, tmp_path):
+    folder = str(tmp_path)
+    write_payments(spark, folder, [1, 2])
+    calls = []
+
+    def build(store):
+        calls.append(store)
+        return _paid(store)
+
+    read = lambda: store_view(FileStore(spark, folder), build, "paid").first().paid
+    assert read() == 3 and len(calls) == 2  # for its plan, and to build it
+    assert read() == 3 and len(calls) == 2
+    write_payments(spark, folder, [10], mode="append")
+    assert read() == 13 and len(calls) == 3
+    assert len(builds(spark, "paid")) == 2
+
+
+def test_a_stale_store_gives_a_fresh_view(spark, tmp_path):
+    folder = str(tmp_path)
+    write_payments(spark, folder, [1, 2])
+    store = FileStore(spark, folder)
+    assert store.payments.count() == 2  # the store has listed its files
+    write_payments(spark, folder, [5, 6, 7])
+    assert store_view(store, _paid, "stale").first().paid == 18
+
+
+def test_inputs_that_change_during_a_build(spark, tmp_path):
+    folder = str(tmp_path)
+    write_payments(spark, folder, [1, 2])
+    late = [[10], [20]]
+
+    def build(store):
+        df = _paid(store)
+        if late and (module._KNOWN.keys() & {k for k in module._KNOWN if k[1] is build}):
+            write_payments(spark, folder, late.pop(), mode="append")
+        return df
+
+    assert store_view(FileStore(spark, folder), build, "restless").first().paid == 33
+    assert len(builds(spark, "restless")) == 1
+
+
+def test_kpis_from_the_view_equal_those_from_the_joins(spark, sample):
+    from cartsight.plans import queries
+
+    assert kpi.kpi_summary(queries._facts(sample)).first() == kpi.kpi_summary(queries._categorised(sample)).first()
