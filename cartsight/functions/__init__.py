@@ -17,6 +17,8 @@ from cartsight.functions.columns import (
     percent_of,
     rounded_delay,
     rounded_km,
+    tile_key,
+    tile_steps,
 )
 
 __all__ = [
@@ -38,4 +40,6 @@ __all__ = [
     "percent_of",
     "rounded_delay",
     "rounded_km",
+    "tile_key",
+    "tile_steps",
 ]

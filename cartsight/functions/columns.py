@@ -210,3 +210,39 @@ def order_key(column: str, kind: T.DataType) -> Column:
         since = (value - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("interval second")
         return (since.cast("decimal(18,6)") * Decimal(10**6)).cast("long")
     raise ValueError(f"{column} is {kind.simpleString()}, which has no order key")
+
+
+# The finest zoom level whose two coordinates fit side by side into one long.
+FINEST_ZOOM = 30
+
+
+def tile_steps(degrees: str | Column, span: int, zoom: int) -> Column:
+    """Which of the ``2^zoom`` equal steps of a coordinate from -span to span holds ``degrees``.
+
+    The last step includes its end. NULL for what is no position.
+    """
+    degrees = F.col(degrees) if isinstance(degrees, str) else degrees
+    step = F.floor((degrees + span) / (2 * span) * 2.0**zoom)
+    return F.when(degrees.between(-span, span), F.least(step, F.lit(2**zoom - 1)).cast("long"))
+
+
+def _spread(number: Column) -> Column:
+    """The bits of a number below 2^32, each with a zero above it."""
+    for shift, mask in (
+        (16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+        (2, 0x3333333333333333), (1, 0x5555555555555555),
+    ):
+        number = number.bitwiseOR(F.shiftleft(number, shift)).bitwiseAND(F.lit(mask))
+    return number
+
+
+def tile_key(lat: str | Column, lng: str | Column, zoom: int) -> Column:
+    """The tile of a position: bits of its latitude and longitude in turn, the coarsest first.
+
+    Without its two lowest bits it is the key of the tile one level up, and tiles that lie together
+    mostly have keys that do. NULL for what is no position.
+    """
+    if not 0 <= zoom <= FINEST_ZOOM:
+        raise ValueError(f"zoom is 0 to {FINEST_ZOOM}")
+    north, east = tile_steps(lat, 90, zoom), tile_steps(lng, 180, zoom)
+    return F.shiftleft(_spread(north), 1).bitwiseOR(_spread(east))

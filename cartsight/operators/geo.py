@@ -11,10 +11,12 @@ from cartsight.functions import (
     delay_category,
     distance_band,
     exact_mean,
+    percent_of,
     rounded_delay,
     rounded_km,
+    tile_key,
 )
-from cartsight.functions.columns import ROUTE_ARROW
+from cartsight.functions.columns import DELAYED, ROUTE_ARROW
 from cartsight.operators.delivery import ARRIVED, PROMISED, delivered
 from cartsight.operators.joins import join_facts, lookup_by_group
 from cartsight.operators.ranking import top_k
@@ -211,3 +213,27 @@ def map_points(categorised: DataFrame, centroids: DataFrame) -> DataFrame:
         "DelayCategory",
         "NumberOfOrders",
     )
+
+
+def map_tiles(points: DataFrame, zoom: int = 12) -> DataFrame:
+    """From :func:`map_points`: items and late items of every tile that has any, at each zoom level.
+
+    (zoom, tile, NumberOfOrders, Delayed, DelayedPct). Items are added up to the tiles of the finest
+    level first; all levels follow from these in one more grouping, as a tile holds four of the next.
+    Items without a position are in no tile.
+    """
+    late = F.when(F.col("DelayCategory") == DELAYED, F.col("NumberOfOrders")).otherwise(0)
+    finest = (
+        points.select(tile_key("customer_lat", "customer_lng", zoom).alias("key"), "NumberOfOrders", late.alias("Delayed"))
+        .where(F.col("key").isNotNull())
+        .groupBy("key")
+        .agg(F.sum("NumberOfOrders").alias("NumberOfOrders"), F.sum("Delayed").alias("Delayed"))
+    )
+    levels = F.explode(F.sequence(F.lit(0), F.lit(zoom))).alias("zoom")
+    tile = F.call_function("shiftright", F.col("key"), (zoom - F.col("zoom")) * 2)
+    return (
+        finest.select("*", levels)
+        .groupBy("zoom", tile.alias("tile"))
+        .agg(F.sum("NumberOfOrders").alias("NumberOfOrders"), F.sum("Delayed").alias("Delayed"))
+        .withColumn("DelayedPct", F.round(percent_of(F.col("Delayed"), F.col("NumberOfOrders")), 2))
+    )

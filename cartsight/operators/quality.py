@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def row_count(df: DataFrame, name: str = "row_count") -> DataFrame:
@@ -94,6 +97,105 @@ def _orphans_by_join(
     )
 
 
+@dataclass(frozen=True)
+class Reference:
+    """Rows of ``child`` refer by ``child_key`` to ``parent_key`` of ``parent``; tables go by name."""
+
+    child: str
+    child_key: str
+    parent: str
+    parent_key: str
+
+
+def _keys(tables: Mapping[str, DataFrame], columns: Mapping[str, set[tuple[str, str]]]) -> DataFrame:
+    """(tag, k): for each tag a row for every key of its column; each table is scanned once.
+
+    ``columns`` says for each table which (tag, column) to read.
+    """
+    parts = []
+    for table, wanted in sorted(columns.items()):
+        df = tables[table]
+        for _, column in wanted:
+            if not isinstance(df.schema[column].dataType, T.IntegralType):
+                raise ValueError(f"{table}.{column} has no whole numbers; use orphan_count")
+        tagged = [F.struct(F.lit(tag).alias("tag"), F.col(c).cast("long").alias("k")) for tag, c in sorted(wanted)]
+        parts.append(df.select(F.explode(F.array(*tagged)).alias("t")).select("t.*"))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def reference_report(tables: Mapping[str, DataFrame], references: Mapping[str, Reference]) -> DataFrame:
+    """(reference, orphans): :func:`orphan_count`, with the rules of ``NOT IN``, for many references.
+
+    For keys that are numbered more or less densely. Each task turns the keys of a column into bitmaps
+    of 32,768 keys, 4 KB each however many rows there are; only these are shuffled, and every table is
+    scanned once for all its columns. Where a bitmap holds keys that the parents lack, a second scan
+    counts the rows of just these buckets. Sparse keys, or texts, are better off with
+    :func:`orphan_count`, as a bitmap then holds few keys.
+    """
+    columns: dict[str, set[tuple[str, str]]] = {}
+    for r in references.values():
+        for table, column in ((r.child, r.child_key), (r.parent, r.parent_key)):
+            columns.setdefault(table, set()).add((f"{table}.{column}", column))
+    bucket = F.call_function("bitmap_bucket_number", F.col("k"))
+    place = F.call_function("bitmap_bit_position", F.col("k"))
+    sets = (
+        _keys(tables, columns)
+        .groupBy("tag", bucket.alias("bucket"))
+        .agg(F.call_function("bitmap_construct_agg", place).alias("bits"), F.count(F.lit(1)).alias("rows"))
+    )
+    sides = F.explode(
+        F.filter(
+            F.array(
+                *[
+                    F.when(F.col("tag") == f"{table}.{column}", F.struct(F.lit(name).alias("reference"), F.lit(side).alias("side")))
+                    for name, r in sorted(references.items())
+                    for side, table, column in (("child", r.child, r.child_key), ("parent", r.parent, r.parent_key))
+                ]
+            ),
+            lambda s: s.isNotNull(),
+        )
+    )
+    of_parent = F.when(F.col("side") == "parent", F.col("bits"))
+    by_side = {side: F.sum(F.when(F.col("side") == side, F.col("rows")).otherwise(0)) for side in ("child", "parent")}
+    merge = lambda bits: F.call_function("bitmap_or_agg", bits)
+    count = lambda bits: F.call_function("bitmap_count", bits)
+    met = (
+        sets.select("bucket", "bits", "rows", sides.alias("s"))
+        .select("s.*", "bucket", "bits", "rows")
+        .groupBy("reference", "bucket")
+        .agg(
+            (count(merge(F.col("bits"))) - count(merge(of_parent))).alias("missing"),
+            merge(of_parent).alias("known"),
+            by_side["child"].alias("children"),
+            by_side["parent"].alias("parents"),
+        )
+    )
+    sums = met.groupBy("reference").agg(
+        F.sum("children").alias("children"),
+        F.sum("parents").alias("parents"),
+        F.sum(F.when(F.col("bucket").isNull(), F.col("parents")).otherwise(0)).alias("unknown"),
+    )
+    again: dict[str, set[tuple[str, str]]] = {}
+    for name, r in references.items():
+        again.setdefault(r.child, set()).add((name, r.child_key))
+    gaps = met.where((F.col("missing") > 0) & F.col("bucket").isNotNull()).select("reference", "bucket", "known")
+    rows = _keys(tables, again).where(F.col("k").isNotNull()).select(F.col("tag").alias("reference"), "k", bucket.alias("bucket"))
+    byte = F.conv(F.hex(F.substring(F.col("known"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = F.call_function("shiftright", byte, (place % 8).cast("int")) % 2 == 1
+    lost = rows.join(gaps, ["reference", "bucket"]).where(~known).groupBy("reference").agg(F.count("k").alias("lost"))
+    answer = (
+        F.when(F.col("parents") == 0, F.col("children"))
+        .when(F.col("unknown") > 0, F.lit(0))
+        .otherwise(F.coalesce("lost", F.lit(0)))
+    )
+    names = F.explode(F.array(*[F.lit(n) for n in sorted(references)])).alias("reference")
+    every = sets.sparkSession.range(1).select(names)
+    zero = F.coalesce("children", F.lit(0)), F.coalesce("parents", F.lit(0)), F.coalesce("unknown", F.lit(0))
+    joined = every.join(sums, "reference", "left").join(lost, "reference", "left")
+    filled = joined.select("reference", "lost", *[z.alias(n) for z, n in zip(zero, ("children", "parents", "unknown"))])
+    return filled.select("reference", answer.alias("orphans"))
+
+
 def compare_counts(
     table: DataFrame,
     other: DataFrame,

@@ -724,6 +724,49 @@ _BODIES["o14q_payment_quartiles"] = """
          (VALUES (0), (0.25), (0.5), (0.75), (1)) AS v(part)
     WHERE place = least(CAST(floor(part * n) AS BIGINT), n - 1)
 """
+_BODIES["o04r_reference_report"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS reference, count(*) AS orphans FROM {child} WHERE {key} NOT IN (SELECT {key} FROM {parent})"
+    for name, child, key, parent in (
+        ("items without order", "t_items", "order_id", "t_orders"),
+        ("orders without items", "t_orders", "order_id", "t_items"),
+        ("orders without customer", "t_orders", "customer_id", "t_customers"),
+        ("customers without orders", "t_customers", "customer_id", "t_orders"),
+        ("items without product", "t_items", "product_id", "t_products"),
+        ("products never sold", "t_products", "product_id", "t_items"),
+        ("items whose order is missing", "t_items", "order_id", "(SELECT * FROM t_orders WHERE order_id % 5 <> 0)"),
+    )
+)
+_BODIES["g13p_kpi_published"] = _BODIES["g13_kpi_fraction"]
+_BODIES["g11p_category_by_partition"] = """
+    SELECT order_id, buyer_state AS customer_state, km AS "DistanceKM", late1 AS "DeliveryDelayDays",
+           CASE WHEN buyer_state < 'M' THEN kind ELSE 'unknown' END AS "DelayCategory"
+    FROM t_shipped
+"""
+_BODIES["d03t_map_tiles"] = """
+    SELECT zoom, sum(bits << place)::BIGINT AS tile, any_value(orders) AS "NumberOfOrders",
+           any_value(late) AS "Delayed", round(100.0 * any_value(late) / any_value(orders), 2) AS "DelayedPct"
+    FROM (SELECT zoom, north, east, orders, late, 2 * i AS place,
+                 ((north >> i) & 1) * 2 + ((east >> i) & 1) AS bits
+          FROM (SELECT zoom, north, east, count(*) AS orders, count(*) FILTER (WHERE kind = 'Delayed') AS late
+                FROM (SELECT kind, zoom::INTEGER AS zoom,
+                             least(floor((lat1 + 90) / 180 * pow(2, zoom)), pow(2, zoom) - 1)::BIGINT AS north,
+                             least(floor((lng1 + 180) / 360 * pow(2, zoom)), pow(2, zoom) - 1)::BIGINT AS east
+                      FROM t_shipped, range(13) AS z(zoom))
+                GROUP BY ALL),
+               range(12) AS b(i))
+    GROUP BY zoom, north, east
+"""
+_BODIES["s02_import_with_quarantine"] = """
+    SELECT reason, count(*) AS lines, CASE WHEN reason = 'good' THEN round(sum(value)::DOUBLE, 2) END AS good_value
+    FROM (SELECT CAST(value AS DECIMAL(28, 10)) AS value,
+                 CASE WHEN event_id % 101 = 0 THEN 'wrong number of fields'
+                      WHEN event_id % 97 = 0 THEN 'value not of its type'
+                      WHEN event_id % 83 = 2 OR event_type = '' OR event_type IS NULL THEN 'missing payment_type'
+                      WHEN event_id % 89 = 1 OR value IS NULL THEN 'missing payment_value'
+                      ELSE 'good' END AS reason
+          FROM events)
+    GROUP BY reason
+"""
 _CHANGE_BODIES = {
     "f02c_changing_trend": f"""
         SELECT {_NAMED}, CAST(n AS BIGINT) AS n, strength, round(freedom, 2) AS freedom, round(sigma, 2) AS sigma

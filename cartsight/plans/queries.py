@@ -8,8 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cartsight.functions import delay_seconds
+from cartsight.functions import delay_category, delay_seconds, exact_sum
 from cartsight.operators import (
     catalog,
     delivery,
@@ -23,11 +24,16 @@ from cartsight.operators import (
 )
 from cartsight.sources import (
     SampleStore,
+    add_column,
+    import_csv,
     materialise,
     new_table_name,
+    publish,
     read_monthly,
     store_and_read,
+    store_partitioned,
     store_view,
+    update,
     write_folder,
 )
 
@@ -40,6 +46,7 @@ DEAR, CHEAP = "large", "economy"
 WAVES = 2
 CHANGES = 4
 DRAWS = 100
+ZOOM = 12
 
 
 def query(name: str) -> Callable[[Callable[[SampleStore], DataFrame]], Query]:
@@ -101,6 +108,24 @@ def _(s):
     return quality.orphan_count(s.products, s.order_items, "product_id")
 
 
+REFERENCES = {
+    "items without order": quality.Reference("items", "order_id", "orders", "order_id"),
+    "orders without items": quality.Reference("orders", "order_id", "items", "order_id"),
+    "orders without customer": quality.Reference("orders", "customer_id", "customers", "customer_id"),
+    "customers without orders": quality.Reference("customers", "customer_id", "orders", "customer_id"),
+    "items without product": quality.Reference("items", "product_id", "products", "product_id"),
+    "products never sold": quality.Reference("products", "product_id", "items", "product_id"),
+    "items whose order is missing": quality.Reference("items", "order_id", "some orders", "order_id"),
+}
+
+
+@query("o04r_reference_report")
+def _(s):
+    """All reference checks at once, and one more against orders of which a fifth is missing."""
+    tables = {"items": s.order_items, "orders": s.orders, "customers": s.customers, "products": s.products}
+    return quality.reference_report({**tables, "some orders": _gappy_orders(s)}, REFERENCES)
+
+
 def _gappy_orders(s: SampleStore) -> DataFrame:
     """Orders of which a fifth is missing, so that items and customers lose theirs."""
     return s.orders.where(F.col("order_id") % 5 != 0)
@@ -219,6 +244,21 @@ def _(s):
     return payments.payment_summary(s.payments)
 
 
+@query("s02_import_with_quarantine")
+def _(s):
+    """Payments through CSV files in which some lines are faulty: lines by reason, and the good amounts."""
+    path = write_folder(s.spark, "payments_csv")
+    key = F.col("order_id")
+    value = F.when(key % 97 == 0, "n/a").when(key % 89 != 1, F.col("payment_value").cast("string"))
+    fields = [key.cast("string"), F.when(key % 83 != 2, F.col("payment_type")), value]
+    lines = F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields], F.when(key % 101 == 0, "more"))
+    s.payments.select(lines.alias("order_id,payment_type,payment_value")).write.options(header=True, sep="\x01").csv(path)
+    schema = "order_id long, payment_type string, payment_value double"
+    read = import_csv(s.spark, path, T.StructType.fromDDL(schema), required=["payment_type", "payment_value"])
+    good = read.rows.agg(F.round(exact_sum("payment_value").cast("double"), 2)).scalar()
+    return read.counts().withColumn("good_value", F.when(F.col("reason") == "good", good))
+
+
 @query("d05_payment_share")
 def _(s):
     return payments.payment_share(s.payments)
@@ -379,6 +419,25 @@ def _(s):
     return materialise(kpi.kpi_summary(shipped), name, mode="overwrite")
 
 
+@query("g11p_category_by_partition")
+def _(s):
+    """The shipments by state, with the category as an added column of which only late states change."""
+    name = new_table_name("order_distance_delay")
+    store_partitioned(_facts(s).drop("DelayCategory"), name, ["customer_state"])
+    add_column(s.spark, name, "DelayCategory", "string", "'unknown'")
+    named = {"DelayCategory": delay_category("DeliveryDelayDays")}
+    update(s.spark, name, ["customer_state"], F.col("customer_state") < "M", named)
+    return s.spark.table(name).select("order_id", "customer_state", "DistanceKM", "DeliveryDelayDays", "DelayCategory")
+
+
+@query("g13p_kpi_published")
+def _(s):
+    """The KPI table published twice; readers of the name see one version or the other."""
+    name = new_table_name("kpi_summary")
+    publish(kpi.kpi_summary(_facts(s), as_percent=True), name)
+    return publish(kpi.kpi_summary(_facts(s)), name)
+
+
 @query("g12_kpi_pct")
 def _(s):
     return store_and_read(kpi.kpi_summary(_facts(s), as_percent=True), "kpi_summary_pct")
@@ -404,6 +463,13 @@ def _(s):
     return geo.map_points(_facts(s), store_view(s, _centroids, "geolocation_summary"))
 
 
+@query("d03t_map_tiles")
+def _(s):
+    """The map at every zoom level, from the whole world to tiles of a few kilometres."""
+    points = geo.map_points(_facts(s), store_view(s, _centroids, "geolocation_summary"))
+    return geo.map_tiles(points, ZOOM)
+
+
 @query("d04_on_time_rate")
 def _(s):
     return kpi.on_time_rate(_facts(s))

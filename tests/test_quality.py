@@ -4,6 +4,7 @@ import random
 
 import pytest
 from plans import physical
+from pyspark.sql import functions as F
 
 from cartsight.operators import quality
 
@@ -92,3 +93,55 @@ def test_counts(spark):
 
 def test_row_count_reads_no_column(sample):
     assert "ReadSchema: struct<>" in physical(quality.row_count(sample.orders))
+
+
+def test_reference_report_against_orphan_count(spark):
+    """Bitmaps and the plain grouping agree: NULLs on either side, empty parents, negative and large keys."""
+    rng = random.Random(7)
+    key = lambda: rng.choice([None, rng.randrange(40), -rng.randrange(5), 32_768 * rng.randrange(3), 10**12 + rng.randrange(9)])
+
+    def frame(n, nulls):
+        rows = [(key(), key()) for _ in range(n)]
+        rows = rows if nulls else [r for r in rows if None not in r]
+        return spark.createDataFrame(rows, "a long, b long")
+
+    tables = {"many": frame(400, True), "few": frame(60, False), "nulls": frame(30, True), "none": frame(0, True)}
+    references = {
+        f"{c}.{ck} {p}.{pk}": quality.Reference(c, ck, p, pk) for c in tables for p in tables for ck in "ab" for pk in "ab"
+    }
+    found = {r.reference: r.orphans for r in quality.reference_report(tables, references).collect()}
+    for name, r in references.items():
+        child, parent = tables[r.child], tables[r.parent]
+        assert found[name] == quality.orphan_count(child, parent, r.child_key, r.parent_key).first()[0], name
+    with pytest.raises(ValueError, match="whole numbers"):
+        quality.reference_report({"t": spark.createDataFrame([("x",)], "k string")}, {"r": quality.Reference("t", "k", "t", "k")})
+
+
+def test_bitmaps_shuffle_far_less_than_keys(spark):
+    """Dense keys: bytes written to the shuffles of both ways, from the metrics of their plans."""
+    import re
+
+    child = spark.range(400_000, numPartitions=4).select((F.col("id") / 2).cast("long").alias("k"))
+    parent = spark.range(200_000, numPartitions=4).withColumnRenamed("id", "k")
+
+    def shuffled(df):
+        df.collect()
+        total, left = 0, [df._jdf.queryExecution().executedPlan()]
+        while left:
+            node = left.pop()
+            name = node.nodeName()
+            if name == "AdaptiveSparkPlan":
+                left.append(node.executedPlan())
+            elif re.search("QueryStage", name):
+                left.append(node.plan())
+            else:
+                if name == "Exchange":
+                    total += node.metrics().apply("shuffleBytesWritten").value()
+                left += [node.children().apply(i) for i in range(node.children().size())]
+        return total
+
+    plain = shuffled(quality.orphan_count(child, parent, "k"))
+    compact = shuffled(
+        quality.reference_report({"c": child, "p": parent}, {"r": quality.Reference("c", "k", "p", "k")})
+    )
+    assert 0 < 10 * compact < plain
