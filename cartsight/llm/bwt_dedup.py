@@ -4,7 +4,9 @@ The surroundings of shared anchors (see :mod:`sieve`) that one task holds are sp
 shard gets its own transform. The transforms are then merged without sorting suffixes again: an
 interleave says which row of which shard comes next in the merged order; one refinement, a stable
 distribution of the rows by their symbol in the transform, turns the order by the first j bytes into
-the order by the first j + 1. Rows that fall apart in round j + 1 have a common prefix of j bytes.
+the order by the first j + 1. Where a row leads is told by its rank: the k-th row of a shard with a
+symbol is one byte to the right of the shard's k-th suffix that begins with it, which holds only as
+each transform is sorted. Rows that fall apart in round j + 1 have a common prefix of j bytes.
 After 50 rounds the intervals that still hold together are the repeated strings.
 """
 
@@ -66,17 +68,31 @@ def transform(strings: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.nda
     return flat[before][order].astype(np.uint8), at[before][order].astype(np.int32), number[order]
 
 
-def merge(symbols: np.ndarray, left: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the transforms, in merged order, that share a prefix of ``rounds`` bytes with another.
+def step_left(symbols: np.ndarray) -> np.ndarray:
+    """For each row of a transform the row that begins one byte further left, by the rank of its symbol
+    among equal ones. Rows with the mark lead to no suffix that anything asks for."""
+    left = np.empty(len(symbols), np.int32)
+    left[np.argsort(symbols, kind="stable")] = np.arange(len(symbols), dtype=np.int32)
+    return left
 
-    ``symbols`` and ``left`` hold the shards' transforms one after another. The order starts as it
-    is and is refined by distributing the rows stably by symbol. Rows that are alone in their
-    interval stay alone whatever comes before them, and are dropped as settled, as are marks. Gives
-    the rows and the numbers of their intervals.
+
+def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the transforms, in merged order, that share a prefix of ``rounds`` bytes with another,
+    the numbers of their intervals, and for all rows the common prefix: the bytes, up to ``rounds``,
+    that a row shares with the one it is most like.
+
+    Rows are numbered through all shards. The order starts as it is and is refined by distributing
+    the rows stably by symbol; each then stands for the suffix one byte to its left. Rows that are
+    alone in their interval stay alone whatever comes before them, and are dropped as settled, as are
+    marks.
     """
+    symbols = np.concatenate(transforms)
+    starts = np.cumsum([0, *map(len, transforms[:-1])])
+    left = np.concatenate([step_left(t) + np.int32(at) for t, at in zip(transforms, starts, strict=True)])
     row = np.arange(len(symbols), dtype=np.int32)
     interval = np.zeros(len(symbols), np.int32)
-    for _ in range(rounds):
+    prefix = np.zeros(len(symbols), np.uint8)
+    for done in range(1, rounds + 1):
         symbol = symbols[row]
         on = symbol != 0
         row, interval, symbol = row[on], interval[on], symbol[on]
@@ -86,9 +102,10 @@ def merge(symbols: np.ndarray, left: np.ndarray, rounds: int) -> tuple[np.ndarra
         new[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         several = ~(new[:-1] & new[1:])
         row, interval = row[several], np.cumsum(new[:-1][several], dtype=np.int32) - 1
+        prefix[row] = done
         if not len(row):
             break
-    return row, interval
+    return row, interval, prefix
 
 
 def first_documents(around: np.ndarray, inside: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -103,14 +120,12 @@ def first_documents(around: np.ndarray, inside: np.ndarray, docs: np.ndarray) ->
     )
     _, codes = np.unique(moved, return_inverse=True)
     codes = codes.reshape(moved.shape) + 1  # fewer than 256: some byte values are in no UTF-8 text
-    symbols, left, places, size = [], [], [], 0
+    transforms, places = [], []
     for at in range(0, n, SHARD):
-        shard = transform(codes[at : at + SHARD], used[at : at + SHARD])
-        symbols.append(shard[0])
-        left.append(shard[1] + np.int32(size))
-        places.append(shard[2] + at * (width + 1))
-        size += len(shard[0])
-    rows, interval = merge(np.concatenate(symbols), np.concatenate(left), LENGTH)
+        symbols, _, place = transform(codes[at : at + SHARD], used[at : at + SHARD])
+        transforms.append(symbols)
+        places.append(place + at * (width + 1))
+    rows, interval, _ = merge(transforms, LENGTH)
     if not len(rows):
         return out
     row, column = np.divmod(np.concatenate(places)[rows], width + 1)
