@@ -4,7 +4,10 @@ The surroundings of shared anchors (see :mod:`sieve`) that one task holds are it
 index has, for each length, the hash values of all runs of words in it and the smallest document that
 has each. Every document's stretch is factored greedily against the block: the longest run from the
 present word on that an earlier document has, then on behind it. Factors of 13 words or more are
-repeated. A window that starts inside one factor and ends behind it is looked up by itself.
+repeated: their windows stand in an earlier document, and the index tells in which. Of the other
+windows only those over the end of one factor can, and only if the next factor reaches as far as they
+do: whatever a window has behind that end would else be a longer factor. These are looked up at the
+boundary. No other window is.
 """
 
 from __future__ import annotations
@@ -88,18 +91,21 @@ def first_documents(around: np.ndarray, inside: np.ndarray, docs: np.ndarray) ->
     starts = width - LENGTH + 1
     out = np.repeat(docs[:, None], starts, axis=1)
     row, at = np.arange(n), np.zeros(n, np.int64)
+    length = block.longest(row, at, docs[row])
     while len(row):
-        length = block.longest(row, at, docs[row])
         step = np.maximum(length, 1)
         end = at + step
+        following = block.longest(row, end, docs[row])
         for k in range(int(step.max())):  # windows that start in the factor
             start = at + k
-            here = (k < step) & (start < starts)
+            beyond = start + LENGTH - end
+            # fewer words than an anchor are in no index: such a rest proves nothing
+            over = (k > 0) & ((beyond < ANCHOR) | (following >= beyond))
+            here = (k < step) & (start < starts) & ((beyond <= 0) | over)
             r, s = row[here], start[here]
-            # inside a long factor, or over its end: checked at the boundary
             out[r, s] = np.minimum(out[r, s], block.first(LENGTH, r, s))
         on = end < starts
-        row, at = row[on], end[on]
+        row, at, length = row[on], end[on], following[on]
     return out
 
 
