@@ -710,3 +710,102 @@ def test_few_random_fingerprints_meet(spark):
         return total
 
     assert 1000 * pairs(simhash.block_keys(3)) < pairs([[(lo, 16)] for lo in range(0, 64, 16)])
+
+
+# --- the factors and the transforms decide -----------------------------------------------------
+
+
+def random_block(seed, width, letters, copies):
+    """Rows [n, width] with pieces of each other, which of their tokens exist, and their documents."""
+    rng = np.random.default_rng(seed)
+    rows = rng.integers(1, letters, (60, width))
+    for _ in range(copies):
+        a, b = rng.integers(0, 60, 2)
+        n = int(rng.integers(width // 3, width + 1))
+        i, j = rng.integers(0, width - n + 1, 2)
+        rows[a, i : i + n] = rows[b, j : j + n]
+    first, last = rng.integers(0, 3, 60), width - rng.integers(0, 3, 60)
+    inside = (np.arange(width) >= first[:, None]) & (np.arange(width) < last[:, None])
+    return rows, inside, rng.integers(0, 40, 60)
+
+
+def plain_first(rows, inside, docs, window):
+    starts = rows.shape[1] - window + 1
+    least = {}
+    for r in range(len(rows)):
+        for s in range(starts):
+            if inside[r, s : s + window].all():
+                key = tuple(rows[r, s : s + window])
+                least[key] = min(least.get(key, docs[r]), docs[r])
+    out = np.repeat(docs[:, None], starts, axis=1)
+    for r in range(len(rows)):
+        for s in range(starts):
+            if inside[r, s : s + window].all():
+                out[r, s] = least[tuple(rows[r, s : s + window])]
+    return out
+
+
+def word_block(seed):
+    rows, inside, docs = random_block(seed, 21, 3 if seed % 2 else 50, 60)
+    return np.where(inside, rows, 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), inside, docs
+
+
+def byte_block(seed):
+    rows, inside, docs = random_block(seed, 76, 3 if seed % 2 else 200, 60)
+    return np.where(inside, rows, 0).astype(np.uint8), inside, docs
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_first_documents_of_a_block(seed):
+    for operator, block, window in ((rlz_dedup, word_block(seed), 13), (bwt_dedup, byte_block(seed), 50)):
+        rows, inside, docs = block
+        wanted = plain_first(rows, inside, docs, window)
+        assert (wanted < docs[:, None]).sum() > 20
+        assert (operator.first_documents(rows, inside, docs) == wanted).all()
+
+
+def test_a_broken_factoring_changes_the_result(monkeypatch):
+    blocks = [word_block(seed) for seed in range(4)]
+    wanted = [rlz_dedup.first_documents(*b) for b in blocks]
+    monkeypatch.setattr(rlz_dedup.ReferenceBlock, "longest", lambda self, row, start, docs: np.zeros(len(row), np.int64))
+    for b, w in zip(blocks, wanted, strict=True):
+        broken = rlz_dedup.first_documents(*b)
+        assert (broken == b[2][:, None]).all() and (w != broken).sum() > 20
+
+
+def test_a_permuted_transform_changes_the_result(monkeypatch):
+    blocks = [byte_block(seed) for seed in range(4)]
+    monkeypatch.setattr(bwt_dedup, "SHARD", 20)
+    wanted = [bwt_dedup.first_documents(*b) for b in blocks]
+    sorted_transform, calls = bwt_dedup.transform, []
+
+    def permuted(strings, used):
+        parts = sorted_transform(strings, used)
+        calls.append(len(parts[0]))
+        if len(calls) % 3 != 1:
+            return parts
+        order = np.random.default_rng(1).permutation(len(parts[0]))
+        return tuple(p[order] for p in parts)
+
+    monkeypatch.setattr(bwt_dedup, "transform", permuted)
+    assert all((bwt_dedup.first_documents(*b) != w).any() for b, w in zip(blocks, wanted, strict=True))
+
+
+def test_ranks_lead_left_and_prefixes_are_common():
+    rng = np.random.default_rng(3)
+    rows, used = rng.integers(1, 3, (24, 30)), rng.integers(1, 31, 24)
+    shards = [bwt_dedup.transform(rows[i : i + 8], used[i : i + 8]) for i in (0, 8, 16)]
+    for symbols, left, _ in shards:
+        real = symbols != 0
+        assert (bwt_dedup.step_left(symbols)[real] == left[real]).all()
+    _, _, prefix = bwt_dedup.merge([s[0] for s in shards], 12)
+    suffixes = []
+    for k, (_, _, place) in enumerate(shards):
+        for p in place.tolist():
+            r, c = divmod(p, 31)
+            suffixes.append(tuple(rows[8 * k + r, c : used[8 * k + r]].tolist()))
+    for mine, found in zip(suffixes, prefix.tolist(), strict=True):
+        shared = 0
+        while shared < min(12, len(mine)) and sum(s[: shared + 1] == mine[: shared + 1] for s in suffixes) > 1:
+            shared += 1
+        assert found == shared
