@@ -66,12 +66,13 @@ def fold_of(doc_id: int | None, folds: int) -> int:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int
+    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, only: int | None = None
 ) -> DataFrame:
     """(doc_id, y): up to ``most`` labelled ids outside the held-out fold, by hash order.
 
     The bound is part of the operators' interface. Ids that have contradicting labels are left
-    out, as are ids without a label; ids without a document do no harm.
+    out, as are ids without a label; ids without a document do no harm. With ``only``, ids with
+    that label alone.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -81,9 +82,22 @@ def labelled_sample(
         .agg(F.min("y").alias("y"), F.max("y").alias("z"))
         .where("y = z")
     )
+    if only is not None:
+        known = known.where(F.col("y") == only)
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "y")
 
 
+def one_text_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``chosen``, one for each id of a bounded choice, with a ``text`` of ``docs``.
+
+    Where an id stands on several rows, the text with the smallest hash is taken. Each task keeps one
+    text for each id, so no more than the choice is shuffled, however often an id repeats.
+    """
+    others = [c for c in chosen.columns if c != "doc_id"]
+    rows = docs.select("doc_id", "text").join(chosen.hint("broadcast"), "doc_id")
+    return rows.groupBy("doc_id", *others).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8 bytes; NULL as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -194,7 +194,8 @@ def featured(docs: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
     """Train on at most ``most`` labelled rows of :func:`featured`, outside the held-out fold."""
     chosen = labelled_sample(rows, labels, "quality", FOLDS, HELD_OUT, most)
-    found = rows.join(chosen.hint("broadcast"), "doc_id").select("x", "y").collect()
+    # one row for each id: what comes to the driver is bounded by the choice, however often ids repeat
+    found = rows.join(chosen.hint("broadcast"), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     found.sort(key=lambda r: (r["y"], r["x"]))
     x = np.array([r["x"] for r in found], np.float64).reshape(-1, len(NAMES))
     return train(x, np.array([r["y"] for r in found], float))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cartsight.llm.common import text_bytes
+from cartsight.llm.common import one_text_each, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -77,7 +77,7 @@ def train_crf(
     """
     weights, moves = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
     chunks = [
-        (x[i : i + CHUNK], y) for x, y in sequences for i in range(0, min(len(x), TRAIN_LINES), CHUNK)
+        (x[i : i + CHUNK], y) for x, y in sequences for i in range(0, len(x), CHUNK)
     ]
     if not chunks:
         return weights, moves
@@ -180,22 +180,30 @@ def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
     )
 
 
+def _chunks(lines: list) -> list[list]:
+    """All lines, or of a longer text ``TRAIN_LINES`` in runs that are spread over the whole of it."""
+    if len(lines) <= TRAIN_LINES:
+        return [lines] if lines else []
+    runs = TRAIN_LINES // CHUNK
+    last = len(lines) - CHUNK
+    return [lines[at : at + CHUNK] for at in (last * i // (runs - 1) for i in range(runs))]
+
+
 def training_lines(docs: DataFrame, chosen: DataFrame) -> list[tuple[np.ndarray, int]]:
     """Features per line of the documents of ``chosen`` (doc_id, y), a bounded sample."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                np.array([f for _, f in _lines(t)][:TRAIN_LINES], np.float32).tobytes()
-                for t in text_bytes(batch["text"])
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["y"], pa.array(found, pa.binary())], ["doc_id", "y", "x"]
-            )
+            found, owner = [], []
+            for i, text in enumerate(text_bytes(batch["text"])):
+                for lines in _chunks([f for _, f in _lines(text)]):
+                    found.append(np.array(lines, np.float32).tobytes())
+                    owner.append(i)
+            own = batch.select(["doc_id", "y"]).take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, pa.binary())], ["doc_id", "y", "x"])
 
     rows = (
-        docs.select("doc_id", "text")
-        .join(chosen.hint("broadcast"), "doc_id")
+        one_text_each(docs, chosen)
         .select("doc_id", "y", "text")
         .mapInArrow(features, "doc_id long, y int, x binary")
         .collect()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartsight.llm.common import fold, labelled_sample
+from cartsight.llm.common import fold, labelled_sample, one_text_each
 
 _WORD = re.compile(r"[^\W\d_]+")
 FOLDS, HELD_OUT = 5, 0
@@ -116,7 +116,7 @@ def fit(
     known = labels.where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT)
     )
-    toxic = labelled_sample(docs, labels.where("toxic = 1"), "toxic", FOLDS, HELD_OUT, most_positive)
+    toxic = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, most_positive, only=1)
     if prior is None:
         share = known.agg(F.avg("toxic")).first()[0]
         prior = min(0.9, max(0.01, share or 0.01))
@@ -135,9 +135,8 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch["p"], batch["u"], pa.array(found, pa.string())], ["p", "u", "w"])
 
     rows = (
-        docs.select("doc_id", "text").join(wanted.hint("broadcast"), "doc_id")
-        .select("p", "u", "text").mapInArrow(sets, "p int, u int, w string").collect()
-    )
+        one_text_each(docs, wanted).select("p", "u", "text").mapInArrow(sets, "p int, u int, w string").collect()
+    )
     rows.sort(key=lambda r: r["w"])
     return train(
         [set(r["w"].split()) for r in rows if r["p"] == 1],

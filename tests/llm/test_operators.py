@@ -809,3 +809,43 @@ def test_ranks_lead_left_and_prefixes_are_common():
         while shared < min(12, len(mine)) and sum(s[: shared + 1] == mine[: shared + 1] for s in suffixes) > 1:
             shared += 1
         assert found == shared
+
+
+# --- training samples are bounded in rows ------------------------------------------------------
+
+
+def test_samples_hold_one_row_for_each_id(spark, monkeypatch):
+    """One sampled id stands on 50,000 rows; what the driver collects stays within the bound."""
+    hot = spark.range(50_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("hot text "), F.col("id") % 100).alias("text"))
+    rest = spark.range(4, 300).select(F.col("id").alias("doc_id"), F.lit("some other words\nand a line").alias("text"))
+    docs = hot.unionByName(rest)
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    chosen = labelled_sample(docs, labels, "quality", 4, 2, 400)
+    assert 3 in {r.doc_id for r in chosen.collect()}
+    found = quality_rules.training_lines(docs, chosen)
+    assert 0 < len(found) <= 300
+    seen = []
+    monkeypatch.setattr(quality_gam, "train", lambda x, y: seen.append(len(x)))
+    quality_gam.fit(quality_gam.featured(docs), labels, most=400)
+    monkeypatch.setattr(toxicity, "train", lambda p, u, prior: seen.append(max(len(p), len(u))))
+    toxicity.fit(docs, labels)
+    assert all(0 < n <= 300 for n in seen) and len(seen) == 2
+
+
+def test_contradicting_labels_are_learned_by_nobody(spark, monkeypatch):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)] + [(7, 0), (8, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda p, u, prior: seen.append(p))
+    toxicity.fit(docs, labels)
+    words = {w for x in seen[0] for w in x}
+    texts = {r[0] for r in labelled_sample(docs, labels, "toxic", 5, 0, 99, only=1).collect()}
+    assert len(seen[0]) == len(texts) and not {7, 8} & texts and words == {"word"}
+
+
+def test_long_documents_are_learned_from_all_over():
+    lines = [[float(i)] for i in range(5000)]
+    chunks = quality_rules._chunks(lines)
+    assert sum(map(len, chunks)) == quality_rules.TRAIN_LINES
+    assert chunks[0][0] == [0.0] and chunks[-1][-1] == [4999.0] and all(c == lines[int(c[0][0]) :][: len(c)] for c in chunks)
+    assert quality_rules._chunks(lines[:10]) == [lines[:10]] and quality_rules._chunks([]) == []
