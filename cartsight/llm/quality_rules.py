@@ -67,18 +67,62 @@ def _lines(text: bytes) -> Iterator[tuple[int, list[float]]]:
 # --- the chain ---------------------------------------------------------------------------------
 
 
+def _marginals(unary: np.ndarray, moves: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the labels of each line [n, lines, 2] and of each two lines [n, lines - 1, 2, 2]."""
+    longest = unary.shape[1]
+    length = there.sum(axis=1)
+    forward, backward = np.zeros_like(unary), np.zeros_like(unary)
+    forward[:, 0] = unary[:, 0]
+    for t in range(1, longest):
+        forward[:, t] = unary[:, t] + np.logaddexp.reduce(forward[:, t - 1, :, None] + moves[None], axis=1)
+    for t in range(longest - 2, -1, -1):
+        after = np.logaddexp.reduce(moves[None] + (unary[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
+        backward[:, t] = np.where(there[:, t + 1, None], after, 0)
+    log_z = np.logaddexp.reduce(forward[np.arange(len(unary)), length - 1], axis=1)
+    node = np.where(there[..., None], forward + backward - log_z[:, None, None], -np.inf)
+    pair = forward[:, :-1, :, None] + moves + (unary + backward)[:, 1:, None, :]
+    return np.exp(node), np.exp(np.where(there[:, 1:, None, None], pair - log_z[:, None, None, None], -np.inf))
+
+
+def _guessed(
+    unary: np.ndarray, moves: np.ndarray, there: np.ndarray, least: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_marginals` of low texts, tilted so far that ``least`` of their lines are boilerplate."""
+    low, high = np.zeros(len(unary)), np.full(len(unary), 40.0)
+    need = least * there.sum(axis=1)
+
+    def tilted(by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _marginals(unary + by[:, None, None] * np.array([1.0, 0.0]), moves, there)
+
+    met = tilted(low)[0][..., 0].sum(axis=1) >= need
+    for _ in range(12):
+        middle = (low + high) / 2
+        enough = tilted(middle)[0][..., 0].sum(axis=1) >= need
+        low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+    return tilted(np.where(met, 0.0, high))
+
+
 def train_crf(
-    sequences: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float = 0.3, ridge: float = 1e-3
+    sequences: list[tuple[np.ndarray, int]],
+    rounds: int = 80,
+    rate: float = 0.3,
+    ridge: float = 1e-3,
+    turns: int = 5,
+    least_low: float = 0.5,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(weights [2, features], transitions [2, 2]) from (features per line, label) sequences.
+    """(weights [2, features], transitions [2, 2]) from (features per line, label of the text).
+
+    The lines of a good text are content. Which lines of a low one are boilerplate nobody has said,
+    only that ``least_low`` of them are, so these labels are estimated: expectation maximisation on
+    the chain. At first all lines of a low text count as boilerplate, without any moves; then, ``turns``
+    times, the chain says how likely each line and each move is, and is fitted to that. So lines of low
+    texts that look like those of good ones become content, and moves between both are learned.
 
     Adam on the mean conditional log likelihood. Without sequences all weights are zero, and
     every line then decodes as content.
     """
     weights, moves = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
-    chunks = [
-        (x[i : i + CHUNK], y) for x, y in sequences for i in range(0, len(x), CHUNK)
-    ]
+    chunks = [(x[i : i + CHUNK], y) for x, y in sequences for i in range(0, len(x), CHUNK)]
     if not chunks:
         return weights, moves
     longest = max(len(x) for x, _ in chunks)
@@ -88,34 +132,22 @@ def train_crf(
     for i, (x, _) in enumerate(chunks):
         data[i, : len(x)] = x
     there = np.arange(longest)[None] < length[:, None]
-    each = np.arange(len(chunks))
-    truth_w = np.zeros_like(weights)
-    truth_m = np.zeros_like(moves)
-    for y in (0, 1):
-        truth_w[y] = (data * there[..., None])[label == y].sum((0, 1))
-        truth_m[y, y] = (length[label == y] - 1).sum()
+    bad = label == 0
+    line = np.zeros((len(chunks), longest, 2))
+    line[np.arange(len(chunks)), :, label] = there
+    truth_m = np.diag([(length[label == y] - 1).sum() for y in (0, 1)]).astype(float)
     first, second, total = np.zeros(2 * N_FEATURES + 4), np.zeros(2 * N_FEATURES + 4), there.sum()
     for step in range(1, rounds + 1):
-        unary = data @ weights.T
-        forward, backward = np.zeros_like(unary), np.zeros_like(unary)
-        forward[:, 0] = unary[:, 0]
-        for t in range(1, longest):
-            forward[:, t] = unary[:, t] + np.logaddexp.reduce(
-                forward[:, t - 1, :, None] + moves[None], axis=1
-            )
-        for t in range(longest - 2, -1, -1):
-            after = np.logaddexp.reduce(
-                moves[None] + (unary[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2
-            )
-            backward[:, t] = np.where(there[:, t + 1, None], after, 0)
-        log_z = np.logaddexp.reduce(forward[each, length - 1], axis=1)
-        node = np.exp(forward + backward - log_z[:, None, None]) * there[..., None]
-        pair = forward[:, :-1, :, None] + moves + (unary + backward)[:, 1:, None, :]
-        pair = np.exp(pair - log_z[:, None, None, None]) * there[:, 1:, None, None]
+        warm = rounds // 2
+        if step > warm and (step - warm - 1) % max(1, (rounds - warm) // turns) == 0 and bad.any():
+            line[bad], pair = _guessed(data[bad] @ weights.T, moves, there[bad], least_low)
+            truth_m = pair.sum((0, 1)) + np.diag([0.0, (length[~bad] - 1).sum()])
+        truth_w = np.einsum("ntk,ntf->kf", line, data)
+        node, pair = _marginals(data @ weights.T, moves, there)
         slope = np.concatenate(
             [
                 ((truth_w - np.einsum("ntk,ntf->kf", node, data)) / total - ridge * weights).ravel(),
-                ((truth_m - pair.sum((0, 1))) / total - ridge * moves).ravel(),
+                ((truth_m - pair.sum((0, 1))) / total - ridge * moves).ravel() * (step > warm),
             ]
         )
         first = 0.9 * first + 0.1 * slope
@@ -227,7 +259,7 @@ def judge(
     returned as NULL. Repeated rows and ids are judged row by row. A text is read whole, at any
     length; an empty table gives an empty result.
     """
-    weights, moves = train_crf(training_lines(docs, chosen))
+    weights, moves = train_crf(training_lines(docs, chosen), rounds=160)
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -849,3 +849,63 @@ def test_long_documents_are_learned_from_all_over():
     assert sum(map(len, chunks)) == quality_rules.TRAIN_LINES
     assert chunks[0][0] == [0.0] and chunks[-1][-1] == [4999.0] and all(c == lines[int(c[0][0]) :][: len(c)] for c in chunks)
     assert quality_rules._chunks(lines[:10]) == [lines[:10]] and quality_rules._chunks([]) == []
+
+
+# --- boilerplate beside content ----------------------------------------------------------------
+
+
+def mixed_texts(seed, n):
+    """(text, quality, truth by line): good texts, and low ones of menus and slogans around some content."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(2, 10)))
+    content = lambda: " ".join(word() for _ in range(rng.integers(8, 20))).capitalize() + "."
+    junk = lambda: rng.choice([" | ".join(word() for _ in range(8)), " ".join(word().upper() + "!!" for _ in range(7)), "#" * 6 + " $ " + word()])
+    out = []
+    for i in range(n):
+        if i % 2:
+            lines = [(content(), 1) for _ in range(rng.integers(3, 15))]
+        else:
+            lines, kind = [], 0
+            for _ in range(rng.integers(8, 30)):
+                kind = kind if rng.random() < 0.8 else 1 - kind
+                lines.append((content() if kind else junk(), kind))
+            lines += [(junk(), 0)] * max(0, 2 * sum(k for _, k in lines) - len(lines))
+        out.append(("\n".join(t for t, _ in lines), i % 2, [k for _, k in lines]))
+    return out
+
+
+def test_boilerplate_is_found_by_line():
+    sequences = [(np.array([f for _, f in quality_rules._lines(t.encode())]), y) for t, y, _ in mixed_texts(1, 300)]
+    weights, moves = quality_rules.train_crf(sequences, rounds=160)
+    hit = extra = lost = 0
+    for text, y, truth in mixed_texts(2, 100):
+        path = quality_rules.viterbi(np.array([f for _, f in quality_rules._lines(text.encode())]) @ weights.T, moves)
+        assert len(path) == len(truth)
+        hit += sum(a == b == 0 for a, b in zip(path, truth, strict=True))
+        extra += sum(a < b for a, b in zip(path, truth, strict=True))
+        lost += sum(a > b for a, b in zip(path, truth, strict=True))
+    assert 2 * hit / (2 * hit + extra + lost) > 0.9
+
+
+def test_marginals_by_hand():
+    rng = np.random.default_rng(4)
+    unary, moves = rng.normal(size=(1, 5, 2)), rng.normal(size=(2, 2))
+    there = np.array([[True] * 4 + [False]])
+    node, pair = quality_rules._marginals(unary, moves, there)
+    paths = [tuple(m >> i & 1 for i in range(4)) for m in range(16)]
+    weight = {p: np.exp(sum(unary[0, i, k] for i, k in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:], strict=False))) for p in paths}
+    z = sum(weight.values())
+    for t in range(4):
+        assert node[0, t, 1] == pytest.approx(sum(w for p, w in weight.items() if p[t] == 1) / z)
+    assert pair[0, 1, 0, 1] == pytest.approx(sum(w for p, w in weight.items() if p[1:3] == (0, 1)) / z)
+    assert not node[0, 4].any() and not pair[0, 3].any()
+    tilted, _ = quality_rules._guessed(unary - [0, 9], moves * 0, there, 0.5)
+    assert tilted[0, :, 0].sum() >= 2
+    tilted, _ = quality_rules._guessed(unary + [0, 9], moves * 0, there, 0.5)
+    assert tilted[0, :, 0].sum() == pytest.approx(2, abs=0.05)
+
+
+def test_some_texts_hold_both(spark):
+    found = queries.op1_quality_rules(spark, "/root/testdata/sf0.1").where("NOT base_failed")
+    both = found.where("content_share > 0 AND content_share < 1").count()
+    assert both > 0 and both < 0.5 * found.count()
