@@ -28,13 +28,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there.
 
-    This cuts the lineage: what is lost with an executor is read again, not computed again.
+    This cuts the lineage: what is lost with an executor is read again, not computed again. Whole texts
+    are worth a denser ``compression``, such as zstd.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -134,7 +134,7 @@ def place(
     """
     others = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     goals = stored(targets(sized, weights, most), "targets")
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    order = F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     by = ["rank", "o", "doc_id", "size", "tie"]
     # One sort by range cuts a large source, and an id that stands on many rows, into pieces.
     rows = stored(
