@@ -63,6 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             F.monotonically_increasing_id().alias("number"),  # ids may repeat or be NULL
         ),
         "texts",
+        compression="zstd",
     )
     placed = stored(mixing.place(sized.drop("text")).where("copies > 0"), "placed")
     taken = sized.join(placed.select("number", "copies", "positions"), "number").select(
